@@ -1 +1,170 @@
-"""File round-trip queries (registered on import)."""
+"""File round trips: responses, listings and tables written from the generated
+tables to the shared folder, then read back with the engine's readers.
+
+Every query writes under ``shared_dir(spark)`` (below ``spark.checkpoint.dir``),
+a fresh folder per call, and returns the lazily read result. The oracle is the
+SQL view the files were written from.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import digest_algorithm, digest_value, media_type
+from ..session import shared_dir
+from ..sinks import snapshots as snap
+from ..sinks import tables as tb
+from ..sources import readers as rd
+from . import views as V
+from .queries import _CT_SQL, _DAY_REQ_SQL, _manifest_rows, query
+
+PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+PART_SQL_ALL = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part"
+MARKED_HEADER = ["START-OF-FILE", "PROGRAMNAME=getdata", "START-OF-DATA", "# fields: " + "|".join(PART_COLS)]
+MARKED_TRAILER = ["END-OF-DATA", "0|ignored|after|end|0|0", "END-OF-FILE"]
+JSON_TYPES = ["ECONOMY", "SMALL"]          # part types landed as JSON in the dispatch round trip
+CSV_TYPES = ["MEDIUM", "LARGE"]            # … as CSV; the remaining types as marked text
+
+
+def _part(spark, d) -> DataFrame:
+    return V.read(spark, d, "part").select(*PART_COLS)
+
+
+def write_marked_text(df: DataFrame, path: str, group: str, cols: list[str]) -> None:
+    """Write ``df`` as marked-text files, one per value of ``group``, each framed by markers.
+
+    Header, data and trailer lines are one DataFrame, clustered by file and
+    sorted by (section, line) inside each partition; the writer keeps that order.
+    """
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    data = df.select(F.col(group).alias("_g"), F.lit(1).alias("_sec"), F.col(cols[0]).cast("long").alias("_seq"),
+                     line.alias("value"))
+    frame_rows = [(0, i, v) for i, v in enumerate(MARKED_HEADER)] + [(2, i, v) for i, v in enumerate(MARKED_TRAILER)]
+    frame = F.array(*[F.struct(F.lit(sec).alias("_sec"), F.lit(i).cast("long").alias("_seq"),
+                               F.lit(v).alias("value")) for sec, i, v in frame_rows])
+    # one row per file, expanded into its header and trailer lines (no join)
+    framed = df.select(F.col(group).alias("_g")).distinct().select("_g", F.inline(frame))
+    allrows = data.unionByName(framed.select("_g", "_sec", "_seq", "value"))
+    (allrows.repartition("_g").sortWithinPartitions("_g", "_sec", "_seq")
+     .select("_g", "value").write.partitionBy("_g").text(path))
+
+
+@query("scan_vendor_json", PART_SQL_ALL)
+def q_scan_vendor_json(spark, d):
+    path = shared_dir(spark, "json")
+    part = _part(spark, d)
+    part.write.option("compression", "gzip").json(path)
+    return rd.scan_vendor_json(spark, path, part.schema, multi_line=False).select(*PART_COLS)
+
+
+@query("scan_vendor_csv", PART_SQL_ALL)
+def q_scan_vendor_csv(spark, d):
+    path = shared_dir(spark, "csv")
+    part = _part(spark, d)
+    part.write.option("header", True).csv(path)
+    return rd.scan_vendor_csv(spark, path, part.schema).select(*PART_COLS)
+
+
+@query("scan_marked_text", PART_SQL_ALL)
+def q_scan_marked_text(spark, d):
+    path = shared_dir(spark, "marked")
+    part = _part(spark, d)
+    write_marked_text(part, path, "p_type", PART_COLS)
+    lines = rd.scan_marked_text(spark, path)
+    from ..sources.schemas import conform
+    return conform(rd.split_marked_lines(lines, PART_COLS), part.schema).select(*PART_COLS)
+
+
+@query("scan_dispatch", PART_SQL_ALL)
+def q_scan_dispatch(spark, d):
+    root = shared_dir(spark, "responses")
+    part = _part(spark, d)
+    j, c = f"{root}/json", f"{root}/csv"
+    m = f"{root}/marked"
+    part.where(F.col("p_type").isin(*JSON_TYPES)).write.json(j)
+    part.where(F.col("p_type").isin(*CSV_TYPES)).write.option("header", True).csv(c)
+    write_marked_text(part.where(~F.col("p_type").isin(*(JSON_TYPES + CSV_TYPES))), m, "p_type", PART_COLS)
+    manifest = spark.createDataFrame(
+        [("application/json; charset=utf-8", j), ("text/csv", c), ("text/vnd.blp.dl.std", m)],
+        "content_type string, output_dir string")
+    # JSON lines here (one object per line), so the JSON reader runs in line mode.
+    out = rd.scan_responses(spark, manifest, part.schema, marked_columns=PART_COLS, json_multi_line=False)
+    return out.select(*PART_COLS)
+
+
+@query("scan_positions", V.with_ctes(V.POSITIONS_SQL) + " SELECT ticker, number_of_shares FROM positions")
+def q_scan_positions(spark, d):
+    path = shared_dir(spark, "positions")
+    V.positions(spark, d).write.json(path)
+    return rd.scan_positions(spark, path, multi_line=False)
+
+
+@query("table_roundtrip", V.with_ctes(V.POSITIONS_SQL) + " SELECT ticker, number_of_shares FROM positions")
+def q_table_roundtrip(spark, d):
+    loc = shared_dir(spark, "tables")
+    name = f"tickwise_positions_{uuid.uuid4().hex[:12]}"
+    tb.declare_table(spark, name, rd.POSITIONS_SCHEMA_DOC, comment="Equity positions by ticker", location=loc)
+    tb.overwrite_table(V.positions(spark, d), name)
+    tb.overwrite_table(V.positions(spark, d), name)      # a second overwrite must not duplicate rows
+    return spark.table(name).select("ticker", "number_of_shares")
+
+
+@query("land_prices", V.with_ctes(V.PRICES_SQL) + """
+SELECT TICKER, DATE, PX_LAST, PX_VOLUME, DL_REQUEST_ID FROM prices""")
+def q_land_prices(spark, d):
+    path = shared_dir(spark, "landing")
+    px = V.prices(spark, d)
+    tb.land(px, path)
+    landed = spark.read.parquet(path)
+    return landed.where(F.col("DL_REQUEST_ID") == V.HISTORY_LOAD[0]).select(
+        "TICKER", "DATE", "PX_LAST", "PX_VOLUME", "DL_REQUEST_ID")
+
+
+@query("scan_manifest", f"""
+SELECT {_DAY_REQ_SQL} AS DL_REQUEST_ID, {_DAY_REQ_SQL} || '.' || CAST(event_id AS VARCHAR) || '.json' AS key,
+  {_CT_SQL} AS content_type, split_part({_CT_SQL}, ';', 1) AS media_type,
+  'MD5' AS digest_algorithm, md5(CAST(event_id AS VARCHAR)) AS digest
+FROM events WHERE event_type = 'purchase'""")
+def q_scan_manifest(spark, d):
+    path = shared_dir(spark, "manifest")
+    rows = _manifest_rows(spark, d).withColumn("_page", F.floor(F.col("pos.event_id") / 100))
+    pages = rows.groupBy("_page").agg(F.collect_list(F.struct(
+        F.col("key"), F.struct(F.col("DL_REQUEST_ID")).alias("metadata"),
+        F.struct(F.col("digest").alias("Digest"), F.col("content_type").alias("Content-Type")).alias("headers")
+    )).alias("contains"))
+    pages.select("contains").write.json(path)
+    m = rd.scan_manifest(spark, path, multi_line=False)
+    return m.select("DL_REQUEST_ID", "key", "content_type", media_type("content_type").alias("media_type"),
+                    digest_algorithm("digest").alias("digest_algorithm"), digest_value("digest").alias("digest"))
+
+
+@query("scan_catalogs", """
+SELECT CAST(s_suppkey AS VARCHAR) AS identifier,
+  CASE WHEN s_acctbal < 0 THEN s_name || ' (restated)' ELSE s_name END AS description
+FROM supplier""")
+def q_scan_catalogs(spark, d):
+    path = shared_dir(spark, "catalogs")
+    s = V.read(spark, d, "supplier")
+    items = (s.select("s_suppkey", F.lit(0).alias("_v"), F.col("s_name").alias("description"))
+             .unionByName(s.where(F.col("s_acctbal") < 0).select(
+                 "s_suppkey", F.lit(1).alias("_v"), F.concat(F.col("s_name"), F.lit(" (restated)")).alias("description"))))
+    pages = (items.groupBy(F.floor(F.col("s_suppkey") / 50).alias("_page"))
+             .agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "_v", "description"))).alias("_items"))
+             .select(F.transform("_items", lambda x: F.struct(x["s_suppkey"].cast("string").alias("identifier"),
+                                                              x["description"].alias("description"))).alias("contains")))
+    pages.write.json(path)
+    return rd.scan_catalogs(spark, path, multi_line=False)
+
+
+@query("snapshot_versions", V.with_ctes(V.PART_SQL) + """
+SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, 2 AS version FROM part_new""")
+def q_snapshot_versions(spark, d):
+    root = shared_dir(spark, "snapshots")
+    v1 = snap.snapshot(V.part_old(spark, d), root)
+    v2 = snap.snapshot(V.part_new(spark, d), root)
+    assert (v1, v2) == (1, 2)
+    latest = snap.read_snapshot(spark, root)
+    return latest.select(*PART_COLS, F.lit(v2).alias("version"))

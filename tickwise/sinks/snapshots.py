@@ -35,11 +35,17 @@ def committed_versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(out)
 
 
-def snapshot(df: DataFrame, root: str) -> int:
-    """S10 – write ``df`` as the next version of ``root``; returns the version number."""
+def snapshot(df: DataFrame, root: str, version: int | None = None) -> int:
+    """S10 – write ``df`` as the next (or the given) version of ``root``; returns the version.
+
+    An uncommitted leftover of the same version (a failed earlier attempt) is
+    replaced; a committed one is never overwritten.
+    """
     versions = committed_versions(df.sparkSession, root)
-    v = (versions[-1] + 1) if versions else 1
-    df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/version={v}")
+    v = version if version is not None else ((versions[-1] + 1) if versions else 1)
+    if v in versions:
+        raise FileExistsError(f"version {v} already committed under {root}")
+    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/version={v}")
     return v
 
 
@@ -91,17 +97,22 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str | list[str]) ->
 
 
 def sync_index(spark: SparkSession, changes: DataFrame, root: str, key: str | list[str],
-               transform=None) -> int:
+               transform=None, version: int | None = None) -> int:
     """K4 – apply a batch of changes to the versioned index at ``root``.
 
     ``transform`` (e.g. embedding) runs on the inserted/updated rows only; the
-    result becomes the next version. Returns the new version number.
+    result becomes the next version (or ``version``). The base is the newest
+    committed version below it. Returns the version written, or the existing
+    one when ``version`` is already committed (a replayed batch).
     """
-    upserts = changes if transform is None else transform(changes)
     versions = committed_versions(spark, root)
-    if versions:
-        base = read_snapshot(spark, root)
+    if version is not None and version in versions:
+        return version
+    upserts = changes if transform is None else transform(changes)
+    older = [v for v in versions if version is None or v < version]
+    if older:
+        base = read_snapshot(spark, root, older[-1])
         new = apply_changes(base, upserts, key)
     else:
         new = upserts.where(F.col(CHANGE_TYPE) != F.lit(DELETE)).drop(CHANGE_TYPE)
-    return snapshot(new, root)
+    return snapshot(new, root, version)

@@ -34,9 +34,19 @@ POSITIONS_SCHEMA = T.StructType([
 ])
 
 
-def scan_positions(spark: SparkSession, path: str) -> DataFrame:
-    """S1 – positions from a JSON array file (or JSON lines); explicit schema, no driver pandas."""
-    return spark.read.schema(POSITIONS_SCHEMA).option("multiLine", True).json(path)
+POSITIONS_SCHEMA_DOC = T.StructType([
+    T.StructField("ticker", T.StringType(), True, {"comment": "Vendor identifier of the equity, e.g. 'BG US Equity'"}),
+    T.StructField("number_of_shares", T.LongType(), True, {"comment": "Shares held"}),
+])
+
+
+def scan_positions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """S1 – positions from a JSON array file (``multi_line``) or JSON lines; explicit schema.
+
+    A top-level array in a file becomes one row per element; nothing is read
+    through the driver.
+    """
+    return spark.read.schema(POSITIONS_SCHEMA).option("multiLine", multi_line).json(path)
 
 
 def scan_vendor_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -145,7 +155,8 @@ def scan_tar_parquet(spark: SparkSession, path: str, schema: T.StructType) -> Da
 
 
 def scan_response(spark: SparkSession, content_type: str, path: str,
-                  schema: T.StructType | None = None, marked_columns: list[str] | None = None) -> DataFrame:
+                  schema: T.StructType | None = None, marked_columns: list[str] | None = None,
+                  json_multi_line: bool = True) -> DataFrame:
     """S7 – decode one landed response by its media type (text before ``;``)."""
     kind = content_type.split(";")[0]
     if kind == CONTENT_TYPE_CSV:
@@ -153,10 +164,16 @@ def scan_response(spark: SparkSession, content_type: str, path: str,
             raise ValueError("CSV responses need a schema")
         return scan_vendor_csv(spark, path, schema)
     if kind == CONTENT_TYPE_JSON:
-        return scan_vendor_json(spark, path, schema)
+        return scan_vendor_json(spark, path, schema, multi_line=json_multi_line)
     if kind == CONTENT_TYPE_MARKED:
         lines = scan_marked_text(spark, path)
-        return split_marked_lines(lines, marked_columns) if marked_columns else lines
+        if not marked_columns:
+            return lines
+        split = split_marked_lines(lines, marked_columns)
+        if schema is None:
+            return split
+        from .schemas import conform
+        return conform(split, schema).drop("_corrupt_fields")
     if kind == CONTENT_TYPE_TAR:
         if schema is None:
             raise ValueError("archive responses need a schema")
@@ -165,7 +182,7 @@ def scan_response(spark: SparkSession, content_type: str, path: str,
 
 
 def scan_responses(spark: SparkSession, manifest: DataFrame, schema: T.StructType,
-                   marked_columns: list[str] | None = None) -> DataFrame:
+                   marked_columns: list[str] | None = None, json_multi_line: bool = True) -> DataFrame:
     """S7/U3 – decode every landed response listed in ``manifest`` (content_type, output_dir).
 
     The manifest is split by media type and each group is read with one reader
@@ -177,7 +194,7 @@ def scan_responses(spark: SparkSession, manifest: DataFrame, schema: T.StructTyp
     parts = []
     for row in groups:
         for d in row["dirs"]:
-            parts.append(scan_response(spark, row["kind"], d, schema, marked_columns)
+            parts.append(scan_response(spark, row["kind"], d, schema, marked_columns, json_multi_line)
                          .withColumn("output_dir", F.lit(d)))
     if not parts:
         raise ValueError("empty manifest")
@@ -195,9 +212,13 @@ MANIFEST_SCHEMA = T.StructType([T.StructField("contains", T.ArrayType(T.StructTy
 ])))])
 
 
-def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """S12 – response listing pages → one typed row per response, with its page order."""
-    pages = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
+def scan_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """S12 – response listing pages → one typed row per response, with its page order.
+
+    ``multi_line``: one listing document per file (as served); False reads one
+    listing page per line.
+    """
+    pages = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", multi_line).json(path)
     return (pages.select(F.col("_metadata.file_path").alias("page"), F.posexplode("contains").alias("idx", "r"))
             .select("page", "idx",
                     F.col("r.key").alias("key"),
@@ -210,14 +231,15 @@ CATALOGS_SCHEMA = T.StructType([T.StructField("contains", T.ArrayType(T.StructTy
     T.StructField("identifier", T.StringType()), T.StructField("description", T.StringType())])))])
 
 
-def scan_catalogs(spark: SparkSession, path: str) -> DataFrame:
+def scan_catalogs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """S13 – ``contains[].identifier → description``; the last duplicate wins.
 
     A listing without ``contains`` raises (checked on the executors).
     """
-    pages = spark.read.schema(CATALOGS_SCHEMA).option("multiLine", True).json(path)
+    pages = spark.read.schema(CATALOGS_SCHEMA).option("multiLine", multi_line).json(path)
     checked = pages.select(
-        F.col("_metadata.file_path").alias("page"),
+        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                 F.monotonically_increasing_id()).alias("page"),
         F.when(F.col("contains").isNull(), F.raise_error(F.lit("Could not parse response content")))
         .otherwise(F.col("contains")).alias("contains"))
     items = checked.select("page", F.posexplode("contains").alias("idx", "c"))

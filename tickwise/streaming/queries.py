@@ -1 +1,67 @@
-"""Streaming queries (registered on import)."""
+"""Registered streaming queries: run to completion with ``availableNow`` and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.requests import MAX_AWAIT_MINUTES
+from ..plans import views as V
+from ..plans.queries import ORACLE, _content_type, query
+from ..session import shared_dir
+from ..sinks.snapshots import changes_between, read_snapshot
+from .index_sync import start_index_sync
+from .messages import stream_classify
+from .notifications import stream_match_notifications
+from .sources import run_available_now, stream_table
+
+@query("stream_classify", ORACLE["classify_message"])
+def q_stream_classify(spark, d):
+    root = shared_dir(spark, "stream_classify")
+    log = stream_table(spark, d, "conversations.parquet").select(
+        "conv_id", "turn", "role", F.col("text").alias("content"))
+    run_available_now(stream_classify(log).select("conv_id", "turn", "role", "message_class"),
+                      f"{root}/out", f"{root}/_checkpoint")
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("stream_sync_index", V.with_ctes(V.PART_SQL) + " SELECT * FROM part_new")
+def q_stream_sync_index(spark, d):
+    root = shared_dir(spark, "stream_sync")
+    incoming, index, ckpt = f"{root}/changes", f"{root}/index", f"{root}/_checkpoint"
+    old, new = V.part_old(spark, d), V.part_new(spark, d)
+    schema = changes_between(old, new, "p_partkey").schema
+    # First trigger: the initial load (every old row is an insert).
+    old.withColumn("_change_type", F.lit("insert")).select(schema.fieldNames()).write.parquet(f"{incoming}/0001")
+    stream = spark.readStream.schema(schema).parquet(f"{incoming}/*")
+    start_index_sync(stream, index, "p_partkey", ckpt).awaitTermination()
+    # Second trigger: only the changes old → new arrive.
+    changes_between(old, new, "p_partkey").write.parquet(f"{incoming}/0002")
+    stream = spark.readStream.schema(schema).parquet(f"{incoming}/*")
+    start_index_sync(stream, index, "p_partkey", ckpt).awaitTermination()
+    return read_snapshot(spark, index).select(*new.columns)
+
+
+@query("stream_match_notifications")
+def q_stream_match_notifications(spark, d):
+    root = shared_dir(spark, "stream_match")
+    ev = stream_table(spark, d, "events.parquet")
+    req = ev.where(F.col("event_type") == "signup").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("identifier"),
+        F.col("ts").alias("submitted_at"), F.col("event_id").alias("request_event_id"))
+    notif = ev.where(F.col("event_type") == "purchase").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".json")).alias("generated_identifier"),
+        F.col("ts").alias("received_at"), F.col("event_id").alias("notification_id"),
+        _content_type("value").alias("content_type"))
+    joined = stream_match_notifications(req, notif, MAX_AWAIT_MINUTES).select(
+        "identifier", "request_event_id", "_submitted", "notification_id", "_received", "content_type")
+    run_available_now(joined, f"{root}/out", f"{root}/_checkpoint")
+    out = spark.read.parquet(f"{root}/out")
+    # A request may meet several notifications in its window: keep the earliest.
+    first = out.groupBy("identifier", "request_event_id", "_submitted").agg(
+        F.min_by(F.struct("notification_id", "content_type", "_received"),
+                 F.struct("_received", "notification_id")).alias("m"))
+    return first.select("identifier", "request_event_id", F.col("_submitted").alias("submitted_at"),
+                        F.col("m.notification_id").alias("notification_id"),
+                        F.col("m.content_type").alias("content_type"),
+                        F.col("m.notification_id").isNull().alias("timed_out"))
+
