@@ -179,5 +179,4 @@ def action_field(m, key: str) -> Column:
 
 def tokens(c) -> Column:
     """Lower-cased letter runs of a text (whole text, any script)."""
-    parts = F.split(F.lower(col(c)), r"[^\p{L}]+")
-    return F.filter(parts, lambda w: F.length(w) > 0)
+    return F.regexp_extract_all(F.lower(col(c)), F.lit(r"\p{L}+"), 0)

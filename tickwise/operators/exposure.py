@@ -15,9 +15,18 @@ from .portfolio import enrich_positions
 from .windows import dense_rank_desc, latest_per_key
 
 
+def latest_close(prices: DataFrame) -> DataFrame:
+    """W8 – last close per ticker; ordered by the bar date as a DATE so the
+    aggregate buffer is fixed-width (hash aggregation, no sort)."""
+    d = F.to_date("DATE")
+    return (prices.groupBy("TICKER")
+            .agg(F.max_by("PX_LAST", d).alias("PX_LAST"), F.max(d).alias("_d"))
+            .select("TICKER", F.date_format("_d", "yyyy-MM-dd").alias("DATE"), "PX_LAST"))
+
+
 def value_holdings(positions: DataFrame, prices: DataFrame, market: str = "US") -> DataFrame:
     """J7 – positions ⋈ latest close (left): market value = shares × PX_LAST."""
-    px = latest_per_key(prices.select("TICKER", "DATE", "PX_LAST"), "TICKER", "DATE")
+    px = latest_close(prices)
     pos = positions.withColumn("TICKER", normalise_ticker("ticker", market))
     return (pos.join(px, "TICKER", "left")
             .select(F.col("TICKER").alias("ticker"), "number_of_shares",
@@ -29,7 +38,7 @@ def holdings(positions: DataFrame, entity: DataFrame, prices: DataFrame, market:
     """Enriched, valued holdings: newest entity load per ticker, latest close per ticker."""
     ent = latest_per_key(entity, "TICKER", ["DL_SNAPSHOT_START_TIME", "DL_REQUEST_ID"])
     h = enrich_positions(positions, ent, market)
-    px = latest_per_key(prices.select("TICKER", "DATE", "PX_LAST"), "TICKER", "DATE")
+    px = latest_close(prices)
     return (h.join(px, h["ticker"] == px["TICKER"], "left")
             .select(*[h[c] for c in h.columns], F.col("PX_LAST").alias("last_price"),
                     (F.col("number_of_shares") * F.col("PX_LAST")).alias("market_value")))

@@ -35,15 +35,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- entity
-def _entity_load(base: DataFrame, req: tuple[str, str]) -> DataFrame:
+def _entity_load(base: DataFrame) -> DataFrame:
     key = F.col("c_custkey")
     return base.select(
         (F.col("c_acctbal") * F.lit(1000.0)).alias("BS_SH_OUT"),
         F.concat(F.col("c_mktsegment"), F.lit(" company domiciled in "), F.col("n_name")).alias("CIE_DES"),
         F.col("n_name").alias("CNTRY_OF_DOMICILE"),
-        F.lit(req[0]).alias("DL_REQUEST_ID"),
+        F.col("_load.req").alias("DL_REQUEST_ID"),
         F.lit("EntityRequest").alias("DL_REQUEST_NAME"),
-        F.lit(req[1]).alias("DL_SNAPSHOT_START_TIME"),
+        F.col("_load.snap").alias("DL_SNAPSHOT_START_TIME"),
         F.lit("UTC").alias("DL_SNAPSHOT_TZ"),
         key.alias("ID_BB_COMPANY"),
         F.col("c_mktsegment").alias("INDUSTRY_GROUP"),
@@ -60,10 +60,17 @@ def entity_raw(spark: SparkSession, d: str) -> DataFrame:
     c, n, r = read(spark, d, "customer"), read(spark, d, "nation"), read(spark, d, "region")
     base = (c.join(n, c["c_nationkey"] == n["n_nationkey"])
             .join(r, n["n_regionkey"] == r["r_regionkey"]))
-    load1 = _entity_load(base, ENTITY_LOAD_1)
-    repeat = _entity_load(base.where(F.col("c_acctbal") > REPEATED_BALANCE_ABOVE), ENTITY_LOAD_1)
-    load2 = _entity_load(base.where(F.col("c_acctbal") < RESTATED_BALANCE_BELOW), ENTITY_LOAD_2)
-    return load1.unionByName(repeat).unionByName(load2)
+
+    def load(req, when=None):
+        s = F.struct(F.lit(req[0]).alias("req"), F.lit(req[1]).alias("snap"))
+        return s if when is None else F.when(when, s)
+
+    # One scan: each company row is expanded into the loads it appears in.
+    loads = F.array(load(ENTITY_LOAD_1),
+                    load(ENTITY_LOAD_1, F.col("c_acctbal") > REPEATED_BALANCE_ABOVE),
+                    load(ENTITY_LOAD_2, F.col("c_acctbal") < RESTATED_BALANCE_BELOW))
+    expanded = base.select("*", F.explode(F.filter(loads, lambda x: x.isNotNull())).alias("_load"))
+    return _entity_load(expanded)
 
 
 def entity(spark: SparkSession, d: str) -> DataFrame:
