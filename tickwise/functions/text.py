@@ -62,7 +62,7 @@ def after_first_space(c) -> Column:
 
 def file_stem(c) -> Column:
     """X4 – ``os.path.splitext(name)[0]``; a name made of leading dots keeps them."""
-    return F.regexp_replace(col(c), r"(?s)^(\.*[^.].*)\.[^.]*$", "$1")
+    return F.regexp_replace(col(c), r"(?s)^((?:.*/)?\.*[^./][^/]*)\.[^./]*$", "$1")
 
 
 def citation_label(document_name, document_type, section_number) -> Column:

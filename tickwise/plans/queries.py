@@ -62,7 +62,7 @@ ROLLING_N = 5
 RESPONSE_HOST = "https://api.example.com/eap"
 CATALOG_ID = "40372"
 INDUSTRY_PATTERN = "machinery"
-COUNTRY_PATTERN = "germany"
+COUNTRY_PATTERN = "nation_1"     # generated nation names are NATION_<n>
 # Corpus words used as aliases / signal terms (the generated prose has no real company names).
 ALIASES = {"estion": "C1-US", "oution": "C2-US", "inging": "C3-US",
            "enlich": "C4-US", "queque": "C5-US", "whtion": "C6-US"}
@@ -727,7 +727,7 @@ WITH p AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '^[a-zA-Z]+:/
                   regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages),
 q AS (SELECT *, split_part(path, '/', -1) AS name, split_part(path, '/', 2) AS document_type,
              regexp_extract(url, 'page=([0-9]+)', 1) AS section FROM p),
-s AS (SELECT *, regexp_replace(name, '(?s)^(\\.*[^.].*)\\.[^.]*$', '\\1') AS stem FROM q)
+s AS (SELECT *, regexp_replace(name, '(?s)^((?:.*/)?\\.*[^./][^/]*)\\.[^./]*$', '\\1') AS stem FROM q)
 SELECT page_id, name, stem,
   CASE WHEN length(document_type) > 0 AND length(section) > 0
        THEN stem || ' (' || document_type || ', section ' || section || ')' ELSE stem END AS label,
