@@ -11,6 +11,7 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import (REQUEST_ID_MAX_LEN, base_identifier, digest_algorithm, digest_value,
                               media_type, minutes_between, response_url)
@@ -38,12 +39,19 @@ def data_request(df: DataFrame, universe: DataFrame | None, fields: list[str], k
                  date_col: str | None = None, start=None, end=None, end_inclusive: bool = True) -> DataFrame:
     """P4-P6/J2 – rows of the universe, requested fields only, within the date range."""
     out = df
-    if date_col is not None and start is not None:
-        d = F.to_date(F.col(date_col))
-        out = out.where(d >= F.lit(start))
-    if date_col is not None and end is not None:
-        d = F.to_date(F.col(date_col))
-        out = out.where(d <= F.lit(end) if end_inclusive else d < F.lit(end))
+    if date_col is not None:
+        # ISO ``yyyy-MM-dd`` text sorts like the date, so a string column is
+        # compared as text: the bounds stay literals on the bare column and
+        # are pushed to the Parquet scan (a cast on the column would not be).
+        is_text = isinstance(df.schema[date_col].dataType, T.StringType)
+        d = F.col(date_col)
+
+        def bound(x):
+            return F.lit(x.isoformat() if is_text else x) if isinstance(x, _dt.date) else F.lit(x)
+        if start is not None:
+            out = out.where(d >= bound(start))
+        if end is not None:
+            out = out.where(d <= bound(end) if end_inclusive else d < bound(end))
     if universe is not None:
         out = out.join(universe.select(F.col(universe.columns[0]).alias(key)), key, "left_semi")
     keep = [key] + ([date_col] if date_col and date_col not in fields else []) + list(fields)
