@@ -790,6 +790,38 @@ def q_scan_conform_trades(spark, d):
         "EVT_TRADE_CONDITION_CODE", F.size("_corrupt_fields").alias("n_corrupt"))
 
 
+@query("scan_conform_quotes", """
+SELECT 'P' || CAST(l_partkey AS VARCHAR) || ' US Equity' AS SECURITY,
+  l_orderkey * 8 + l_linenumber AS TICK_SEQUENCE_NUMBER,
+  CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_shipdate END AS EVT_QUOTE_BID_TIME,
+  round(l_extendedprice, 6) AS EVT_QUOTE_BID_PRICE, round(l_extendedprice + 1.0, 6) AS EVT_QUOTE_ASK_PRICE,
+  round(l_extendedprice + 1.0 - l_extendedprice, 6) AS spread,
+  CAST(l_quantity AS BIGINT) AS EVT_QUOTE_BID_SIZE, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS n_corrupt
+FROM lineitem""")
+def q_scan_conform_quotes(spark, d):
+    li = V.read(spark, d, "lineitem")
+    ts = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+0000"))
+    raw = li.select(
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit(" US Equity")).alias("SECURITY"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string").alias("TICK_SEQUENCE_NUMBER"),
+        F.lit("QUOTE").alias("TICK_TYPE"),
+        # returned lines carry an unparseable bid time: it becomes NULL and is listed as corrupt
+        F.when(F.col("l_returnflag") == "R", F.lit("n/a")).otherwise(ts).alias("EVT_QUOTE_BID_TIME"),
+        F.format_string("%.2f", F.col("l_extendedprice")).alias("EVT_QUOTE_BID_PRICE"),
+        F.col("l_quantity").cast("bigint").cast("string").alias("EVT_QUOTE_BID_SIZE"),
+        ts.alias("EVT_QUOTE_ASK_TIME"),
+        F.format_string("%.2f", F.col("l_extendedprice") + 1.0).alias("EVT_QUOTE_ASK_PRICE"))
+    q = sch.conform(raw, sch.tick_quote_request())
+    bid, ask = F.col("EVT_QUOTE_BID_PRICE"), F.col("EVT_QUOTE_ASK_PRICE")
+    return q.select(
+        "SECURITY", "TICK_SEQUENCE_NUMBER",
+        F.col("EVT_QUOTE_BID_TIME").cast("timestamp_ntz").alias("EVT_QUOTE_BID_TIME"),
+        F.round(bid.cast("double"), 6).alias("EVT_QUOTE_BID_PRICE"),
+        F.round(ask.cast("double"), 6).alias("EVT_QUOTE_ASK_PRICE"),
+        F.round((ask - bid).cast("double"), 6).alias("spread"),
+        "EVT_QUOTE_BID_SIZE", F.size("_corrupt_fields").alias("n_corrupt"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import roundtrips  # noqa: F401  (registers the file round-trip queries)
     from ..streaming import queries as _sq  # noqa: F401

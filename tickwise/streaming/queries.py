@@ -9,6 +9,7 @@ from ..plans import views as V
 from ..plans.queries import ORACLE, _content_type, query
 from ..session import shared_dir
 from ..sinks.snapshots import changes_between, read_snapshot
+from .carry import stream_carry_provider
 from .index_sync import start_index_sync
 from .messages import stream_classify
 from .notifications import stream_match_notifications
@@ -65,3 +66,17 @@ def q_stream_match_notifications(spark, d):
                         F.col("m.content_type").alias("content_type"),
                         F.col("m.notification_id").isNull().alias("timed_out"))
 
+
+
+@query("stream_carry_provider", ORACLE["carry_provider"])
+def q_stream_carry_provider(spark, d):
+    from ..operators.conversation import provider_of_calls
+    from ..plans import catalog as cat
+    root = shared_dir(spark, "stream_carry")
+    ev = stream_table(spark, d, "events.parquet")
+    calls = ev.select("event_id", "user_id", "ts", cat.function_name_of(F.col("event_type")).alias("function_name"))
+    attributed = provider_of_calls(calls, cat.tool_catalog(spark)).select("event_id", "user_id", "ts", "provider")
+    carried = stream_carry_provider(attributed, "user_id", ["ts", "event_id"])
+    run_available_now(carried.select("event_id", "user_id", "provider", "current_provider"),
+                      f"{root}/out", f"{root}/_checkpoint")
+    return spark.read.parquet(f"{root}/out")
