@@ -780,7 +780,7 @@ def q_scan_conform_trades(spark, d):
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string").alias("TICK_SEQUENCE_NUMBER"),
         F.lit("TRADE").alias("TICK_TYPE"),
         F.concat(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+0000")).alias("EVT_TRADE_TIME"),
-        F.format_string("%.2f", F.col("l_extendedprice")).alias("EVT_TRADE_PRICE"),
+        F.col("l_extendedprice").cast("string").alias("EVT_TRADE_PRICE"),
         F.col("l_quantity").cast("bigint").cast("string").alias("EVT_TRADE_SIZE"),
         F.col("l_returnflag").alias("EVT_TRADE_CONDITION_CODE"))
     typed = sch.conform(raw, sch.tick_trade_request())
@@ -807,10 +807,10 @@ def q_scan_conform_quotes(spark, d):
         F.lit("QUOTE").alias("TICK_TYPE"),
         # returned lines carry an unparseable bid time: it becomes NULL and is listed as corrupt
         F.when(F.col("l_returnflag") == "R", F.lit("n/a")).otherwise(ts).alias("EVT_QUOTE_BID_TIME"),
-        F.format_string("%.2f", F.col("l_extendedprice")).alias("EVT_QUOTE_BID_PRICE"),
+        F.col("l_extendedprice").cast("string").alias("EVT_QUOTE_BID_PRICE"),
         F.col("l_quantity").cast("bigint").cast("string").alias("EVT_QUOTE_BID_SIZE"),
         ts.alias("EVT_QUOTE_ASK_TIME"),
-        F.format_string("%.2f", F.col("l_extendedprice") + 1.0).alias("EVT_QUOTE_ASK_PRICE"))
+        (F.col("l_extendedprice") + 1.0).cast("string").alias("EVT_QUOTE_ASK_PRICE"))
     q = sch.conform(raw, sch.tick_quote_request())
     bid, ask = F.col("EVT_QUOTE_BID_PRICE"), F.col("EVT_QUOTE_ASK_PRICE")
     return q.select(

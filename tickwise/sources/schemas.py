@@ -121,19 +121,28 @@ def conform(df: DataFrame, schema: T.StructType, corrupt_col: str = "_corrupt_fi
     """Cast the raw (string) columns of ``df`` to ``schema``; missing columns become NULL.
 
     Adds ``corrupt_col``: names of fields that were non-null raw and NULL typed.
-    Fields already of the target type are passed through unchanged.
+    Fields already of the target type are passed through unchanged. Each field
+    is parsed once: the typed values are projected first and the corrupt list
+    is built from them in a second projection (no higher-order function, so
+    both stay in whole-stage codegen).
     """
     present = {f.name.lower(): f for f in df.schema.fields}
-    out, bad = [], []
-    for field in schema.fields:
+    typed_cols, raw_cols, checks = [], [], []
+    for i, field in enumerate(schema.fields):
         src = present.get(field.name.lower())
         if src is None:
-            out.append(F.lit(None).cast(field.dataType).alias(field.name))
+            typed_cols.append(F.lit(None).cast(field.dataType).alias(field.name))
             continue
         raw = F.col(f"`{src.name}`")
-        typed = raw if src.dataType == field.dataType else _typed(raw, field)
-        out.append(typed.alias(field.name, metadata=dict(field.metadata or {})))
-        if src.dataType != field.dataType:
-            bad.append(F.when(raw.isNotNull() & typed.isNull(), F.lit(field.name)))
-    corrupt = F.filter(F.array(*bad), lambda x: x.isNotNull()) if bad else F.array().cast("array<string>")
-    return df.select(*out, corrupt.alias(corrupt_col))
+        if src.dataType == field.dataType:
+            typed_cols.append(raw.alias(field.name, metadata=dict(field.metadata or {})))
+            continue
+        typed_cols.append(_typed(raw, field).alias(field.name, metadata=dict(field.metadata or {})))
+        raw_cols.append(raw.isNotNull().alias(f"__raw{i}"))
+        checks.append(F.when(F.col(f"__raw{i}") & F.col(f"`{field.name}`").isNull(), F.lit(field.name)))
+    step = df.select(*typed_cols, *raw_cols)
+    if checks:
+        corrupt = F.array_except(F.array(*checks), F.array(F.lit(None).cast("string")))
+    else:
+        corrupt = F.array().cast("array<string>")
+    return step.select(*[F.col(f"`{f.name}`") for f in schema.fields], corrupt.alias(corrupt_col))
