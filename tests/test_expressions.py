@@ -116,3 +116,10 @@ def test_lookup_with_default(spark):
     df = spark.createDataFrame([({"chunk_id": "c1"},), ({},)], "m map<string,string>")
     got = [r[0] for r in df.select(X.lookup("m", "chunk_id", "none")).collect()]
     assert got == ["c1", "none"]
+
+
+def test_ticker_root_with_overrides(spark):
+    vals = ["BG US Equity", "BG-US", "BG LN Equity", "BRK-B US Equity", "BRK-B"]
+    assert _eval(spark, vals, X.ticker_root) == ["BG", "BG", "BG", "BRK", "BRK"]
+    over = {"BRK-B US Equity": "BRK-B", "BRK-B": "BRK-B"}
+    assert _eval(spark, vals, lambda c: X.ticker_root(c, over)) == ["BG", "BG", "BG", "BRK-B", "BRK-B"]

@@ -44,9 +44,17 @@ def normalise_ticker(c, market: str = DEFAULT_MARKET) -> Column:
     return F.concat(first_token(c), F.lit(f"-{market}"))
 
 
-def ticker_root(c) -> Column:
-    """P2 – market-independent root of a ticker (``BG-US``, ``BG LN Equity`` → ``BG``)."""
-    return F.regexp_extract(col(c), r"^([^\s\-]+)", 1)
+def ticker_root(c, overrides: dict[str, str] | None = None) -> Column:
+    """P2 – market-independent root of a ticker (``BG-US``, ``BG LN Equity`` → ``BG``).
+
+    Class-share tickers contain ``-`` themselves (``BRK-B``); list them in
+    ``overrides`` (full ticker → root), which is consulted first.
+    """
+    root = F.regexp_extract(col(c), r"^([^\s\-]+)", 1)
+    if not overrides:
+        return root
+    m = F.create_map(*[F.lit(x) for kv in sorted(overrides.items()) for x in kv])
+    return F.coalesce(F.try_element_at(m, col(c)), root)
 
 
 def last_part(c, sep: str) -> Column:

@@ -57,10 +57,11 @@ def portfolio_json(holdings: DataFrame, cols: list[str] | None = None) -> DataFr
     return holdings.select("ticker", row_json(*cols).alias("position_json"))
 
 
-def match_ticker(left: DataFrame, left_col: str, right: DataFrame, right_col: str) -> DataFrame:
+def match_ticker(left: DataFrame, left_col: str, right: DataFrame, right_col: str,
+                 overrides: dict[str, str] | None = None) -> DataFrame:
     """P2 – match tickers across market suffixes by equi-join on their root."""
-    lr = left.withColumn("ticker_root", ticker_root(left_col))
-    rr = right.withColumn("ticker_root", ticker_root(right_col))
+    lr = left.withColumn("ticker_root", ticker_root(left_col, overrides))
+    rr = right.withColumn("ticker_root", ticker_root(right_col, overrides))
     return lr.join(rr, "ticker_root", "inner")
 
 
@@ -75,7 +76,7 @@ def register_functions(spark: SparkSession, holdings_view: str) -> list[str]:
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION get_portfolio_data()
         RETURNS TABLE (ticker STRING, position_json STRING)
-        COMMENT 'Return US equity portfolio with ticker information, company name, sectors and active positions'
+        COMMENT 'Equity holdings, one JSON object per holding: ticker, company, industry, sector, shares'
         RETURN SELECT ticker,
                to_json(named_struct('ticker', ticker, 'company_name', company_name, 'industry', industry,
                                     'sector', sector, 'number_of_shares', number_of_shares))

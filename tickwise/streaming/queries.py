@@ -53,19 +53,11 @@ def q_stream_match_notifications(spark, d):
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".json")).alias("generated_identifier"),
         F.col("ts").alias("received_at"), F.col("event_id").alias("notification_id"),
         _content_type("value").alias("content_type"))
-    joined = stream_match_notifications(req, notif, MAX_AWAIT_MINUTES).select(
-        "identifier", "request_event_id", "_submitted", "notification_id", "_received", "content_type")
+    joined = stream_match_notifications(req, notif, MAX_AWAIT_MINUTES, request_key="request_event_id").select(
+        "identifier", "request_event_id", F.col("_submitted").alias("submitted_at"), "notification_id",
+        "content_type", F.col("notification_id").isNull().alias("timed_out"))
     run_available_now(joined, f"{root}/out", f"{root}/_checkpoint")
-    out = spark.read.parquet(f"{root}/out")
-    # A request may meet several notifications in its window: keep the earliest.
-    first = out.groupBy("identifier", "request_event_id", "_submitted").agg(
-        F.min_by(F.struct("notification_id", "content_type", "_received"),
-                 F.struct("_received", "notification_id")).alias("m"))
-    return first.select("identifier", "request_event_id", F.col("_submitted").alias("submitted_at"),
-                        F.col("m.notification_id").alias("notification_id"),
-                        F.col("m.content_type").alias("content_type"),
-                        F.col("m.notification_id").isNull().alias("timed_out"))
-
+    return spark.read.parquet(f"{root}/out")
 
 
 @query("stream_carry_provider", ORACLE["carry_provider"])
