@@ -23,6 +23,7 @@ PY_WHITESPACE_CLASS = (
 DEFAULT_MARKET = "US"
 REQUEST_ID_MAX_LEN = 21
 RESPONSE_URL_TEMPLATE = "%s/catalogs/%s/content/responses/%s"
+POLICY_ERROR_HEADER = "[ERROR] Content policy violation detected."
 
 
 def col(c) -> Column:
@@ -101,7 +102,7 @@ def clean_text(c) -> Column:
 
 def policy_error(message) -> Column:
     """X10 – two-line error text."""
-    return F.concat_ws("\n", F.lit("[ERROR] Content policy violation detected."), col(message))
+    return F.concat_ws("\n", F.lit(POLICY_ERROR_HEADER), col(message))
 
 
 def request_id(ts, key) -> Column:

@@ -16,8 +16,13 @@ from pyspark.sql import types as T
 from ..functions.text import (REQUEST_ID_MAX_LEN, base_identifier, digest_algorithm, digest_value,
                               media_type, minutes_between, response_url)
 
-# Fixed value: how long a request waits for its completion notification.
+# ---------------------------------------------------------------------------
+# The wait limit and the refusal messages of a request.
+# ---------------------------------------------------------------------------
 MAX_AWAIT_MINUTES = 45
+ERR_NO_IDENTIFIER = "Request identifier must be specified"
+ERR_NO_TYPE = "Request type not specified"
+ERR_IDENTIFIER_LENGTH = "Identifier must be between 1 and 21 characters long"
 
 
 def last_month(as_of) -> tuple[Column, Column]:
@@ -61,10 +66,10 @@ def data_request(df: DataFrame, universe: DataFrame | None, fields: list[str], k
 def validate_requests(requests: DataFrame, identifier: str = "identifier", rtype: str = "type") -> DataFrame:
     """P10 – reasons a request would be refused, as ``errors`` (empty when valid)."""
     checks = F.array(
-        F.when(F.col(identifier).isNull(), F.lit("Request identifier must be specified")),
-        F.when(F.col(rtype).isNull(), F.lit("Request type not specified")),
+        F.when(F.col(identifier).isNull(), F.lit(ERR_NO_IDENTIFIER)),
+        F.when(F.col(rtype).isNull(), F.lit(ERR_NO_TYPE)),
         F.when(F.length(F.col(identifier)) > REQUEST_ID_MAX_LEN,
-               F.lit("Identifier must be between 1 and 21 characters long")),
+               F.lit(ERR_IDENTIFIER_LENGTH)),
     )
     errors = F.filter(checks, lambda x: x.isNotNull())
     return requests.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)

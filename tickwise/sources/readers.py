@@ -27,6 +27,9 @@ START_OF_DATA = "START-OF-DATA"
 END_OF_DATA = "END-OF-DATA"
 COMMENT_PREFIX = "#"
 TOOL_TYPES = ("vector", "function", "genie")
+ERR_LISTING = "Could not parse response content"
+ERR_TOOL = "Unsupported tool [%s], invalid format [%s]"
+ERR_FORMAT = "Unsupported format {}"
 
 POSITIONS_SCHEMA = T.StructType([
     T.StructField("ticker", T.StringType(), True),
@@ -178,7 +181,7 @@ def scan_response(spark: SparkSession, content_type: str, path: str,
         if schema is None:
             raise ValueError("archive responses need a schema")
         return scan_tar_parquet(spark, path, schema)
-    raise ValueError(f"Unsupported format {content_type}")
+    raise ValueError(ERR_FORMAT.format(content_type))
 
 
 def scan_responses(spark: SparkSession, manifest: DataFrame, schema: T.StructType,
@@ -240,7 +243,7 @@ def scan_catalogs(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     checked = pages.select(
         F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
                  F.monotonically_increasing_id()).alias("page"),
-        F.when(F.col("contains").isNull(), F.raise_error(F.lit("Could not parse response content")))
+        F.when(F.col("contains").isNull(), F.raise_error(F.lit(ERR_LISTING)))
         .otherwise(F.col("contains")).alias("contains"))
     items = checked.select("page", F.posexplode("contains").alias("idx", "c"))
     return (items.groupBy(F.col("c.identifier").alias("identifier"))
@@ -271,7 +274,7 @@ def tool_catalog_from_json(text_df: DataFrame, text_col: str = "value") -> DataF
     bad = ~F.col("tool_type").isin(*TOOL_TYPES) | F.col("tool_type").isNull()
     return flat.withColumn(
         "tool_type",
-        F.when(bad, F.raise_error(F.format_string("Unsupported tool [%s], invalid format [%s]",
+        F.when(bad, F.raise_error(F.format_string(ERR_TOOL,
                                                   F.col("tool_id"), F.coalesce(F.col("tool_type"), F.lit("null")))))
         .otherwise(F.col("tool_type")))
 
