@@ -48,7 +48,8 @@ def risk_signals(chunks: DataFrame, lexicon: dict[str, str], ticker: str = "symb
 def theme_exposure(h: DataFrame, chunks: DataFrame, terms: list[str], ticker: str = "symbol",
                    text: str = "content", holding_key: str = "ticker") -> DataFrame:
     """P13 – holdings of companies whose filings mention any theme term (semi-join)."""
-    m = _matched_tokens(chunks.select(ticker, text), text, terms).select(F.col(ticker).alias(holding_key))
+    m = (_matched_tokens(chunks.select(ticker, text), text, terms)
+         .select(F.col(ticker).alias(holding_key)).distinct())
     return h.join(m, holding_key, "left_semi")
 
 

@@ -39,8 +39,13 @@ def enrich_positions(positions: DataFrame, entity: DataFrame, market: str = "US"
 
 def unmatched_positions(positions: DataFrame, reference: DataFrame, ref_key: str = "TICKER",
                         market: str = "US") -> DataFrame:
-    """J8 – positions without a row in ``reference`` (data gaps); an anti-join."""
-    keys = reference.select(F.col(ref_key).alias("TICKER"))
+    """J8 – positions without a row in ``reference`` (data gaps); an anti-join.
+
+    Only the distinct reference keys are joined: the partial aggregate
+    collapses a hot key map-side (a skewed build side of an anti-join cannot
+    be split at runtime).
+    """
+    keys = reference.select(F.col(ref_key).alias("TICKER")).distinct()
     return (positions.withColumn("TICKER", normalise_ticker("ticker", market))
             .join(keys, "TICKER", "left_anti")
             .select(F.col("TICKER").alias("ticker"), "number_of_shares"))

@@ -58,7 +58,8 @@ def data_request(df: DataFrame, universe: DataFrame | None, fields: list[str], k
         if end is not None:
             out = out.where(d <= bound(end) if end_inclusive else d < bound(end))
     if universe is not None:
-        out = out.join(universe.select(F.col(universe.columns[0]).alias(key)), key, "left_semi")
+        members = universe.select(F.col(universe.columns[0]).alias(key)).distinct()
+        out = out.join(members, key, "left_semi")
     keep = [key] + ([date_col] if date_col and date_col not in fields else []) + list(fields)
     return out.select(*keep)
 
