@@ -52,7 +52,7 @@ def scan_positions(spark: SparkSession, path: str, multi_line: bool = True) -> D
     return spark.read.schema(POSITIONS_SCHEMA).option("multiLine", multi_line).json(path)
 
 
-def scan_vendor_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
+def scan_vendor_json(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,
                      multi_line: bool = True) -> DataFrame:
     """S2 – JSON response: a top-level array becomes one row per element."""
     reader = spark.read.option("multiLine", multi_line).option("mode", "PERMISSIVE")
@@ -61,7 +61,7 @@ def scan_vendor_json(spark: SparkSession, path: str, schema: T.StructType | None
     return reader.json(path)
 
 
-def scan_vendor_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True,
+def scan_vendor_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, header: bool = True,
                     sep: str = ",", corrupt_col: str | None = None) -> DataFrame:
     """S3 – CSV response with a declared schema (no inference)."""
     reader = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
@@ -71,7 +71,7 @@ def scan_vendor_csv(spark: SparkSession, path: str, schema: T.StructType, header
     return reader.schema(schema).csv(path)
 
 
-def _positioned_lines(spark: SparkSession, path: str) -> DataFrame:
+def _positioned_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text lines with a sortable position that follows the order inside each file.
 
     Lines of one file split are read by one task in file order, so
@@ -87,7 +87,7 @@ def _positioned_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_marked_text(spark: SparkSession, path: str, start: str = START_OF_DATA, end: str = END_OF_DATA,
+def scan_marked_text(spark: SparkSession, path: str | list[str], start: str = START_OF_DATA, end: str = END_OF_DATA,
                      comment: str = COMMENT_PREFIX, max_broadcast_files: int = 100_000) -> DataFrame:
     """S4 – keep the lines after the first start marker up to the next end marker.
 
@@ -114,14 +114,14 @@ def scan_marked_text(spark: SparkSession, path: str, start: str = START_OF_DATA,
     return data.where(keep).select("file", "pos", "value")
 
 
-def split_marked_lines(df: DataFrame, names: list[str], sep: str = "|") -> DataFrame:
+def split_marked_lines(df: DataFrame, names: list[str], sep: str = "|", keep: list[str] | None = None) -> DataFrame:
     """Split the data lines of a marked-text response into string columns."""
     import re
     parts = F.split(F.col("value"), re.escape(sep))
-    return df.select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)])
+    return df.select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)], *(keep or []))
 
 
-def scan_tar_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan_tar_parquet(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """S5 – Parquet members of tar archives, one task per archive; non-file members skipped.
 
     ``binaryFile`` hands each archive to one task; members are decoded from
@@ -157,30 +157,35 @@ def scan_tar_parquet(spark: SparkSession, path: str, schema: T.StructType) -> Da
     return raw.mapInPandas(unpack, out_schema)
 
 
-def scan_response(spark: SparkSession, content_type: str, path: str,
+def scan_response(spark: SparkSession, content_type: str, path: str | list[str],
                   schema: T.StructType | None = None, marked_columns: list[str] | None = None,
                   json_multi_line: bool = True) -> DataFrame:
-    """S7 – decode one landed response by its media type (text before ``;``)."""
+    """S7 – decode landed responses of one media type (text before ``;``).
+
+    ``path`` may be a list: all responses of one type are read by one reader.
+    """
     kind = content_type.split(";")[0]
+    paths = [path] if isinstance(path, str) else list(path)
+    src = F.col("_metadata.file_path").alias("source_file")
     if kind == CONTENT_TYPE_CSV:
         if schema is None:
             raise ValueError("CSV responses need a schema")
-        return scan_vendor_csv(spark, path, schema)
+        return scan_vendor_csv(spark, paths, schema).select("*", src)
     if kind == CONTENT_TYPE_JSON:
-        return scan_vendor_json(spark, path, schema, multi_line=json_multi_line)
+        return scan_vendor_json(spark, paths, schema, multi_line=json_multi_line).select("*", src)
     if kind == CONTENT_TYPE_MARKED:
-        lines = scan_marked_text(spark, path)
+        lines = scan_marked_text(spark, paths).withColumnRenamed("file", "source_file")
         if not marked_columns:
             return lines
-        split = split_marked_lines(lines, marked_columns)
+        split = split_marked_lines(lines, marked_columns, keep=["source_file"])
         if schema is None:
             return split
         from .schemas import conform
-        return conform(split, schema).drop("_corrupt_fields")
+        return conform(split, schema, keep=["source_file"]).drop("_corrupt_fields")
     if kind == CONTENT_TYPE_TAR:
         if schema is None:
             raise ValueError("archive responses need a schema")
-        return scan_tar_parquet(spark, path, schema)
+        return scan_tar_parquet(spark, paths, schema)
     raise ValueError(ERR_FORMAT.format(content_type))
 
 
@@ -188,19 +193,19 @@ def scan_responses(spark: SparkSession, manifest: DataFrame, schema: T.StructTyp
                    marked_columns: list[str] | None = None, json_multi_line: bool = True) -> DataFrame:
     """S7/U3 – decode every landed response listed in ``manifest`` (content_type, output_dir).
 
-    The manifest is split by media type and each group is read with one reader
-    call over all of its directories; the parts are unioned by name. The list of
-    directories is metadata (one row per response), not data.
+    The manifest is split by media type; each type is read by one reader over
+    all of its directories, and the (at most four) parts are unioned by name;
+    ``source_file`` (``member`` for archives) tells where a row came from.
+    Only the directory list – metadata that a file scan lists on the driver
+    anyway – is brought to the driver.
     """
     groups = (manifest.select(media_type("content_type").alias("kind"), "output_dir")
-              .groupBy("kind").agg(F.collect_list("output_dir").alias("dirs")).collect())
-    parts = []
-    for row in groups:
-        for d in row["dirs"]:
-            parts.append(scan_response(spark, row["kind"], d, schema, marked_columns, json_multi_line)
-                         .withColumn("output_dir", F.lit(d)))
-    if not parts:
+              .groupBy("kind").agg(F.sort_array(F.collect_set("output_dir")).alias("dirs"))
+              .orderBy("kind").collect())
+    if not groups:
         raise ValueError("empty manifest")
+    parts = [scan_response(spark, row["kind"], row["dirs"], schema, marked_columns, json_multi_line)
+             for row in groups]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

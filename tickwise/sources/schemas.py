@@ -117,11 +117,13 @@ def _typed(c: Column, field: T.StructField) -> Column:
     return c.try_cast(dt)
 
 
-def conform(df: DataFrame, schema: T.StructType, corrupt_col: str = "_corrupt_fields") -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType, corrupt_col: str = "_corrupt_fields",
+            keep: list[str] | None = None) -> DataFrame:
     """Cast the raw (string) columns of ``df`` to ``schema``; missing columns become NULL.
 
     Adds ``corrupt_col``: names of fields that were non-null raw and NULL typed.
-    Fields already of the target type are passed through unchanged. Each field
+    Fields already of the target type are passed through unchanged; ``keep``
+    names extra columns carried along unchanged. Each field
     is parsed once: the typed values are projected first and the corrupt list
     is built from them in a second projection (no higher-order function, so
     both stay in whole-stage codegen).
@@ -140,9 +142,10 @@ def conform(df: DataFrame, schema: T.StructType, corrupt_col: str = "_corrupt_fi
         typed_cols.append(_typed(raw, field).alias(field.name, metadata=dict(field.metadata or {})))
         raw_cols.append(raw.isNotNull().alias(f"__raw{i}"))
         checks.append(F.when(F.col(f"__raw{i}") & F.col(f"`{field.name}`").isNull(), F.lit(field.name)))
-    step = df.select(*typed_cols, *raw_cols)
+    keep = list(keep or [])
+    step = df.select(*typed_cols, *raw_cols, *keep)
     if checks:
         corrupt = F.array_except(F.array(*checks), F.array(F.lit(None).cast("string")))
     else:
         corrupt = F.array().cast("array<string>")
-    return step.select(*[F.col(f"`{f.name}`") for f in schema.fields], corrupt.alias(corrupt_col))
+    return step.select(*[F.col(f"`{f.name}`") for f in schema.fields], corrupt.alias(corrupt_col), *keep)
