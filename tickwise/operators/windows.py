@@ -60,18 +60,22 @@ def carry_forward(df: DataFrame, keys, order, value: str, bucket: Column, out: s
 def dense_rank_desc(df: DataFrame, value: str, out: str, partitions: int | None = None) -> DataFrame:
     """``dense_rank() over (order by value desc)`` without a single-partition window.
 
-    Distinct values are range-partitioned (equal values meet in one partition,
-    hot values collapse to one row), numbered inside each partition, and each
-    partition's offset is the count of distinct values in the partitions before
-    it (one row per partition). Rows with a NULL ``value`` get a NULL rank.
+    Distinct values (hot values collapse to one row) are range-partitioned in
+    descending order and sorted inside each partition; there
+    ``monotonically_increasing_id`` is ``partition << 33 | row``, so the row
+    part is the rank inside the partition and no second shuffle is needed.
+    A partition's offset is the number of distinct values in the partitions
+    before it (one row per partition). Rows with a NULL ``value`` get a NULL rank.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vals = (df.select(F.col(value).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-            .repartitionByRange(n, F.col("_v").desc())
-            .withColumn("_pid", F.spark_partition_id()))
-    local = vals.withColumn("_r", F.row_number().over(Window.partitionBy("_pid").orderBy(F.col("_v").desc())))
-    counts = vals.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    ids = (df.select(F.col(value).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+           .repartitionByRange(n, F.col("_v").desc())
+           .sortWithinPartitions(F.col("_v").desc())
+           .withColumn("_id", F.monotonically_increasing_id()))
+    local = ids.select("_v", F.shiftright("_id", 33).alias("_pid"),
+                       (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_r"))
+    counts = local.groupBy("_pid").agg(F.max("_r").alias("_n"))
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     # ``offsets`` has one row per range partition: a proven size bound.

@@ -33,20 +33,24 @@ def _part(spark, d) -> DataFrame:
     return V.read(spark, d, "part").select(*PART_COLS)
 
 
-def write_marked_text(df: DataFrame, path: str, group: str, cols: list[str]) -> None:
-    """Write ``df`` as marked-text files, one per value of ``group``, each framed by markers.
+def write_marked_text(df: DataFrame, path: str, group: str, cols: list[str], files_per_group: int = 8) -> None:
+    """Write ``df`` as marked-text files, each framed by its own markers.
 
-    Header, data and trailer lines are one DataFrame, clustered by file and
-    sorted by (section, line) inside each partition; the writer keeps that order.
+    Rows go to ``files_per_group`` files per value of ``group`` (by a hash of
+    the first column), so a large group is written by several tasks. Header,
+    data and trailer lines form one DataFrame, clustered by file and sorted by
+    (section, line) inside each partition; the writer keeps that order.
     """
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
-    data = df.select(F.col(group).alias("_g"), F.lit(1).alias("_sec"), F.col(cols[0]).cast("long").alias("_seq"),
+    file_key = F.concat_ws("-", F.col(group).cast("string"),
+                           F.pmod(F.xxhash64(F.col(cols[0])), F.lit(files_per_group)).cast("string"))
+    data = df.select(file_key.alias("_g"), F.lit(1).alias("_sec"), F.col(cols[0]).cast("long").alias("_seq"),
                      line.alias("value"))
     frame_rows = [(0, i, v) for i, v in enumerate(MARKED_HEADER)] + [(2, i, v) for i, v in enumerate(MARKED_TRAILER)]
     frame = F.array(*[F.struct(F.lit(sec).alias("_sec"), F.lit(i).cast("long").alias("_seq"),
                                F.lit(v).alias("value")) for sec, i, v in frame_rows])
     # one row per file, expanded into its header and trailer lines (no join)
-    framed = df.select(F.col(group).alias("_g")).distinct().select("_g", F.inline(frame))
+    framed = data.select("_g").distinct().select("_g", F.inline(frame))
     allrows = data.unionByName(framed.select("_g", "_sec", "_seq", "value"))
     (allrows.repartition("_g").sortWithinPartitions("_g", "_sec", "_seq")
      .select("_g", "value").write.partitionBy("_g").text(path))
