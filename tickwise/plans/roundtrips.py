@@ -56,6 +56,65 @@ def write_marked_text(df: DataFrame, path: str, group: str, cols: list[str], fil
      .select("_g", "value").write.partitionBy("_g").text(path))
 
 
+def write_tar_archives(df: DataFrame, path: str, rows_per_archive: int = 50_000, members_per_archive: int = 2) -> int:
+    """Write ``df`` as tar archives of Parquet members (plus a directory entry), built on the executors.
+
+    The number of archives follows the row count, so one archive – the unit a
+    single task must build – holds about ``rows_per_archive`` rows whatever the
+    table size. ``path`` is opened through pyarrow's file systems (local, HDFS,
+    object stores). Archive names are deterministic, so a retried task rewrites
+    the same file. Returns the number of archives.
+    """
+    n_archives = max(1, -(-df.count() // rows_per_archive))
+    key = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(n_archives)).alias("_archive")
+    uri = path if "://" in path else "file://" + path
+    cols = df.columns
+    out_schema = "archive long, n_rows long"
+
+    def build(pdf):
+        import io
+        import tarfile
+
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+        archive = int(pdf["_archive"].iloc[0])
+        data = pdf[cols].reset_index(drop=True)
+        buf = io.BytesIO()
+        with tarfile.open(fileobj=buf, mode="w") as tar:
+            d = tarfile.TarInfo("data")
+            d.type = tarfile.DIRTYPE
+            tar.addfile(d)
+            step = -(-len(data) // members_per_archive)
+            for m in range(members_per_archive):
+                part = data.iloc[m * step:(m + 1) * step]
+                if part.empty:
+                    continue
+                pb = io.BytesIO()
+                pq.write_table(pa.Table.from_pandas(part, preserve_index=False), pb)
+                info = tarfile.TarInfo(f"data/member-{m}.parquet")
+                info.size = len(pb.getvalue())
+                tar.addfile(info, io.BytesIO(pb.getvalue()))
+        filesystem, root = fs.FileSystem.from_uri(uri)
+        filesystem.create_dir(root, recursive=True)
+        with filesystem.open_output_stream(f"{root}/archive-{archive:05d}.tar") as f:
+            f.write(buf.getvalue())
+        return pd.DataFrame({"archive": [archive], "n_rows": [len(data)]})
+
+    written = df.select("*", key).groupBy("_archive").applyInPandas(build, out_schema)
+    written.write.format("noop").mode("overwrite").save()
+    return n_archives
+
+
+@query("scan_tar_parquet", PART_SQL_ALL)
+def q_scan_tar_parquet(spark, d):
+    path = shared_dir(spark, "tar")
+    part = _part(spark, d)
+    write_tar_archives(part, path, rows_per_archive=500)
+    return rd.scan_response(spark, "application/x-tar", path, part.schema).select(*PART_COLS)
+
+
 @query("scan_vendor_json", PART_SQL_ALL)
 def q_scan_vendor_json(spark, d):
     path = shared_dir(spark, "json")
