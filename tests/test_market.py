@@ -122,3 +122,28 @@ def test_scan_responses_many_dirs_per_type(spark, tmp_dir):
     out = rd.scan_responses(spark, manifest, df.schema, json_multi_line=False)
     assert sorted((r["a"], r["b"]) for r in out.collect()) == [(i, f"n{i}") for i in range(6)]
     assert out.where(F.col("source_file").contains("/r2/")).count() == 2
+
+
+def test_sql_functions_published_with_descriptions(spark):
+    h = ex.holdings(_positions(spark), _entity(spark), _prices(spark))
+    h.createOrReplaceTempView("tw_test_holdings")
+    names = pf.register_functions(spark, "tw_test_holdings")
+    assert names == ["get_portfolio_data", "holdings_in"]
+    rows = spark.sql("SELECT * FROM get_portfolio_data()").collect()
+    assert {r["ticker"] for r in rows} == {"BG-US", "HD-US", "XX-US"}
+    assert all(r["position_json"].startswith('{"ticker":') for r in rows)
+    retail = spark.sql("SELECT ticker FROM holdings_in('RETAIL')").collect()
+    assert [r["ticker"] for r in retail] == ["HD-US"]
+    desc = " ".join(str(r[0]) for r in spark.sql("DESCRIBE FUNCTION EXTENDED holdings_in").collect())
+    assert "industry contains" in desc
+
+
+def test_tar_archives_written_on_executors(spark, tmp_dir):
+    import glob
+    from tickwise.plans.roundtrips import write_tar_archives
+    df = spark.range(0, 1234).select(F.col("id"), (F.col("id") * 2).alias("v"))
+    n = write_tar_archives(df, f"{tmp_dir}/tars", rows_per_archive=300)
+    assert n == 5 and len(glob.glob(f"{tmp_dir}/tars/*.tar")) == 5
+    back = rd.scan_response(spark, "application/x-tar", f"{tmp_dir}/tars", df.schema)
+    assert back.count() == 1234 and back.select(F.sum("v")).first()[0] == 2 * sum(range(1234))
+    assert back.where(~F.col("member").startswith("data/member-")).count() == 0
