@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.guardrail import guardrail_category, guardrail_message, is_guardrail
+from ..functions.guardrail import CATEGORY_RULES, MSG_DEFAULT, guardrail_category, is_guardrail
 from ..functions.text import capitalise, clean_text, last_part, lookup, policy_error, reference_label
 from .windows import carry_forward, prefix_sum
 
@@ -115,7 +115,7 @@ def active_tools(catalog: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def tool_summary(tools: DataFrame) -> DataFrame:
-    """A4/O1 – tools grouped by type, names in (type, provider, position) order."""
+    """A4/O1 – tools grouped by type (sorted by type, as the tool builder groups them), ids sorted."""
     return tools.groupBy("tool_type").agg(
         F.count(F.lit(1)).alias("n_tools"),
         F.concat_ws(",", F.array_sort(F.collect_list(F.col("tool_id")))).alias("tool_ids"))
@@ -131,7 +131,7 @@ def guardrail_report(errors: DataFrame, body: str = "body") -> DataFrame:
 
 
 def guardrail_message_from_category(cat: str) -> Column:
-    from ..functions.guardrail import CATEGORY_RULES, MSG_DEFAULT
+    """X9 – friendly message of an already computed category."""
     expr = F.lit(MSG_DEFAULT)
     for label, _, msg in reversed(CATEGORY_RULES):
         expr = F.when(F.col(cat) == F.lit(label), F.lit(msg)).otherwise(expr)
@@ -140,4 +140,4 @@ def guardrail_message_from_category(cat: str) -> Column:
 
 __all__ = ["classify_message", "segment_questions", "final_answers", "conversation_context",
            "provider_of_calls", "carry_provider", "retrieved_documents", "supporting_documents",
-           "active_tools", "tool_summary", "guardrail_report", "guardrail_message", "guardrail_category"]
+           "active_tools", "tool_summary", "guardrail_report", "guardrail_message_from_category"]

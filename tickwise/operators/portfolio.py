@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise_ticker, row_json, ticker_root
 
-HOLDING_COLUMNS = ["ticker", "company_name", "industry", "sector", "country_of_domicile",
-                   "company_description", "number_of_shares"]
-
-
 def load_vendor_table(raw: DataFrame, market: str = "US") -> DataFrame:
     """P1 + P3 – derive TICKER from IDENTIFIER, then drop IDENTIFIER."""
     return raw.withColumn("TICKER", normalise_ticker("IDENTIFIER", market)).drop("IDENTIFIER")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -833,4 +833,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-__all__ = ["QUERIES", "ORACLE", "queries", "oracle_sql", "query", "Window"]
+__all__ = ["QUERIES", "ORACLE", "queries", "oracle_sql", "query"]
