@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guardrail import CATEGORY_RULES, MSG_DEFAULT, guardrail_category, is_guardrail
 from ..functions.text import capitalise, clean_text, last_part, lookup, policy_error, reference_label
-from .windows import carry_forward, prefix_sum
+from .windows import carry_forward, prefix_sum, prefix_sums
 
 TURN_BUCKET = 1024  # turns per bucket of the two-pass running sums
 DOCS_SCHEMA = "array<struct<page_content:string,metadata:map<string,string>>>"
@@ -59,11 +59,10 @@ def conversation_context(log: DataFrame, conv: str = "conv_id", turn: str = "tur
                          content: str = "content") -> DataFrame:
     """W7 – at each user message: number and characters of earlier user/assistant messages."""
     is_ctx = F.col(role).isin("user", "assistant")
-    with_n = prefix_sum(log, conv, turn, is_ctx.cast("long"), _turn_bucket(turn), "context_messages",
-                        inclusive=False)
     chars = F.when(is_ctx, F.coalesce(F.length(F.col(content)), F.lit(0))).otherwise(0).cast("long")
-    with_c = prefix_sum(with_n, conv, turn, chars, _turn_bucket(turn), "context_chars", inclusive=False)
-    return with_c.where(F.col(role) == "user").select(conv, turn, "context_messages", "context_chars")
+    sums = prefix_sums(log, conv, turn, {"context_messages": is_ctx.cast("long"), "context_chars": chars},
+                       _turn_bucket(turn), inclusive=False)
+    return sums.where(F.col(role) == "user").select(conv, turn, "context_messages", "context_chars")
 
 
 def provider_of_calls(calls: DataFrame, catalog: DataFrame, name: str = "function_name") -> DataFrame:

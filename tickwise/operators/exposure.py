@@ -84,14 +84,22 @@ def exposure_cube(h: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def concentration(h: DataFrame, dim: str, top_n: int = 3) -> DataFrame:
-    """A10 – Herfindahl index Σw² over the groups of ``dim`` and the top-n groups' share."""
-    w = exposure_by(h, dim).where(F.col("weight").isNotNull())
-    top = w.orderBy(F.col("weight").desc(), F.col(dim).asc()).limit(top_n).agg(F.sum("weight")).scalar()
-    return w.agg(
-        F.count(F.lit(1)).alias("n_groups"),
-        F.sum(F.col("weight") * F.col("weight")).alias("hhi"),
-        F.max("weight").alias("max_weight"),
-    ).withColumn(f"top{top_n}_share", top)
+    """A10 – Herfindahl index Σw² over the groups of ``dim``, the largest weight and
+    the top-n groups' share.
+
+    One grouped aggregate feeds everything: with s = Σv over the group values
+    v, the index Σ(v/s)² is Σv²/s² and the shares are v/s, so one row of sums
+    suffices; only the top-n sum is a second (take-ordered) subquery.
+    """
+    g = h.groupBy(dim).agg(F.sum("market_value").alias("_v")).where(F.col("_v").isNotNull())
+    top = g.orderBy(F.col("_v").desc(), F.col(dim).asc()).limit(top_n).agg(F.sum("_v")).scalar()
+    sums = g.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("_v").alias("_s"),
+                 F.sum(F.col("_v") * F.col("_v")).alias("_s2"), F.max("_v").alias("_m"))
+    return sums.select(
+        "n_groups",
+        F.try_divide(F.col("_s2"), F.col("_s") * F.col("_s")).alias("hhi"),
+        F.try_divide(F.col("_m"), F.col("_s")).alias("max_weight"),
+        F.try_divide(top, F.col("_s")).alias(f"top{top_n}_share"))
 
 
 def rank_drivers(h: DataFrame, key: str = "ticker", value: str = "market_value") -> DataFrame:

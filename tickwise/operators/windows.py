@@ -18,23 +18,38 @@ def _cols(x):
     return [x] if isinstance(x, (str, Column)) else list(x)
 
 
-def prefix_sum(df: DataFrame, keys, order, value, bucket: Column, out: str, inclusive: bool = True) -> DataFrame:
-    """Running sum of ``value`` per key in ``order``, computed per (key, bucket) then offset.
+def prefix_sums(df: DataFrame, keys, order, values: dict, bucket: Column, inclusive: bool = True) -> DataFrame:
+    """Running sums of several ``values`` ({out: column}) per key in ``order``, in one pass.
 
-    ``bucket`` must be monotone in ``order`` (e.g. ``floor(turn / 1024)`` or the
-    date of a timestamp).
+    Sums are computed per (key, bucket), then offset by the totals of the
+    earlier buckets of the same key (one small row per bucket). ``bucket`` must
+    be monotone in ``order`` (e.g. ``floor(turn / 1024)`` or the date of a
+    timestamp).
     """
     keys, order = _cols(keys), _cols(order)
     end = Window.currentRow if inclusive else -1
-    b = df.withColumn("_bucket", bucket).withColumn("_v", F.col(value) if isinstance(value, str) else value)
+    b = df.withColumn("_bucket", bucket)
+    tmp = {out: f"_v{i}" for i, out in enumerate(values)}
+    for out, v in values.items():
+        b = b.withColumn(tmp[out], F.col(v) if isinstance(v, str) else v)
     w_local = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    local = b.withColumn("_local", F.coalesce(F.sum("_v").over(w_local), F.lit(0)))
-    totals = b.groupBy(*keys, "_bucket").agg(F.sum("_v").alias("_bt"))
+    local = b
+    for out in values:
+        local = local.withColumn(f"{tmp[out]}_l", F.coalesce(F.sum(tmp[out]).over(w_local), F.lit(0)))
+    totals = b.groupBy(*keys, "_bucket").agg(*[F.sum(tmp[o]).alias(f"{tmp[o]}_t") for o in values])
     w_b = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_bucket", F.coalesce(F.sum("_bt").over(w_b), F.lit(0)).alias("_off"))
-    return (local.join(offsets, [*keys, "_bucket"], "left")
-            .withColumn(out, F.col("_local") + F.col("_off"))
-            .drop("_bucket", "_v", "_local", "_off"))
+    offsets = totals.select(*keys, "_bucket", *[
+        F.coalesce(F.sum(f"{tmp[o]}_t").over(w_b), F.lit(0)).alias(f"{tmp[o]}_o") for o in values])
+    out_df = local.join(offsets, [*keys, "_bucket"], "left")
+    for out in values:
+        out_df = out_df.withColumn(out, F.col(f"{tmp[out]}_l") + F.col(f"{tmp[out]}_o"))
+    drop = ["_bucket"] + [c for o in values for c in (tmp[o], f"{tmp[o]}_l", f"{tmp[o]}_o")]
+    return out_df.drop(*drop)
+
+
+def prefix_sum(df: DataFrame, keys, order, value, bucket: Column, out: str, inclusive: bool = True) -> DataFrame:
+    """Running sum of one ``value`` per key in ``order`` (see ``prefix_sums``)."""
+    return prefix_sums(df, keys, order, {out: value}, bucket, inclusive)
 
 
 def carry_forward(df: DataFrame, keys, order, value: str, bucket: Column, out: str) -> DataFrame:
@@ -44,15 +59,13 @@ def carry_forward(df: DataFrame, keys, order, value: str, bucket: Column, out: s
     w_local = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = b.withColumn("_local", F.last(value, ignorenulls=True).over(w_local))
     ord_struct = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    per_bucket = (b.where(F.col(value).isNotNull()).groupBy(*keys, "_bucket")
-                  .agg(F.max_by(F.col(value), ord_struct).alias("_bl")))
-    # Every bucket (also one without any non-null value) needs the value carried
-    # from the nearest earlier bucket that has one: one summary row per bucket.
-    all_buckets = b.select(*keys, "_bucket").distinct()
-    summary = all_buckets.join(per_bucket, [*keys, "_bucket"], "left")
+    # One summary row per bucket: its last non-null value (``max_by`` skips rows
+    # whose ordering is NULL, and a bucket of NULLs keeps a NULL summary).
+    per_bucket = b.groupBy(*keys, "_bucket").agg(
+        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), ord_struct)).alias("_bl"))
     w_b = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.withColumn("_carry", F.last("_bl", ignorenulls=True).over(w_b))
-    return (local.join(summary.select(*keys, "_bucket", "_carry"), [*keys, "_bucket"], "left")
+    summary = per_bucket.select(*keys, "_bucket", F.last("_bl", ignorenulls=True).over(w_b).alias("_carry"))
+    return (local.join(summary, [*keys, "_bucket"], "left")
             .withColumn(out, F.coalesce(F.col("_local"), F.col("_carry")))
             .drop("_bucket", "_local", "_carry"))
 
