@@ -1,10 +1,10 @@
 """Filings text analytics and embedding.
 
 Texts are tokenised whole (letter runs, lower case). Matching against a
-lexicon never forms document × term pairs: each document's token array is
-filtered in place against the lexicon (a hash-set membership test inside
-codegen), only the matching tokens are exploded, and they are joined to the
-lexicon table, which is configuration of proven (small) size and broadcast.
+lexicon never forms document × term pairs: tokens are exploded and filtered
+against the lexicon in the same codegen stage (a hash-set membership test),
+and only the matching tokens are joined to the lexicon table, which is
+configuration of proven (small) size and broadcast.
 """
 
 from __future__ import annotations
@@ -20,18 +20,23 @@ def _lexicon_df(spark: SparkSession, mapping: dict[str, str], key: str, value: s
     return spark.createDataFrame(rows, f"{key} string, {value} string")
 
 
-def _matched_tokens(chunks: DataFrame, text: str, terms: list[str]) -> DataFrame:
+def _matched_tokens(chunks: DataFrame, key: str, text: str, terms: list[str], out: str) -> DataFrame:
+    """(key, token) rows for the tokens of ``text`` that are lexicon terms.
+
+    The token array is exploded and filtered with ``isin`` right away: explode,
+    filter and projection are one codegen stage, and ``isin`` over many terms
+    becomes a hash-set lookup. Only matching tokens survive to the join.
+    """
     terms = sorted({t.lower() for t in terms})
-    hits = F.filter(tokens(text), lambda t: t.isin(*terms))
-    return chunks.withColumn("_hits", hits).where(F.size("_hits") > 0)
+    return (chunks.select(key, F.explode(tokens(text)).alias(out))
+            .where(F.col(out).isin(*terms)))
 
 
 def link_mentions(chunks: DataFrame, aliases: dict[str, str], doc: str = "chunk_id", text: str = "content") -> DataFrame:
     """J6 – mentions of holdings (by alias word) in each chunk: (doc, ticker, n_mentions)."""
     lex = _lexicon_df(chunks.sparkSession, aliases, "alias", "ticker")
-    m = _matched_tokens(chunks.select(doc, text), text, list(aliases))
-    exploded = m.select(doc, F.explode("_hits").alias("alias"))
-    return (exploded.join(F.broadcast(lex), "alias")
+    hits = _matched_tokens(chunks, doc, text, list(aliases), "alias")
+    return (hits.join(F.broadcast(lex), "alias")
             .groupBy(doc, "ticker").agg(F.count(F.lit(1)).alias("n_mentions")))
 
 
@@ -39,16 +44,15 @@ def risk_signals(chunks: DataFrame, lexicon: dict[str, str], ticker: str = "symb
                  text: str = "content") -> DataFrame:
     """A14/X20 – risk-signal term counts by ticker and signal family."""
     lex = _lexicon_df(chunks.sparkSession, lexicon, "term", "signal")
-    m = _matched_tokens(chunks.select(ticker, text), text, list(lexicon))
-    exploded = m.select(ticker, F.explode("_hits").alias("term"))
-    return (exploded.join(F.broadcast(lex), "term")
+    hits = _matched_tokens(chunks, ticker, text, list(lexicon), "term")
+    return (hits.join(F.broadcast(lex), "term")
             .groupBy(ticker, "signal").agg(F.count(F.lit(1)).alias("n_hits")))
 
 
 def theme_exposure(h: DataFrame, chunks: DataFrame, terms: list[str], ticker: str = "symbol",
                    text: str = "content", holding_key: str = "ticker") -> DataFrame:
     """P13 – holdings of companies whose filings mention any theme term (semi-join)."""
-    m = (_matched_tokens(chunks.select(ticker, text), text, terms)
+    m = (_matched_tokens(chunks, ticker, text, terms, "_term")
          .select(F.col(ticker).alias(holding_key)).distinct())
     return h.join(m, holding_key, "left_semi")
 
