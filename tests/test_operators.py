@@ -194,3 +194,19 @@ def test_upsert_of_changes_is_new_and_sync_is_idempotent(spark, tmp_dir):
     assert snap.committed_versions(spark, root) == [1, 2]
     latest = snap.read_snapshot(spark, root)
     assert sorted(map(tuple, latest.collect())) == sorted(map(tuple, new.collect()))
+
+
+def test_sync_transforms_only_changed_rows(spark, tmp_dir):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    new = spark.createDataFrame([(1, "a"), (2, "B"), (4, "d")], "k int, v string")
+    root = f"{tmp_dir}/emb_index"
+    tag = {"value": "v1"}
+
+    def transform(df):
+        return df.withColumn("embedded_in", F.lit(tag["value"]))
+
+    snap.sync_index(spark, old.withColumn("_change_type", F.lit("insert")), root, "k", transform=transform, version=1)
+    tag["value"] = "v2"
+    snap.sync_index(spark, snap.changes_between(old, new, "k"), root, "k", transform=transform, version=2)
+    got = {r["k"]: (r["v"], r["embedded_in"]) for r in snap.read_snapshot(spark, root).collect()}
+    assert got == {1: ("a", "v1"), 2: ("B", "v2"), 4: ("d", "v2")}

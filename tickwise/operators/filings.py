@@ -57,12 +57,21 @@ def theme_exposure(h: DataFrame, chunks: DataFrame, terms: list[str], ticker: st
     return h.join(m, holding_key, "left_semi")
 
 
-def embed(df: DataFrame, text: str = "content", num_features: int = 1 << 18, out: str = "embedding") -> DataFrame:
-    """F4 – text → L2-normalised TF-IDF vector (hashing TF, so no vocabulary on the driver)."""
+def embed(df: DataFrame, text: str = "content", num_features: int = 1 << 18, out: str = "embedding",
+          idf: bool = True) -> DataFrame:
+    """F4 – text → L2-normalised TF-IDF vector (hashing TF, so no vocabulary on the driver).
+
+    ``idf=False`` gives the stateless form (hashing TF, L2-normalised): each row's
+    vector depends on its own text only, so an index synced batch by batch stays
+    consistent across versions.
+    """
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
 
     with_tokens = df.withColumn("_tokens", tokens(text))
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features).transform(with_tokens)
-    idf_model = IDF(inputCol="_tf", outputCol="_tfidf").fit(tf)
-    vec = Normalizer(inputCol="_tfidf", outputCol=out, p=2.0).transform(idf_model.transform(tf))
-    return vec.drop("_tokens", "_tf", "_tfidf")
+    if idf:
+        tf = IDF(inputCol="_tf", outputCol="_w").fit(tf).transform(tf)
+    else:
+        tf = tf.withColumnRenamed("_tf", "_w")
+    vec = Normalizer(inputCol="_w", outputCol=out, p=2.0).transform(tf)
+    return vec.drop("_tokens", "_tf", "_w")

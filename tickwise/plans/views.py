@@ -186,6 +186,30 @@ filings AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id,
   'C' || substr(source, 4) || '-US' AS symbol, text AS content FROM documents)"""
 
 
+# filings snapshots for the index sync: the old one lacks one language, the new one
+# lacks one source and amends the text of another language
+FILINGS_OLD_WITHOUT_LANG = "es"
+FILINGS_NEW_WITHOUT_SOURCE = "src3"
+FILINGS_AMENDED_LANG = "de"
+AMENDMENT = " [amended]"
+
+
+def filings_old(spark: SparkSession, d: str) -> DataFrame:
+    return filings(spark, d).where(F.col("document_type") != FILINGS_OLD_WITHOUT_LANG)
+
+
+def filings_new(spark: SparkSession, d: str) -> DataFrame:
+    f = filings(spark, d).where(F.col("company_name") != FILINGS_NEW_WITHOUT_SOURCE)
+    return f.withColumn("content", F.when(F.col("document_type") == FILINGS_AMENDED_LANG,
+                                          F.concat(F.col("content"), F.lit(AMENDMENT))).otherwise(F.col("content")))
+
+
+FILINGS_SNAPSHOTS_SQL = f"""
+filings_new AS (SELECT * REPLACE (CASE WHEN document_type = '{FILINGS_AMENDED_LANG}'
+                                       THEN content || '{AMENDMENT}' ELSE content END AS content)
+                FROM filings WHERE company_name <> '{FILINGS_NEW_WITHOUT_SOURCE}')"""
+
+
 # --------------------------------------------------------------------------- message log
 def message_log(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")

@@ -108,7 +108,12 @@ def sync_index(spark: SparkSession, changes: DataFrame, root: str, key: str | li
     versions = committed_versions(spark, root)
     if version is not None and version in versions:
         return version
-    upserts = changes if transform is None else transform(changes)
+    if transform is None:
+        upserts = changes
+    else:
+        # only inserted / updated rows are transformed (e.g. embedded); deletes carry keys only
+        live = transform(changes.where(F.col(CHANGE_TYPE) != F.lit(DELETE)))
+        upserts = live.unionByName(changes.where(F.col(CHANGE_TYPE) == F.lit(DELETE)), allowMissingColumns=True)
     older = [v for v in versions if version is None or v < version]
     if older:
         base = read_snapshot(spark, root, older[-1])

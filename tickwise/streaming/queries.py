@@ -72,3 +72,29 @@ def q_stream_carry_provider(spark, d):
     run_available_now(carried.select("event_id", "user_id", "provider", "current_provider"),
                       f"{root}/out", f"{root}/_checkpoint")
     return spark.read.parquet(f"{root}/out")
+
+
+@query("stream_sync_filings", V.with_ctes(V.FILINGS_SQL, V.FILINGS_SNAPSHOTS_SQL) + """
+SELECT chunk_id, symbol, length(content) AS content_chars, true AS has_embedding FROM filings_new""")
+def q_stream_sync_filings(spark, d):
+    """T3 + F4: the filings index synced by change batches; only inserted or
+    changed content is embedded (stateless hashing TF, so versions agree)."""
+    from ..operators.filings import embed
+    root = shared_dir(spark, "stream_sync_filings")
+    incoming, index, ckpt = f"{root}/changes", f"{root}/index", f"{root}/_checkpoint"
+    old, new = V.filings_old(spark, d), V.filings_new(spark, d)
+    changes = changes_between(old, new, "chunk_id")
+    schema = changes.schema
+    old.withColumn("_change_type", F.lit("insert")).select(schema.fieldNames()).write.parquet(f"{incoming}/0001")
+
+    def embed_content(df):
+        return embed(df, "content", num_features=1 << 12, idf=False)
+
+    stream = spark.readStream.schema(schema).parquet(f"{incoming}/*")
+    start_index_sync(stream, index, "chunk_id", ckpt, transform=embed_content).awaitTermination()
+    changes.write.parquet(f"{incoming}/0002")
+    stream = spark.readStream.schema(schema).parquet(f"{incoming}/*")
+    start_index_sync(stream, index, "chunk_id", ckpt, transform=embed_content).awaitTermination()
+    idx = read_snapshot(spark, index)
+    return idx.select("chunk_id", "symbol", F.length("content").alias("content_chars"),
+                      F.col("embedding").isNotNull().alias("has_embedding"))
