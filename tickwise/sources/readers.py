@@ -8,7 +8,6 @@ it; repartition afterwards if it is large).
 
 from __future__ import annotations
 
-import io
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,11 +120,15 @@ def split_marked_lines(df: DataFrame, names: list[str], sep: str = "|", keep: li
     return df.select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)], *(keep or []))
 
 
-def scan_tar_parquet(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """S5 – Parquet members of tar archives, one task per archive; non-file members skipped.
+def scan_tar_parquet(spark: SparkSession, path: str | list[str], schema: T.StructType,
+                     rows_per_batch: int = 65_536) -> DataFrame:
+    """S5 – Parquet members of tar archives; non-file members skipped; ``member`` keeps the name.
 
-    ``binaryFile`` hands each archive to one task; members are decoded from
-    memory with pyarrow and never written to disk. ``member`` keeps the name.
+    Only the archive paths are scanned (``binaryFile`` splits them over tasks by
+    size). Each task opens its archives as streams on the executor and reads the
+    members one after another; a member is decoded in memory (Parquet needs
+    random access) and emitted in record batches of ``rows_per_batch``, so
+    nothing larger than one member is held and nothing is written to disk.
     """
     out_schema = T.StructType(schema.fields + [T.StructField("member", T.StringType(), True)])
     names = [f.name for f in schema.fields]
@@ -133,28 +136,31 @@ def scan_tar_parquet(spark: SparkSession, path: str | list[str], schema: T.Struc
     def unpack(batches):
         import tarfile
 
-        import pandas as pd
+        import pyarrow as pa
         import pyarrow.parquet as pq
+        from pyarrow import fs
         for pdf in batches:
-            for content in pdf["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r") as tar:
-                    for member in tar.getmembers():
+            for archive in pdf["path"]:
+                filesystem, fpath = fs.FileSystem.from_uri(archive)
+                with filesystem.open_input_stream(fpath) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
+                    for member in tar:
                         if not member.isfile():
                             continue
                         fh = tar.extractfile(member)
                         if fh is None:
                             continue
-                        table = pq.read_table(io.BytesIO(fh.read()), columns=names)
-                        part = table.to_pandas()
+                        table = pq.read_table(pa.BufferReader(fh.read()))
                         for n in names:
-                            if n not in part.columns:
-                                part[n] = None
-                        part = part[names]
-                        part["member"] = member.name
-                        yield pd.DataFrame(part)
-
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    return raw.mapInPandas(unpack, out_schema)
+                            if n not in table.column_names:
+                                table = table.append_column(n, pa.nulls(table.num_rows))
+                        table = table.select(names)
+                        for batch in table.to_batches(max_chunksize=rows_per_batch):
+                            part = batch.to_pandas()
+                            part["member"] = member.name
+                            yield part
+
+    archives = spark.read.format("binaryFile").load(path).select("path")
+    return archives.mapInPandas(unpack, out_schema)
 
 
 def scan_response(spark: SparkSession, content_type: str, path: str | list[str],
