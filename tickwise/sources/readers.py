@@ -8,7 +8,6 @@ it; repartition afterwards if it is large).
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
