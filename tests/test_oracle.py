@@ -26,9 +26,16 @@ def duck():
     return cons
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 def _compare(spark, duck, name, sf):
     df = QUERIES[name](spark, sf)
     cols = df.columns
+    rel = duck[sf].sql(ORACLE[name])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == duck_types
     srows = [tuple(r) for r in df.collect()]
     res = duck[sf].execute(ORACLE[name])
     dcols = [c[0] for c in res.description]

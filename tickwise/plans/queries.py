@@ -98,8 +98,8 @@ def q_unmatched_positions(spark, d):
 
 
 @query("portfolio_json", BASE + """
-SELECT ticker, to_json(struct_pack(ticker := ticker, company_name := company_name, industry := industry,
-                                   sector := sector, number_of_shares := number_of_shares)) AS position_json
+SELECT ticker, CAST(to_json(struct_pack(ticker := ticker, company_name := company_name, industry := industry,
+                                   sector := sector, number_of_shares := number_of_shares)) AS VARCHAR) AS position_json
 FROM holdings""")
 def q_portfolio_json(spark, d):
     return pf.portfolio_json(_holdings(spark, d))
@@ -127,8 +127,8 @@ def q_holdings_in(spark, d):
 
 
 @query("portfolio_function", BASE + """
-SELECT ticker, to_json(struct_pack(ticker := ticker, company_name := company_name, industry := industry,
-                                   sector := sector, number_of_shares := number_of_shares)) AS position_json
+SELECT ticker, CAST(to_json(struct_pack(ticker := ticker, company_name := company_name, industry := industry,
+                                   sector := sector, number_of_shares := number_of_shares)) AS VARCHAR) AS position_json
 FROM holdings""")
 def q_portfolio_function(spark, d):
     view = "tickwise_holdings"
@@ -466,7 +466,8 @@ def q_rank_drivers(spark, d):
 v AS (SELECT p.TICKER AS ticker, p.number_of_shares, x.price_date, x.PX_LAST AS last_price,
         p.number_of_shares * x.PX_LAST AS market_value
       FROM positions_n p LEFT JOIN px_latest x ON p.TICKER = x.TICKER)
-SELECT column_name, null_count, row_count, round(null_count / row_count, 8) AS null_rate FROM (
+SELECT column_name, CAST(null_count AS BIGINT) AS null_count, row_count,
+  round(null_count / row_count, 8) AS null_rate FROM (
   SELECT 'ticker' AS column_name, count_if(ticker IS NULL) AS null_count, count(*) AS row_count FROM v
   UNION ALL SELECT 'number_of_shares', count_if(number_of_shares IS NULL), count(*) FROM v
   UNION ALL SELECT 'price_date', count_if(price_date IS NULL), count(*) FROM v

@@ -96,5 +96,5 @@ def q_stream_sync_filings(spark, d):
     stream = spark.readStream.schema(schema).parquet(f"{incoming}/*")
     start_index_sync(stream, index, "chunk_id", ckpt, transform=embed_content).awaitTermination()
     idx = read_snapshot(spark, index)
-    return idx.select("chunk_id", "symbol", F.length("content").alias("content_chars"),
+    return idx.select("chunk_id", "symbol", F.length("content").cast("bigint").alias("content_chars"),
                       F.col("embedding").isNotNull().alias("has_embedding"))
