@@ -147,3 +147,19 @@ def test_tar_archives_written_on_executors(spark, tmp_dir):
     back = rd.scan_response(spark, "application/x-tar", f"{tmp_dir}/tars", df.schema)
     assert back.count() == 1234 and back.select(F.sum("v")).first()[0] == 2 * sum(range(1234))
     assert back.where(~F.col("member").startswith("data/member-")).count() == 0
+
+
+def test_industry_stats_with_spreads(spark):
+    px = spark.createDataFrame([
+        ("BG-US", "2024-01-02", 100, 10.0, 10.2), ("BG-US", "2024-01-03", 300, None, 11.0),
+        ("HD-US", "2024-01-02", 50, 5.0, 5.1), ("XX-US", "2024-01-02", 7, 1.0, 1.5)],
+        "TICKER string, DATE string, PX_VOLUME long, PX_BID double, PX_ASK double")
+    ent = spark.createDataFrame([("BG-US", "Food"), ("HD-US", "Food"), ("XX-US", "Retail")],
+                                "TICKER string, INDUSTRY_GROUP string")
+    got = {r["industry"]: r for r in mk.industry_stats(px, ent).collect()}
+    food = got["Food"]
+    assert (food["n_bars"], food["n_tickers"], food["total_volume"], food["min_volume"], food["max_volume"]) == (
+        3, 2, 450, 50, 300)
+    assert math.isclose(food["avg_volume"], 150.0)
+    assert math.isclose(food["avg_spread"], (0.2 + 0.1) / 2)              # the bar without a bid has no spread
+    assert got["Retail"]["n_tickers"] == 1 and math.isclose(got["Retail"]["avg_spread"], 0.5)
