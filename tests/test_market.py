@@ -163,3 +163,37 @@ def test_industry_stats_with_spreads(spark):
     assert math.isclose(food["avg_volume"], 150.0)
     assert math.isclose(food["avg_spread"], (0.2 + 0.1) / 2)              # the bar without a bid has no spread
     assert got["Retail"]["n_tickers"] == 1 and math.isclose(got["Retail"]["avg_spread"], 0.5)
+
+
+def test_bucketed_windows_equal_plain_per_ticker_windows(spark):
+    """Halo-bucketed lag / rolling windows = plain per-ticker windows, for any bucketing."""
+    import datetime as dt
+    import random
+
+    from pyspark.sql import Window
+    rng = random.Random(9)
+    rows = []
+    for t in ["HOT", "B", "C"]:
+        day = dt.date(2023, 1, 2)
+        for _ in range(400 if t == "HOT" else 40):
+            day += dt.timedelta(days=rng.choice([1, 1, 1, 3, 17, 45]))           # gaps across months
+            px = rng.choice([None, 0.0, round(rng.uniform(1, 100), 2)]) if rng.random() < 0.1 \
+                else round(rng.uniform(1, 100), 2)
+            rows.append((t, day.isoformat(), px, rng.randint(1, 5)))
+    prices = spark.createDataFrame(rows, "TICKER string, DATE string, PX_LAST double, PX_VOLUME long")
+    w = Window.partitionBy("TICKER").orderBy("DATE")
+    prev = F.lag("PX_LAST").over(w)
+    plain = prices.withColumn("daily_return", F.when(prev.isNull() | (prev == 0), None)
+                              .otherwise(F.col("PX_LAST") / prev - 1.0))
+    plain = plain.withColumn("rolling_vol", F.stddev_samp("daily_return").over(w.rowsBetween(-4, 0)))
+    expected = {(r["TICKER"], r["DATE"]): (r["daily_return"], r["rolling_vol"]) for r in plain.collect()}
+    for bucket in (F.to_date("DATE"), F.date_trunc("month", F.col("DATE").cast("timestamp")),
+                   F.year(F.col("DATE").cast("date"))):
+        rets = mk.daily_returns(prices, bucket=bucket)
+        vol = mk.rolling_volatility(rets, 5, bucket=bucket)
+        got = {(r["TICKER"], r["DATE"]): (r["daily_return"], r["rolling_vol"]) for r in vol.collect()}
+        assert got.keys() == expected.keys()
+        for k, (a, b) in expected.items():
+            ga, gb = got[k]
+            assert (a is None and ga is None) or math.isclose(a, ga, rel_tol=1e-12, abs_tol=1e-12), k
+            assert (b is None and gb is None) or math.isclose(b, gb, rel_tol=1e-9, abs_tol=1e-12), k

@@ -70,6 +70,33 @@ def carry_forward(df: DataFrame, keys, order, value: str, bucket: Column, out: s
             .drop("_bucket", "_local", "_carry"))
 
 
+def with_halo(df: DataFrame, keys, order, bucket: Column, halo_rows: int) -> DataFrame:
+    """Rows grouped by (key, bucket), each group preceded by a halo of the last
+    ``halo_rows`` rows of the same key from earlier buckets.
+
+    A window with at most ``halo_rows`` preceding rows, partitioned by
+    ``(*keys, "_bucket")`` and ordered by ``order``, then gives exactly the
+    per-key result; drop the rows with ``_halo`` afterwards. The halo is built
+    from bounded pieces only: the last ``halo_rows`` rows of every bucket (a
+    window group limit) and, per bucket, the ids of the ``halo_rows`` buckets
+    before it (every listed bucket has at least one row, so they suffice).
+    """
+    keys, order = _cols(keys), _cols(order)
+    b = df.withColumn("_bucket", bucket).withColumn("_halo", F.lit(False))
+    if halo_rows <= 0:
+        return b
+    desc = [F.col(o).desc() if isinstance(o, str) else o.desc() for o in order]
+    tails = top_k_per_group(b, [*keys, "_bucket"], desc, halo_rows, "_tail_rank").drop("_tail_rank")
+    buckets = b.select(*keys, "_bucket").distinct()
+    w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(-halo_rows, -1)
+    sources = (buckets.withColumn("_prev", F.collect_list("_bucket").over(w))
+               .select(*keys, F.col("_bucket").alias("_target"), F.explode("_prev").alias("_bucket")))
+    halo = (tails.join(sources, [*keys, "_bucket"])
+            .withColumn("_bucket", F.col("_target")).drop("_target"))
+    halo = top_k_per_group(halo, [*keys, "_bucket"], desc, halo_rows, "_tail_rank").drop("_tail_rank")
+    return b.unionByName(halo.withColumn("_halo", F.lit(True)))
+
+
 def dense_rank_desc(df: DataFrame, value: str, out: str, partitions: int | None = None) -> DataFrame:
     """``dense_rank() over (order by value desc)`` without a single-partition window.
 
