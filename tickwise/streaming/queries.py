@@ -42,22 +42,45 @@ def q_stream_sync_index(spark, d):
     return read_snapshot(spark, index).select(*new.columns)
 
 
-@query("stream_match_notifications")
+@query("stream_match_notifications", """
+WITH req AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS identifier, ts AS submitted_at, event_id AS request_event_id
+             FROM events WHERE event_type = 'signup'),
+n AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS base, ts AS received_at FROM events WHERE event_type = 'purchase')
+SELECT identifier, request_event_id, submitted_at,
+  NOT EXISTS (SELECT 1 FROM n WHERE n.base = req.identifier AND n.received_at >= req.submitted_at
+              AND n.received_at <= req.submitted_at + INTERVAL 45 MINUTE) AS timed_out
+FROM req""")
 def q_stream_match_notifications(spark, d):
+    """T1 on a stream: every request once, matched or timed out.
+
+    The input is the events table as a stream plus two sentinel events derived
+    from it (a request and a notification 30 days after the last event, on
+    identifiers no real request uses). They move the watermark past every real
+    deadline, so the timed-out requests are emitted too. One row per request is
+    kept inside the stream (``dropDuplicatesWithinWatermark``).
+    """
     root = shared_dir(spark, "stream_match")
-    ev = stream_table(spark, d, "events.parquet")
+    events = V.read(spark, d, "events")
+    sentinels = (events.agg(F.max("ts").alias("ts"))
+                 .select(F.inline(F.array(
+                     F.struct(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"),
+                              F.lit(-1).cast("long").alias("user_id"), F.lit("signup").alias("event_type")),
+                     F.struct(F.lit(-2).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"),
+                              F.lit(-2).cast("long").alias("user_id"), F.lit("purchase").alias("event_type"))))))
+    sentinels.write.parquet(f"{root}/sentinel")
+    cols = ["event_id", "ts", "user_id", "event_type"]
+    ev = stream_table(spark, d, "events.parquet").select(*cols).unionByName(
+        spark.readStream.schema(sentinels.schema).parquet(f"{root}/sentinel"))
     req = ev.where(F.col("event_type") == "signup").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("identifier"),
         F.col("ts").alias("submitted_at"), F.col("event_id").alias("request_event_id"))
     notif = ev.where(F.col("event_type") == "purchase").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".json")).alias("generated_identifier"),
-        F.col("ts").alias("received_at"), F.col("event_id").alias("notification_id"),
-        _content_type("value").alias("content_type"))
+        F.col("ts").alias("received_at"), F.col("event_id").alias("notification_id"))
     joined = stream_match_notifications(req, notif, MAX_AWAIT_MINUTES, request_key="request_event_id").select(
-        "identifier", "request_event_id", F.col("_submitted").alias("submitted_at"), "notification_id",
-        "content_type", F.col("notification_id").isNull().alias("timed_out"))
+        "identifier", "request_event_id", "submitted_at", F.col("notification_id").isNull().alias("timed_out"))
     run_available_now(joined, f"{root}/out", f"{root}/_checkpoint")
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.parquet(f"{root}/out").where(F.col("request_event_id") >= 0)
 
 
 @query("stream_carry_provider", ORACLE["carry_provider"])
