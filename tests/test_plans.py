@@ -59,3 +59,9 @@ def test_exposure_weights_use_a_scalar_subquery_not_a_window(spark):
 def test_lexicon_join_is_broadcast_and_tokens_prefiltered(spark):
     plan = _plan(QUERIES["link_mentions"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in plan and "Generate explode" in plan
+
+
+def test_history_request_range_reaches_the_events_scan(spark):
+    plan = _plan(QUERIES["data_request_history"](spark, SF_SMALL))
+    scan = [line for line in plan.splitlines() if "FileScan parquet" in line and "ts#" in line][0]
+    assert "GreaterThanOrEqual(ts,2024-01-01T00:00)" in scan and "LessThan(ts,2024-02-02T00:00)" in scan

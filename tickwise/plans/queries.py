@@ -155,7 +155,8 @@ WHERE TICKER IN (SELECT TICKER FROM positions_n)
   AND CAST(DATE AS DATE) BETWEEN DATE '{_H_START}' AND DATE '{_H_END}'""")
 def q_data_request_history(spark, d):
     universe = V.positions(spark, d).select(X.normalise_ticker("ticker").alias("TICKER"))
-    return rq.data_request(V.prices(spark, d), universe, HISTORY_FIELDS, date_col="DATE",
+    # The bars are built only from events inside the range (pushed to the events scan).
+    return rq.data_request(V.prices(spark, d, _H_START, _H_END), universe, HISTORY_FIELDS, date_col="DATE",
                            start=_H_START, end=_H_END)
 
 

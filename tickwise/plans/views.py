@@ -120,9 +120,17 @@ positions_n AS (SELECT split_part(ticker, ' ', 1) || '-US' AS TICKER, number_of_
 
 
 # --------------------------------------------------------------------------- prices
-def prices(spark: SparkSession, d: str) -> DataFrame:
-    """Daily bars per user (= company) from events: open/high/low/last of value, volume = count."""
+def prices(spark: SparkSession, d: str, start=None, end=None) -> DataFrame:
+    """Daily bars per user (= company) from events: open/high/low/last of value, volume = count.
+
+    ``start`` / ``end`` (dates, inclusive) restrict the events before the bars
+    are built; the range is on the raw timestamp, so it is pushed to the scan.
+    """
     e = read(spark, d, "events")
+    if start is not None:
+        e = e.where(F.col("ts") >= F.lit(start.isoformat()).cast("timestamp_ntz"))
+    if end is not None:
+        e = e.where(F.col("ts") < F.date_add(F.lit(end.isoformat()).cast("date"), 1).cast("timestamp_ntz"))
     day = F.to_date("ts")
     bars = e.groupBy("user_id", day.alias("_day")).agg(
         F.max("value").alias("PX_HIGH"),
