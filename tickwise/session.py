@@ -93,3 +93,29 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the files below ``paths`` (Hadoop content summaries; metadata only)."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        jpath = jvm.org.apache.hadoop.fs.Path(p)
+        total += jpath.getFileSystem(conf).getContentSummary(jpath).getLength()
+    return int(total)
+
+
+def size_shuffles(spark: SparkSession, paths: list[str], target_bytes: int = 256 << 20,
+                  min_partitions: int | None = None) -> int:
+    """Set the shuffle partition count so one partition holds about ``target_bytes`` of input.
+
+    AQE coalesces partitions that turn out small and splits skewed ones, so the
+    count only has to be large enough for the biggest shuffle; the input size is
+    a safe upper estimate. Returns the count that was set.
+    """
+    floor = min_partitions or spark.sparkContext.defaultParallelism
+    n = max(floor, -(-input_bytes(spark, paths) // target_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(min(target_bytes, 256 << 20)))
+    return n
