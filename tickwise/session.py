@@ -9,7 +9,6 @@ Everything else is left to the cluster's own defaults.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -73,28 +72,6 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "tickwise", *parts, uuid.uuid4().hex])
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure ``SparkContext.checkpoint`` has a shared folder to write to."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tickwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python-side helpers can open the path."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
-
-
 def input_bytes(spark: SparkSession, paths: list[str]) -> int:
     """Total size of the files below ``paths`` (Hadoop content summaries; metadata only)."""
     jvm = spark._jvm
