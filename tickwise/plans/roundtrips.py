@@ -231,3 +231,50 @@ def q_snapshot_versions(spark, d):
     assert (v1, v2) == (1, 2)
     latest = snap.read_snapshot(spark, root)
     return latest.select(*PART_COLS, F.lit(v2).alias("version"))
+
+
+HISTORY_RESPONSE_FIELDS = ["PX_LAST", "PX_VOLUME"]
+
+
+@query("scan_conform_history", V.with_ctes(V.PRICES_SQL) + """
+SELECT 'C' || substr(TICKER, 2, length(TICKER) - 4) || ' US Equity' AS _c0, CAST(0 AS INTEGER) AS _c1,
+  CAST(2 AS INTEGER) AS _c2, CAST(DATE AS DATE) AS _c3, PX_LAST, PX_VOLUME, CAST(0 AS INTEGER) AS n_corrupt
+FROM prices""")
+def q_scan_conform_history(spark, d):
+    """S8 history response: headerless CSV read positionally, then typed by ``history_request``."""
+    from ..sources.schemas import conform, history_request, raw_schema
+    path = shared_dir(spark, "history_csv")
+    px = V.prices(spark, d)
+    px.select(F.concat(F.lit("C"), F.expr("substr(TICKER, 2, length(TICKER) - 4)"), F.lit(" US Equity")),
+              F.lit("0"), F.lit(str(len(HISTORY_RESPONSE_FIELDS))),
+              F.date_format(F.to_date("DATE"), "dd/MM/yyyy"),
+              F.col("PX_LAST").cast("string"), F.col("PX_VOLUME").cast("string")).write.csv(path)
+    schema = history_request(HISTORY_RESPONSE_FIELDS)
+    raw = spark.read.schema(raw_schema(schema)).csv(path)
+    typed = conform(raw, schema)
+    return typed.select("_c0", "_c1", "_c2", "_c3", F.col("PX_LAST").cast("double").alias("PX_LAST"),
+                        F.col("PX_VOLUME").cast("bigint").alias("PX_VOLUME"),
+                        F.size("_corrupt_fields").alias("n_corrupt"))
+
+
+ENTITY_RESPONSE_FIELDS = ["LONG_COMP_NAME", "INDUSTRY_GROUP", "BS_SH_OUT"]
+
+
+@query("scan_conform_entity", V.with_ctes(V.ENTITY_SQL) + """
+SELECT DL_REQUEST_ID, DL_REQUEST_NAME, CAST(DL_SNAPSHOT_START_TIME AS TIMESTAMP) AS DL_SNAPSHOT_START_TIME,
+  DL_SNAPSHOT_TZ, IDENTIFIER, CAST(RC AS INTEGER) AS RC, LONG_COMP_NAME, INDUSTRY_GROUP, BS_SH_OUT,
+  CAST(0 AS INTEGER) AS n_corrupt
+FROM entity_raw""")
+def q_scan_conform_entity(spark, d):
+    """S8 data response: JSON lines with every value as text, typed by ``data_request``."""
+    from ..sources.schemas import conform, data_request, raw_schema
+    path = shared_dir(spark, "entity_json")
+    schema = data_request(ENTITY_RESPONSE_FIELDS)
+    raw = V.entity_raw(spark, d)
+    raw.select(*[F.col(f.name).cast("string").alias(f.name) for f in schema.fields]).write.json(path)
+    typed = conform(spark.read.schema(raw_schema(schema)).json(path), schema)
+    return typed.select(
+        "DL_REQUEST_ID", "DL_REQUEST_NAME",
+        F.col("DL_SNAPSHOT_START_TIME").cast("timestamp_ntz").alias("DL_SNAPSHOT_START_TIME"),
+        "DL_SNAPSHOT_TZ", "IDENTIFIER", "RC", "LONG_COMP_NAME", "INDUSTRY_GROUP",
+        F.col("BS_SH_OUT").cast("double").alias("BS_SH_OUT"), F.size("_corrupt_fields").alias("n_corrupt"))
