@@ -40,18 +40,22 @@ CATEGORY_RULES = [
 ]
 
 
-def _guardrail_root(c) -> Column:
-    """The JSON text that holds ``output_guardrail``: nested message or the body."""
+def guardrail_root(c) -> Column:
+    """The JSON text that holds ``output_guardrail``: the nested message or the body."""
     body = F.try_parse_json(col(c))
     message = F.try_variant_get(body, "$.message", "variant")
     message_is_string = F.schema_of_variant(message) == F.lit("STRING")
     return F.when(message_is_string, F.try_variant_get(body, "$.message", "string")).otherwise(col(c))
 
 
+def is_guardrail_root(root) -> Column:
+    """True when ``root`` is a JSON object with an ``output_guardrail`` member."""
+    return F.coalesce(F.array_contains(F.json_object_keys(col(root)), F.lit(GUARDRAIL_KEY)), F.lit(False))
+
+
 def is_guardrail(c) -> Column:
     """X8 – True when the (possibly nested) JSON object has an ``output_guardrail`` member."""
-    root = _guardrail_root(c)
-    return F.coalesce(F.array_contains(F.json_object_keys(root), F.lit(GUARDRAIL_KEY)), F.lit(False))
+    return is_guardrail_root(guardrail_root(c))
 
 
 def _flag(root_variant: Column, name: str) -> Column:
@@ -62,22 +66,32 @@ def _flag(root_variant: Column, name: str) -> Column:
                       F.lit(False))
 
 
-def guardrail_category(c) -> Column:
-    """X9 – first matching category in precedence order, else ``default``."""
-    root = F.try_parse_json(_guardrail_root(c))
+def category_of_variant(v) -> Column:
+    """X9 on an already parsed root: first matching category in precedence order, else ``default``."""
+    v = col(v)
     expr = F.lit("default")
     for label, flags, _ in reversed(CATEGORY_RULES):
-        cond = _flag(root, flags[0])
+        cond = _flag(v, flags[0])
         for extra in flags[1:]:
-            cond = cond | _flag(root, extra)
+            cond = cond | _flag(v, extra)
         expr = F.when(cond, F.lit(label)).otherwise(expr)
     return expr
 
 
-def guardrail_message(c) -> Column:
-    """X9 – friendly message of the selected category."""
-    cat = guardrail_category(c)
+def guardrail_category(c) -> Column:
+    """X9 – first matching category in precedence order, else ``default``."""
+    return category_of_variant(F.try_parse_json(guardrail_root(c)))
+
+
+def message_of_category(cat) -> Column:
+    """X9 – friendly message of a category."""
+    cat = col(cat)
     expr = F.lit(MSG_DEFAULT)
     for label, _, msg in reversed(CATEGORY_RULES):
         expr = F.when(cat == F.lit(label), F.lit(msg)).otherwise(expr)
     return expr
+
+
+def guardrail_message(c) -> Column:
+    """X9 – friendly message of the selected category."""
+    return message_of_category(guardrail_category(c))

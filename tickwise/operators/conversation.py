@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.guardrail import CATEGORY_RULES, MSG_DEFAULT, guardrail_category, is_guardrail
+from ..functions.guardrail import category_of_variant, guardrail_root, is_guardrail_root, message_of_category
 from ..functions.text import capitalise, clean_text, last_part, lookup, policy_error, reference_label
 from .windows import carry_forward, prefix_sum, prefix_sums
 
@@ -121,22 +121,21 @@ def tool_summary(tools: DataFrame) -> DataFrame:
 
 
 def guardrail_report(errors: DataFrame, body: str = "body") -> DataFrame:
-    """A13 – guardrail failures by category, with the friendly message and error text."""
-    g = errors.where(is_guardrail(body))
-    return (g.groupBy(guardrail_category(body).alias("category"))
+    """A13 – guardrail failures by category, with the friendly message and error text.
+
+    Each body is parsed once: the guardrail root text and its VARIANT are
+    projected first, and the category tests read that column.
+    """
+    roots = errors.select(guardrail_root(body).alias("_root"))
+    g = (roots.where(is_guardrail_root("_root"))
+         .select(F.try_parse_json("_root").alias("_v"))
+         .select(category_of_variant("_v").alias("category")))
+    return (g.groupBy("category")
             .agg(F.count(F.lit(1)).alias("n_errors"))
-            .withColumn("message", guardrail_message_from_category("category"))
+            .withColumn("message", message_of_category("category"))
             .withColumn("error_text", policy_error("message")))
 
 
-def guardrail_message_from_category(cat: str) -> Column:
-    """X9 – friendly message of an already computed category."""
-    expr = F.lit(MSG_DEFAULT)
-    for label, _, msg in reversed(CATEGORY_RULES):
-        expr = F.when(F.col(cat) == F.lit(label), F.lit(msg)).otherwise(expr)
-    return expr
-
-
 __all__ = ["classify_message", "segment_questions", "final_answers", "conversation_context",
            "provider_of_calls", "carry_provider", "retrieved_documents", "supporting_documents",
-           "active_tools", "tool_summary", "guardrail_report", "guardrail_message_from_category"]
+           "active_tools", "tool_summary", "guardrail_report"]
