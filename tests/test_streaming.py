@@ -30,3 +30,31 @@ def test_stream_carry_equals_batch(spark):
     b = QUERIES["carry_provider"](spark, SF_CHECK)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
     assert a.where(F.col("current_provider").isNull()).count() < a.count()
+
+
+def test_stream_carry_keeps_state_across_triggers(spark, tmp_dir):
+    """The provider found in the first trigger is carried into rows of the second one."""
+    from tickwise.operators.windows import carry_forward
+    from tickwise.streaming.carry import stream_carry_provider
+    from tickwise.streaming.sources import run_available_now
+    schema = "event_id long, user_id long, ts timestamp_ntz, provider string"
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    first = [(1, 1, t0, "Filings"), (2, 1, t0 + dt.timedelta(minutes=1), None), (3, 2, t0, None)]
+    second = [(4, 1, t0 + dt.timedelta(hours=1), None), (5, 2, t0 + dt.timedelta(hours=1), "Market"),
+              (6, 2, t0 + dt.timedelta(hours=2), None), (7, 1, t0 + dt.timedelta(hours=3), "Portfolio")]
+    spark.createDataFrame(first, schema).write.parquet(f"{tmp_dir}/in/0001")
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_dir}/in/*")
+        run_available_now(stream_carry_provider(stream, "user_id", ["ts", "event_id"]),
+                          f"{tmp_dir}/out", f"{tmp_dir}/ckpt")
+
+    run()
+    spark.createDataFrame(second, schema).write.parquet(f"{tmp_dir}/in/0002")
+    run()
+    got = {r["event_id"]: r["current_provider"] for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
+    everything = spark.createDataFrame(first + second, schema)
+    want = {r["event_id"]: r["c"] for r in
+            carry_forward(everything, "user_id", ["ts", "event_id"], "provider", F.to_date("ts"), "c").collect()}
+    assert got == want and got[4] == "Filings" and got[6] == "Market"
