@@ -67,3 +67,14 @@ def test_entry_smoke(spark):
     assert df.columns == ["industry", "n_positions", "shares", "market_value", "weight"]
     # industries without any priced holding have no market value and no weight
     assert abs(sum(r["weight"] for r in rows if r["weight"] is not None) - 1.0) < 1e-6
+
+
+def test_only_documented_queries_lack_an_oracle():
+    assert sorted(set(QUERIES) - set(ORACLE)) == ["embed_filings", "similarity_search_lsh"]
+
+
+def test_every_query_is_listed_in_the_readme():
+    import os
+    readme = open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "README.md")).read()
+    missing = [n for n in QUERIES if n not in readme]
+    assert missing == []
