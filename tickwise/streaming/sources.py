@@ -20,10 +20,23 @@ def stream_table(spark: SparkSession, folder: str, file_glob: str, max_files_per
 
 
 def run_available_now(df: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet",
-                      output_mode: str = "append") -> None:
-    """Process everything available now, exactly once (file sink + checkpoint), then stop."""
-    q = (df.writeStream.format(fmt).outputMode(output_mode).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start(out_path))
+                      output_mode: str = "append", state_partitions: int | None = None) -> None:
+    """Process everything available now, exactly once (file sink + checkpoint), then stop.
+
+    Stateful operators keep one state-store partition per shuffle partition,
+    fixed when the query first starts. By default the count is the cluster's
+    parallelism (not the session's batch setting); the session value is
+    restored after the start.
+    """
+    spark = df.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        q = (df.writeStream.format(fmt).outputMode(output_mode).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start(out_path))
+    finally:
+        spark.conf.set(key, old)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
