@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, sharding, simhash, topk, toxicity
+from . import decontam, langid, linededup, lmscore, packing, pii, sharding, simhash, topk, toxicity
 from .common import prepare, table
 
 
+#: Key of the registered query; a production run passes its own to the operator.
+PSEUDONYM_KEY = "registered-query"
+
+
 def default_tokenizer() -> str:
     """The installed byte-level BPE vocabulary; other files are passed to the operator as a path."""
     import public_tokenizers
@@ -25,10 +29,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
@@ -46,7 +66,9 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_hilbert_shards, op7_simhash, op8_language_id, op9_packing, op10_topk)}
+    f.__name__: f for f in (
+        op1_toxicity, op2_line_dedup, op3_hilbert_shards, op4_decontamination, op5_pseudonyms, op6_lm_scores, op7_simhash,
+        op8_language_id, op9_packing, op10_topk)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
