@@ -31,11 +31,16 @@ from .common import arrow_map, cut
 
 #: Rows that one task sweeps, about.
 SWEEP_ROWS = 250_000
-_KNOWN_LIMIT = 400_000
+#: Runs and units that a worker remembers, each.
+_KNOWN_LIMIT = 700_000
 #: White space other than space and line feed.
 _ODD_SPACE = re.compile("[" + "".join(map(chr, (
     9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
     0x3000))) + "]")
+_LATIN = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)))
+#: A run whose units are runs of letters, runs of punctuation (no apostrophe) and single line feeds.
+_UNIT = re.compile(rf"[{_LATIN}]+|[.,;:!?|*%$#&]+|\n")
+_PLAIN = re.compile(rf"(?:[{_LATIN}]+|[.,;:!?|*%$#&]+)(?:\n?(?:[{_LATIN}]+|[.,;:!?|*%$#&]+))*")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -43,33 +48,52 @@ class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes, by way of the tokens' runs between single spaces.
 
     The tokenizer's pre-tokenisation always starts a new unit at a space between two non-space characters,
-    so the runs encode independently and frequent ones are encoded once.
+    so the runs encode independently and frequent ones are encoded once. A new run made of Latin letters, plain
+    punctuation and single line feeds is taken apart into its units, which are remembered likewise.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def new_runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs, each after a space."""
+        split = [_UNIT.findall(r) if _PLAIN.fullmatch(r) else [r] for r in runs]
+        for parts in split:
+            parts[0] = " " + parts[0]
+        new = list({u for parts in split for u in parts if u not in self.units})
+        self.units.update(zip(new, self.raw(new)))
+        out = [b"".join(map(self.units.__getitem__, parts)) for parts in split]
+        self.forget(self.units, new)
+        return out
+
+    @staticmethod
+    def forget(known: dict[str, bytes], new: list[str]) -> None:
+        """Keep the memory bounded: beyond the limit, what came last goes."""
+        if len(known) > _KNOWN_LIMIT:
+            for x in new:
+                del known[x]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        runs = []
+        split = []
         for t in texts:
             t = t or ""
             odd = "  " in t or " \n" in t or "\n " in t or _ODD_SPACE.search(t)
-            runs.append(_LONE_SPACE.split(t) if odd else t.split(" "))
-        if len(self.known) > _KNOWN_LIMIT:
-            self.known.clear()
-        known = self.known
-        new = {r for parts in runs for r in parts[1:] if r not in known}
-        fresh = sorted(new)
-        known.update(zip(fresh, self.raw([" " + r for r in fresh])))
-        first = self.raw([parts[0] for parts in runs])
-        return [a + b"".join(map(known.__getitem__, parts[1:])) for a, parts in zip(first, runs)]
+            split.append(_LONE_SPACE.split(t) if odd else t.split(" "))
+        known = self.runs
+        new = list({r for parts in split for r in parts[1:] if r not in known})
+        known.update(zip(new, self.new_runs(new)))
+        first = self.raw([parts[0] for parts in split])
+        out = [a + b"".join(map(known.__getitem__, parts[1:])) for a, parts in zip(first, split)]
+        self.forget(known, new)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
