@@ -188,11 +188,11 @@ def test_upsert_of_changes_is_new_and_sync_is_idempotent(spark, tmp_dir):
     assert sorted(map(tuple, up.collect())) == sorted(map(tuple, new.collect()))
     root = f"{tmp_dir}/index"
     first = old.withColumn("_change_type", F.lit("insert"))
-    assert snap.sync_index(spark, first, root, "k", version=1) == 1
-    assert snap.sync_index(spark, ch, root, "k", version=2) == 2
-    assert snap.sync_index(spark, ch, root, "k", version=2) == 2        # replayed batch: no-op
+    assert snap.sync_index(spark, first, root, "k", batch=("feed", 0)) == 1
+    assert snap.sync_index(spark, ch, root, "k", batch=("feed", 1)) == 2
+    assert snap.sync_index(spark, ch, root, "k", batch=("feed", 1)) == 2        # replayed batch: no-op
     assert snap.committed_versions(spark, root) == [1, 2]
-    latest = snap.read_snapshot(spark, root)
+    latest = snap.read_index(spark, root)
     assert sorted(map(tuple, latest.collect())) == sorted(map(tuple, new.collect()))
 
 
@@ -205,8 +205,62 @@ def test_sync_transforms_only_changed_rows(spark, tmp_dir):
     def transform(df):
         return df.withColumn("embedded_in", F.lit(tag["value"]))
 
-    snap.sync_index(spark, old.withColumn("_change_type", F.lit("insert")), root, "k", transform=transform, version=1)
+    snap.sync_index(spark, old.withColumn("_change_type", F.lit("insert")), root, "k", transform=transform)
     tag["value"] = "v2"
-    snap.sync_index(spark, snap.changes_between(old, new, "k"), root, "k", transform=transform, version=2)
-    got = {r["k"]: (r["v"], r["embedded_in"]) for r in snap.read_snapshot(spark, root).collect()}
+    snap.sync_index(spark, snap.changes_between(old, new, "k"), root, "k", transform=transform)
+    got = {r["k"]: (r["v"], r["embedded_in"]) for r in snap.read_index(spark, root).collect()}
     assert got == {1: ("a", "v1"), 2: ("B", "v2"), 4: ("d", "v2")}
+
+
+def test_changes_of_one_key_in_a_batch_are_resolved_by_sequence(spark, tmp_dir):
+    root = f"{tmp_dir}/seq_index"
+    feed = spark.createDataFrame(
+        [(1, "a", "insert", 1), (2, "b", "insert", 1), (1, "A2", "update_postimage", 2), (2, None, "delete", 2),
+         (None, "n", "insert", 1), (None, "N", "update_postimage", 3)], "k int, v string, _change_type string, _sequence int")
+    snap.sync_index(spark, feed, root, "k", batch=("one", 0))
+    assert sorted(map(tuple, snap.read_index(spark, root).collect()), key=str) == [(1, "A2"), (None, "N")]
+    # a new feed on the old index starts its own batch numbers
+    more = spark.createDataFrame([(9, "z", "insert", 1), (1, None, "delete", 1)], feed.schema)
+    snap.sync_index(spark, more, root, "k", batch=("two", 0))
+    assert sorted(map(tuple, snap.read_index(spark, root).collect()), key=str) == [(9, "z"), (None, "N")]
+
+
+def test_sync_rewrites_only_touched_buckets(spark, tmp_dir):
+    import os
+    root = f"{tmp_dir}/bucket_index"
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.lit("x").alias("v"), F.lit("insert").alias("_change_type"))
+    snap.sync_index(spark, rows, root, "k")
+    one = spark.createDataFrame([(7, "y", "update_postimage")], "k long, v string, _change_type string")
+    snap.sync_index(spark, one, root, "k")
+    assert len([x for x in os.listdir(f"{root}/version=2") if x.startswith("_bucket=")]) == 1
+    got = {r.k: r.v for r in snap.read_index(spark, root).collect()}
+    assert len(got) == 2000 and got[7] == "y" and got[8] == "x"
+
+
+def test_phrases_and_alias_tables(spark):
+    from tickwise.operators import filings as fl
+    chunks = spark.createDataFrame([(1, "C1-US", "New anti-PD-1 Therapy by Acme Holdings, Inc. and acme"), (2, "C2-US", "therapy"),
+                                    (3, "C3-US", None), (4, "C4-US", "")], "chunk_id int, symbol string, content string")
+    h = spark.createDataFrame([("C1-US",), ("C2-US",)], "ticker string")
+    assert [r.ticker for r in fl.theme_exposure(h, chunks, ["anti-PD-1 therapy"]).collect()] == ["C1-US"]
+    names = spark.createDataFrame([("Acme Holdings Inc", "A"), ("Acme", "B"), ("", "C")], "name string, ticker string")
+    got = {(r.chunk_id, r.ticker): r.n_mentions for r in fl.link_mentions(chunks, names).collect()}
+    assert got == {(1, "A"): 1, (1, "B"): 2}
+
+
+def test_null_keys_in_ordered_helpers(spark):
+    from tickwise.operators.windows import carry_forward, prefix_sum
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, None), ("x", 1, None)], "k string, t int, p string")
+    got = {(r.k, r.t): r.s for r in prefix_sum(df, "k", "t", F.lit(1), F.col("t"), "s").collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, ("x", 1): 1}
+    got = {(r.k, r.t): r.c for r in carry_forward(df, "k", "t", "p", F.col("t"), "c").collect()}
+    assert got == {(None, 1): "a", (None, 2): "a", ("x", 1): None}
+
+
+def test_snapshot_times_follow_their_zone(spark):
+    from tickwise.sources import schemas as S
+    text = {"UTC": "12:00:00", "America/New_York": "17:00:00", None: "12:00:00"}
+    stamp, schema = "2024-01-15T12:00:00", S.data_request([])
+    raw = spark.createDataFrame([(stamp, z) for z in text], "DL_SNAPSHOT_START_TIME string, DL_SNAPSHOT_TZ string")
+    got = S.conform(raw, schema).select("DL_SNAPSHOT_TZ", F.date_format("DL_SNAPSHOT_START_TIME", "HH:mm:ss")).collect()
+    assert {r[0]: r[1] for r in got} == text

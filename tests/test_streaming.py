@@ -58,3 +58,32 @@ def test_stream_carry_keeps_state_across_triggers(spark, tmp_dir):
     want = {r["event_id"]: r["c"] for r in
             carry_forward(everything, "user_id", ["ts", "event_id"], "provider", F.to_date("ts"), "c").collect()}
     assert got == want and got[4] == "Filings" and got[6] == "Market"
+
+
+def test_streams_read_tables_stored_as_directories(spark, tmp_dir):
+    from tickwise.streaming.sources import run_available_now, stream_table
+    table = spark.range(100).repartition(5)
+    table.write.parquet(f"{tmp_dir}/t.parquet")
+    run_available_now(stream_table(spark, tmp_dir, "t.parquet", 2), f"{tmp_dir}/dir_out", f"{tmp_dir}/dir_ckpt")
+    assert spark.read.parquet(f"{tmp_dir}/dir_out").count() == 100
+
+
+def test_late_rows_do_not_displace_a_newer_provider(spark, tmp_dir):
+    import datetime as dt
+
+    from tickwise.streaming.carry import stream_carry_provider
+    from tickwise.streaming.sources import run_available_now
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "event_id long, user_id long, ts timestamp_ntz, provider string"
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    spark.createDataFrame([(1, 1, at(20), "B")], schema).write.parquet(f"{tmp_dir}/late/0001")
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_dir}/late/*")
+        run_available_now(stream_carry_provider(stream, "user_id", ["ts", "event_id"]), f"{tmp_dir}/lo", f"{tmp_dir}/lc")
+
+    run()
+    spark.createDataFrame([(2, 1, at(10), "A"), (3, 1, at(50), None)], schema).write.parquet(f"{tmp_dir}/late/0002")
+    run()
+    got = {r["event_id"]: r["current_provider"] for r in spark.read.parquet(f"{tmp_dir}/lo").collect()}
+    assert got == {1: "B", 2: "A", 3: "B"}

@@ -53,3 +53,15 @@ def test_embeddings_are_unit_length(spark):
     e = fl.embed(docs, num_features=1 << 10).select(vector_to_array("embedding").alias("a"))
     norms = [math.sqrt(sum(x * x for x in r["a"])) for r in e.collect()]
     assert all(abs(n - 1.0) < 1e-9 or n == 0.0 for n in norms) and any(n > 0 for n in norms)
+
+
+def test_null_and_odd_vectors_and_many_queries(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(100, None), (101, [1.0, None, 2.0]), (102, [1.0]),
+                                                                          (103, [float("nan"), 1.0, 1.0]), (104, [0.0, 0.0, 0.0])]
+    emb = spark.createDataFrame(rows, "id int, v array<double>")
+    got = vx.similarity_search(emb, emb, 3, "id", "v", "id", "v", query_block=16).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r["query_id"], []).append(r["id"])
+    assert set(per) == set(range(60)) | {102} and all(len(x) == 3 for q, x in per.items() if q < 60)
+    assert per[102] == [102]

@@ -166,7 +166,7 @@ def response_url(host, catalog, key) -> Column:
 def capitalise(c) -> Column:
     """X19 – Python ``str.capitalize()`` (first character upper, rest lower)."""
     c = col(c)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
 def words(c) -> Column:

@@ -1,8 +1,7 @@
 """Vector similarity search.
 
-Exact search scores every corpus row against a bounded set of query vectors
-(checked against ``max_queries``) with a vectorised matrix product per Arrow
-batch; no join is planned. Per-batch top-k candidates and a partial
+Exact search scores every corpus row against blocks of query vectors with a
+vectorised matrix product per Arrow batch; no join is planned. Per-batch top-k candidates and a partial
 ``WindowGroupLimit`` keep the shuffle at about k rows per query and task.
 ``cosine`` / ``dot`` / ``norm`` remain as Column expressions for re-ranking
 small candidate sets (LSH) inside the JVM.
@@ -20,6 +19,12 @@ def _as_double(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
+def _usable(v: Column) -> Column:
+    """A vector that is not NULL and has only finite components."""
+    return v.isNotNull() & (F.size(v) > 0) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (
+        F.abs(x) < F.lit(float("inf")))), F.lit(False))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -43,79 +48,79 @@ def centroids(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 def similarity_search(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str,
                       query_id: str, query_vec: str, columns: list[str] | None = None,
-                      max_queries: int = 4096) -> DataFrame:
+                      query_block: int = 4096) -> DataFrame:
     """J9/W6 – exact cosine top-k per query; ``columns`` are the corpus columns returned.
 
-    The query set is bounded (``max_queries``, checked by a count) and shipped
-    to the executors as a broadcast matrix. Each Arrow batch of the corpus is
+    The queries are dealt into blocks of about ``query_block`` by a hash; a
+    block is shipped to the executors as a broadcast matrix, and the corpus is
+    scanned once per block, so any number of queries is answered. Vectors that
+    are NULL, hold NULL or non-finite components or have another length than
+    the block's queries take no part. Each Arrow batch of the corpus is
     scored against all queries with one matrix product, and only the batch's
     best k rows per query (plus rows tied with the k-th) leave the task; the
     final per-query top-k is a partial + final ``WindowGroupLimit``. The
-    corpus is never joined to the queries and is read once.
+    corpus is never joined to the queries.
     """
     import numpy as np
 
     spark = corpus.sparkSession
-    n_queries = queries.count()
-    if n_queries > max_queries:
-        raise ValueError(f"{n_queries} queries exceed the bound of {max_queries}; search them in batches")
-    q_rows = queries.select(query_id, query_vec).collect()          # bounded: at most max_queries rows
-    qids = [r[0] for r in q_rows]
-    qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in q_rows]).reshape(len(q_rows), -1)
-    qnorm = np.linalg.norm(qmat, axis=1)
-    bc = spark.sparkContext.broadcast((qids, qmat, qnorm))
     cols = columns or []
     qtype = queries.schema[query_id].dataType.simpleString()
     id_type = corpus.schema[id_col].dataType.simpleString()
     extra = ", ".join(f"`{c}` {corpus.schema[c].dataType.simpleString()}" for c in cols)
     schema = f"`{id_col}` {id_type}, " + (extra + ", " if extra else "") + f"query_id {qtype}, score double"
-
-    def score(batches):
-        import numpy as np
-        import pandas as pd
-        ids, mat, norms = bc.value
-        for pdf in batches:
-            if pdf.empty or not ids:
-                continue
-            vecs = np.array([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            vn = np.linalg.norm(vecs, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sims = (vecs @ mat.T) / np.outer(vn, norms)
-            sims = np.where(np.isfinite(sims), sims, np.nan)
-            for j, qid in enumerate(ids):
-                col = sims[:, j]
-                valid = ~np.isnan(col)
-                if not valid.any():
+    queries = queries.where(_usable(F.col(query_vec))).select(query_id, query_vec, F.size(query_vec).alias("_len"))
+    rows = corpus.where(_usable(F.col(vec_col))).select(id_col, *cols, vec_col)
+
+    def scorer(shared):
+        def score(batches):
+            import numpy as np
+            import pandas as pd
+            ids, mat, norms = shared.value
+            for pdf in batches:
+                if pdf.empty:
                     continue
-                if valid.sum() > k:
-                    kth = np.sort(col[valid])[-k]
-                    keep = np.where(valid & (col >= kth))[0]
-                else:
-                    keep = np.where(valid)[0]
-                part = pdf.iloc[keep][[id_col, *cols]].copy()
-                part["query_id"] = qid
-                part["score"] = col[keep]
-                yield pd.DataFrame(part)
-
-    scored = corpus.select(id_col, *cols, vec_col).mapInPandas(score, schema)
+                vecs = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sims = (vecs @ mat.T) / np.outer(np.linalg.norm(vecs, axis=1), norms)
+                valid = np.isfinite(sims)
+                order = pdf[id_col].argsort(kind="stable").to_numpy()       # ties go to the smaller id
+                ranked = order[np.argsort(-np.where(valid, sims, -np.inf)[order], axis=0, kind="stable")[:k]]
+                keep = np.take_along_axis(valid, ranked, axis=0)
+                at, q = ranked[keep], np.nonzero(keep)[1]
+                out = pdf.iloc[at][[id_col, *cols]].reset_index(drop=True)
+                out["query_id"] = [ids[j] for j in q]
+                out["score"] = sims[at, q]
+                yield pd.DataFrame(out)
+        return score
+
+    scored = spark.createDataFrame([], schema)
+    for length, n in queries.groupBy("_len").count().collect():             # one row per vector length
+        blocks = -(-n // query_block)
+        for b in range(blocks):
+            part = queries.where((F.col("_len") == length) & (F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)).collect()
+            mat = np.array([r[1] for r in part], dtype=np.float64).reshape(len(part), length)
+            shared = spark.sparkContext.broadcast(([r[0] for r in part], mat, np.linalg.norm(mat, axis=1)))
+            scored = scored.unionByName(rows.where(F.size(vec_col) == length).mapInPandas(scorer(shared), schema))
     return top_k_per_group(scored, "query_id", [F.col("score").desc(), F.col(id_col).asc()], k)
 
 
 def similarity_search_lsh(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str,
                           query_id: str, query_vec: str, bucket_length: float = 1.0, num_tables: int = 4,
-                          max_distance: float = 1.5, seed: int = 7) -> DataFrame:
+                          max_distance: float = 2.01, seed: int = 7) -> DataFrame:
     """J9 at scale – LSH candidates (bucketed random projections), exact re-rank, top-k.
 
     Vectors are L2-normalised, so Euclidean distance d and cosine c relate by
-    c = 1 - d²/2; ``max_distance`` bounds the candidate distance.
+    c = 1 - d²/2. The largest distance is 2, so the default bound drops no
+    candidate that the hashes bring together.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     def unit(df, idc, vc):
-        v = _as_double(F.col(vc))
-        return df.select(F.col(idc).alias("id"), array_to_vector(
-            F.transform(v, lambda x: x / norm(v))).alias("features"), v.alias("raw"))
+        v = df.where(_usable(F.col(vc))).select(F.col(idc).alias("id"), _as_double(F.col(vc)).alias("raw"))
+        v = v.withColumn("_n", norm(F.col("raw"))).where("_n > 0")          # one norm per row
+        return v.select("id", array_to_vector(F.transform("raw", lambda x: x / F.col("_n"))).alias("features"), "raw")
 
     c, q = unit(corpus, id_col, vec_col), unit(queries, query_id, query_vec)
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,

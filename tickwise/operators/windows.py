@@ -18,6 +18,14 @@ def _cols(x):
     return [x] if isinstance(x, (str, Column)) else list(x)
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys`` where NULL keys match NULL keys; the keys appear once."""
+    r = right.select(*[F.col(k).alias(f"_r{i}") if k in keys else F.col(k) for i, k in enumerate(right.columns)])
+    names = {k: f"_r{i}" for i, k in enumerate(right.columns) if k in keys}
+    cond = [left[k].eqNullSafe(r[names[k]]) for k in keys]
+    return left.join(r, cond, "left").drop(*names.values())
+
+
 def prefix_sums(df: DataFrame, keys, order, values: dict, bucket: Column, inclusive: bool = True) -> DataFrame:
     """Running sums of several ``values`` ({out: column}) per key in ``order``, in one pass.
 
@@ -40,7 +48,7 @@ def prefix_sums(df: DataFrame, keys, order, values: dict, bucket: Column, inclus
     w_b = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bucket", *[
         F.coalesce(F.sum(f"{tmp[o]}_t").over(w_b), F.lit(0)).alias(f"{tmp[o]}_o") for o in values])
-    out_df = local.join(offsets, [*keys, "_bucket"], "left")
+    out_df = _join_null_safe(local, offsets, [*keys, "_bucket"])
     for out in values:
         out_df = out_df.withColumn(out, F.col(f"{tmp[out]}_l") + F.col(f"{tmp[out]}_o"))
     drop = ["_bucket"] + [c for o in values for c in (tmp[o], f"{tmp[o]}_l", f"{tmp[o]}_o")]
@@ -65,7 +73,7 @@ def carry_forward(df: DataFrame, keys, order, value: str, bucket: Column, out: s
         F.max_by(F.col(value), F.when(F.col(value).isNotNull(), ord_struct)).alias("_bl"))
     w_b = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     summary = per_bucket.select(*keys, "_bucket", F.last("_bl", ignorenulls=True).over(w_b).alias("_carry"))
-    return (local.join(summary, [*keys, "_bucket"], "left")
+    return (_join_null_safe(local, summary, [*keys, "_bucket"])
             .withColumn(out, F.coalesce(F.col("_local"), F.col("_carry")))
             .drop("_bucket", "_local", "_carry"))
 

@@ -60,15 +60,16 @@ HISTORY_FIELDS = ["PX_ASK", "PX_BID", "PX_VOLUME", "PX_OPEN", "PX_HIGH", "PX_LOW
 TOP_K = 10
 ROLLING_N = 5
 RESPONSE_HOST = "https://api.example.com/eap"
-CATALOG_ID = "40372"
+CATALOG_ID = "10001"
 INDUSTRY_PATTERN = "machinery"
 COUNTRY_PATTERN = "nation_1"     # generated nation names are NATION_<n>
 # Corpus words used as aliases / signal terms (the generated prose has no real company names).
 ALIASES = {"estion": "C1-US", "oution": "C2-US", "inging": "C3-US",
-           "enlich": "C4-US", "queque": "C5-US", "whtion": "C6-US"}
+           "enlich": "C4-US", "queque": "C5-US", "whtion": "C6-US",
+           "Of-the": "C7-US", "de la": "C8-US"}
 SIGNALS = {"estion": "downgrade", "oution": "downgrade", "inging": "litigation",
            "enlich": "litigation", "queque": "revenue_shock", "whtion": "revenue_shock"}
-THEME_TERMS = ["estion", "queque"]
+THEME_TERMS = ["queque", "estion-of the", "In-the"]
 KNN_K = 5
 
 
@@ -483,9 +484,21 @@ def q_null_profile(spark, d):
 _TOKENS_SQL = "list_filter(regexp_split_to_array(lower(content), '[^\\p{L}]+'), lambda t: length(t) > 0)"
 
 
+def _grams_sql(n: int) -> str:
+    """Words and phrases of up to ``n`` words of a filing (column ``w`` holds its words)."""
+    parts = ["w"] + [f"list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i+{k - 1}], ' '))"
+                     for k in range(2, n + 1)]
+    return f"list_concat({', '.join(parts)})" if n > 1 else "w"
+
+
+def _phrase(term: str) -> str:
+    return " ".join(term.lower().replace("-", " ").split())
+
+
 @query("link_mentions", V.with_ctes(V.FILINGS_SQL) + f""",
-a(alias, ticker) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in sorted(ALIASES.items()))}),
-t AS (SELECT chunk_id, unnest(list_filter({_TOKENS_SQL}, lambda x: x IN ({_in_list(ALIASES)})) ) AS alias FROM filings)
+a(alias, ticker) AS (VALUES {', '.join(f"('{_phrase(k)}', '{v}')" for k, v in sorted(ALIASES.items()))}),
+words AS (SELECT chunk_id, {_TOKENS_SQL} AS w FROM filings),
+t AS (SELECT chunk_id, unnest({_grams_sql(2)}) AS alias FROM words)
 SELECT chunk_id, ticker, count(*) AS n_mentions FROM t JOIN a USING (alias) GROUP BY chunk_id, ticker""")
 def q_link_mentions(spark, d):
     return fl.link_mentions(V.filings(spark, d), ALIASES)
@@ -502,8 +515,8 @@ def q_risk_signals(spark, d):
 @query("theme_exposure", V.with_ctes(V.ENTITY_SQL, V.POSITIONS_SQL, V.PRICES_SQL, V.HOLDINGS_SQL,
                                       V.FILINGS_SQL) + f"""
 SELECT ticker, company_name, industry, number_of_shares FROM holdings
-WHERE ticker IN (SELECT symbol FROM filings
-                 WHERE len(list_filter({_TOKENS_SQL}, lambda x: x IN ({_in_list(THEME_TERMS)}))) > 0)""")
+WHERE ticker IN (SELECT symbol FROM (SELECT symbol, {_TOKENS_SQL} AS w FROM filings)
+                 WHERE len(list_filter({_grams_sql(3)}, lambda x: x IN ({_in_list(map(_phrase, THEME_TERMS))}))) > 0)""")
 def q_theme_exposure(spark, d):
     t = fl.theme_exposure(_holdings(spark, d), V.filings(spark, d), THEME_TERMS)
     return t.select("ticker", "company_name", "industry", "number_of_shares")

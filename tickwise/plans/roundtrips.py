@@ -33,14 +33,17 @@ def _part(spark, d) -> DataFrame:
     return V.read(spark, d, "part").select(*PART_COLS)
 
 
-def write_marked_text(df: DataFrame, path: str, group: str, cols: list[str], files_per_group: int = 8) -> None:
+def write_marked_text(df: DataFrame, path: str, group: str, cols: list[str],
+                      rows_per_file: int = 50_000) -> None:
     """Write ``df`` as marked-text files, each framed by its own markers.
 
-    Rows go to ``files_per_group`` files per value of ``group`` (by a hash of
-    the first column), so a large group is written by several tasks. Header,
+    The number of files per value of ``group`` follows the row count (rows are
+    dealt by a hash of the first column), so a large group is written by several
+    tasks. Header,
     data and trailer lines form one DataFrame, clustered by file and sorted by
     (section, line) inside each partition; the writer keeps that order.
     """
+    files_per_group = max(2, -(-df.count() // rows_per_file))
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
     file_key = F.concat_ws("-", F.col(group).cast("string"),
                            F.pmod(F.xxhash64(F.col(cols[0])), F.lit(files_per_group)).cast("string"))
@@ -67,7 +70,10 @@ def write_tar_archives(df: DataFrame, path: str, rows_per_archive: int = 50_000,
     """
     n_archives = max(1, -(-df.count() // rows_per_archive))
     key = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(n_archives)).alias("_archive")
-    uri = path if "://" in path else "file://" + path
+    jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    conf = df.sparkSession._jsc.hadoopConfiguration()
+    uri = jpath.getFileSystem(conf).makeQualified(jpath).toString()     # scheme of the default file system
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
     cols = df.columns
     out_schema = "archive long, n_rows long"
 

@@ -182,7 +182,7 @@ def filings(spark: SparkSession, d: str) -> DataFrame:
         F.col("lang").alias("document_type"),
         F.col("source").alias("company_name"),
         F.floor(F.col("n_chars") / 1000).cast("string").alias("section_number"),
-        F.concat(F.lit("C"), F.substring("source", 4, 1 << 20), F.lit("-US")).alias("symbol"),
+        F.concat(F.lit("C"), F.expr("substr(source, 4)"), F.lit("-US")).alias("symbol"),
         F.col("text").alias("content"))
 
 

@@ -59,12 +59,15 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh directory below the cluster's shared checkpoint folder.
 
     The folder is the one named in ``spark.checkpoint.dir``; it is only set
-    here when the session has none (local runs and tests), never overridden.
+    here when a local session has none (tests), never overridden; on a cluster
+    a missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tickwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)

@@ -98,6 +98,10 @@ def history_request(additional_fields: list[str]) -> T.StructType:
     return T.StructType(fields + [_f(a, T.StringType()) for a in additional_fields])
 
 
+#: Time fields whose zone stands in another field of the row.
+SNAPSHOT_ZONES = {"DL_SNAPSHOT_START_TIME": "DL_SNAPSHOT_TZ"}
+
+
 def raw_schema(schema: T.StructType) -> T.StructType:
     """All-string layout of a schema (how text responses are landed)."""
     return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
@@ -139,7 +143,11 @@ def conform(df: DataFrame, schema: T.StructType, corrupt_col: str = "_corrupt_fi
         if src.dataType == field.dataType:
             typed_cols.append(raw.alias(field.name, metadata=dict(field.metadata or {})))
             continue
-        typed_cols.append(_typed(raw, field).alias(field.name, metadata=dict(field.metadata or {})))
+        typed = _typed(raw, field)
+        zone = present.get(SNAPSHOT_ZONES.get(field.name, "").lower())
+        if zone is not None:      # a local time with its zone beside it
+            typed = F.coalesce(F.to_utc_timestamp(typed, F.col(f"`{zone.name}`")), typed)
+        typed_cols.append(typed.alias(field.name, metadata=dict(field.metadata or {})))
         raw_cols.append(raw.isNotNull().alias(f"__raw{i}"))
         checks.append(F.when(F.col(f"__raw{i}") & F.col(f"`{field.name}`").isNull(), F.lit(field.name)))
     keep = list(keep or [])

@@ -1,13 +1,12 @@
 """W3 on a stream – provider carried forward per session with keyed state.
 
-``applyInPandasWithState`` keeps one value per session: the last provider
-seen. Within a micro-batch, a session's new rows are put in event order and
-folded starting from the stored value. Only that session's rows *of the
-current micro-batch* are held together. The micro-batch size is bounded by
-the source's trigger options (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``),
-and the stored state is one string per session. Rows that arrive in a later
-batch with an earlier event time than rows already folded are folded in
-arrival order (no re-ordering across batches).
+``applyInPandasWithState`` keeps one row per session: the last provider by
+event time, with that time. A micro-batch's rows of a session join the stored
+row, are put in event order and filled forward at once, so a late row with an
+older provider does not displace a newer one. Only a session's rows *of the
+current micro-batch* are held together; the micro-batch is bounded by the
+source's trigger options. A late row whose own time lies before the stored one
+and that has no provider in its batch gets none: older providers are not kept.
 """
 
 from __future__ import annotations
@@ -19,23 +18,28 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 def stream_carry_provider(calls: DataFrame, key: str, order: list[str], provider: str = "provider",
                           out: str = "current_provider") -> DataFrame:
     fields = list(calls.schema.fields)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + f", {out} string"
     cols = [f.name for f in fields]
+    kinds = {f.name: f.dataType.simpleString() for f in fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + f", {out} string"
+    kept = [*order, provider]
 
     def fold(_key, chunks, state):
         import pandas as pd
-        last = state.get[0] if state.exists else None
-        batch = pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable")
-        carried = []
-        for p in batch[provider]:
-            if isinstance(p, str):
-                last = p
-            carried.append(last)
-        res = batch[cols].copy()
-        res[out] = carried
-        if last is not None:
-            state.update((last,))
-        yield res
+        batch = pd.concat(list(chunks), ignore_index=True)
+        types = dict(batch.dtypes)
+        batch["_new"] = True
+        if state.exists:
+            before = pd.DataFrame([dict(zip(kept, state.get))]).astype({c: batch[c].dtype for c in order})
+            batch = pd.concat([before.assign(_new=False), batch], ignore_index=True)
+        batch = batch.sort_values(order, kind="stable")
+        batch[out] = batch[provider].ffill()
+        known = batch[batch[provider].notna()]
+        if len(known):
+            last = known.iloc[-1]
+            state.update(tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else getattr(x, "item", lambda x=x: x)()
+                               for x in (last[c] for c in kept)))
+        res = batch[batch["_new"]][[*cols, out]]
+        yield res.astype({c: t for c, t in types.items() if res[c].notna().all()})
 
-    return calls.groupBy(key).applyInPandasWithState(
-        fold, schema, f"{provider} string", "append", GroupStateTimeout.NoTimeout)
+    state_schema = ", ".join(f"{c} {kinds[c]}" for c in kept)
+    return calls.groupBy(key).applyInPandasWithState(fold, schema, state_schema, "append", GroupStateTimeout.NoTimeout)

@@ -8,7 +8,7 @@ from ..operators.requests import MAX_AWAIT_MINUTES
 from ..plans import views as V
 from ..plans.queries import ORACLE, _content_type, query
 from ..session import shared_dir
-from ..sinks.snapshots import changes_between, read_snapshot
+from ..sinks.snapshots import changes_between, read_index
 from .carry import stream_carry_provider
 from .index_sync import start_index_sync
 from .messages import stream_classify
@@ -25,21 +25,27 @@ def q_stream_classify(spark, d):
     return spark.read.parquet(f"{root}/out")
 
 
+def _feed(old, new, key, incoming):
+    """The initial load and the changes old → new as one feed; a key's changes are ordered by ``_sequence``.
+
+    Both arrive in one trigger, so keys with an insert and a later update or
+    delete are resolved within the batch.
+    """
+    changes = changes_between(old, new, key)
+    first = old.withColumn("_change_type", F.lit("insert")).select(*changes.columns)
+    first.withColumn("_sequence", F.lit(1)).write.parquet(f"{incoming}/0001")
+    changes.withColumn("_sequence", F.lit(2)).write.parquet(f"{incoming}/0002")
+
+
 @query("stream_sync_index", V.with_ctes(V.PART_SQL) + " SELECT * FROM part_new")
 def q_stream_sync_index(spark, d):
     root = shared_dir(spark, "stream_sync")
     incoming, index, ckpt = f"{root}/changes", f"{root}/index", f"{root}/_checkpoint"
     old, new = V.part_old(spark, d), V.part_new(spark, d)
-    schema = changes_between(old, new, "p_partkey").schema
-    # First trigger: the initial load (every old row is an insert).
-    old.withColumn("_change_type", F.lit("insert")).select(schema.fieldNames()).write.parquet(f"{incoming}/0001")
-    stream = spark.readStream.schema(schema).parquet(f"{incoming}/*")
-    start_index_sync(stream, index, "p_partkey", ckpt).awaitTermination()
-    # Second trigger: only the changes old → new arrive.
-    changes_between(old, new, "p_partkey").write.parquet(f"{incoming}/0002")
-    stream = spark.readStream.schema(schema).parquet(f"{incoming}/*")
+    _feed(old, new, "p_partkey", incoming)
+    stream = spark.readStream.schema(spark.read.parquet(f"{incoming}/*").schema).parquet(f"{incoming}/*")
     start_index_sync(stream, index, "p_partkey", ckpt).awaitTermination()
-    return read_snapshot(spark, index).select(*new.columns)
+    return read_index(spark, index).select(*new.columns)
 
 
 @query("stream_match_notifications", """
@@ -106,18 +112,13 @@ def q_stream_sync_filings(spark, d):
     root = shared_dir(spark, "stream_sync_filings")
     incoming, index, ckpt = f"{root}/changes", f"{root}/index", f"{root}/_checkpoint"
     old, new = V.filings_old(spark, d), V.filings_new(spark, d)
-    changes = changes_between(old, new, "chunk_id")
-    schema = changes.schema
-    old.withColumn("_change_type", F.lit("insert")).select(schema.fieldNames()).write.parquet(f"{incoming}/0001")
+    _feed(old, new, "chunk_id", incoming)
 
     def embed_content(df):
         return embed(df, "content", num_features=1 << 12, idf=False)
 
-    stream = spark.readStream.schema(schema).parquet(f"{incoming}/*")
-    start_index_sync(stream, index, "chunk_id", ckpt, transform=embed_content).awaitTermination()
-    changes.write.parquet(f"{incoming}/0002")
-    stream = spark.readStream.schema(schema).parquet(f"{incoming}/*")
+    stream = spark.readStream.schema(spark.read.parquet(f"{incoming}/*").schema).parquet(f"{incoming}/*")
     start_index_sync(stream, index, "chunk_id", ckpt, transform=embed_content).awaitTermination()
-    idx = read_snapshot(spark, index)
+    idx = read_index(spark, index)
     return idx.select("chunk_id", "symbol", F.length("content").cast("bigint").alias("content_chars"),
                       F.col("embedding").isNotNull().alias("has_embedding"))

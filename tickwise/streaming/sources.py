@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def stream_table(spark: SparkSession, folder: str, file_glob: str, max_files_per_trigger: int | None = None
-                 ) -> DataFrame:
-    """Stream the Parquet files of ``folder`` whose name matches ``file_glob``.
+#: Files that one trigger takes at most, so that a backlog arrives in bounded batches.
+MAX_FILES_PER_TRIGGER = 1000
+
+
+def stream_table(spark: SparkSession, folder: str, name: str,
+                 max_files_per_trigger: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
+    """Stream the Parquet table ``folder/name``, a directory of files or a single file.
 
     The schema is taken from the files present now (a stream source needs a
     fixed schema); later files must share it.
     """
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(folder)
+    path = f"{folder.rstrip('/')}/{name}"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def run_available_now(df: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet",
