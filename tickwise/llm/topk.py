@@ -3,10 +3,10 @@
 Candidates are dealt into blocks by a hash of their id, queries into blocks likewise; each pair of a query
 block and a candidate block is one group of bounded size (a stated query set against all rows, in blocks).
 Within a group, every dimension is a list of the candidates sorted by that component. A query reads its lists
-sequentially from the end that its sign favours, some rows per list and round. What has been read gives each
-candidate a lower bound, and the lists' frontiers an upper bound. Reading stops when the k-th lower bound is
-above the upper bound of every outsider; the candidates that may still qualify get their final scores. The
-best of the blocks are ranked per query.
+sequentially from the end that its sign favours, to one depth per round; all queries of the group read together.
+What has been read gives each candidate a lower bound, and the lists' frontiers an upper bound. A query stops
+when all but a few candidates' upper bounds are below its k-th lower bound; those few get their final scores.
+Queries that never stop read their lists to the end. The best of the blocks are ranked per query.
 """
 
 from __future__ import annotations
@@ -19,70 +19,85 @@ from pyspark.sql.window import Window
 
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 8192
-#: Shares of every list read before the bounds are compared.
-_ROUNDS = (0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875)
+#: Shares of every list read before the bounds are compared; the rest is read by whom they do not settle.
+_ROUNDS = (0.5, 0.75)
+#: Queries whose bounds are held at a time.
+_AT_ONCE = 64
 
 
 class SortedLists:
-    """The candidates of a block and, per dimension, their order by that component."""
-
-    def __init__(self, vectors: np.ndarray):
-        self.x = vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()  # dimension x rank
-        self.sorted = np.take_along_axis(vectors.T, self.order, axis=1)
-
-    def best(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Places of all candidates that may be among the ``k`` best; their scores are still to be resolved."""
-        n, dims = self.x.shape
-        if n <= k:
-            return np.arange(n)
-        used = np.flatnonzero(q)
-        if not len(used):
-            return np.arange(n)
-        down = q[used] > 0
-        weight = q[used]
-        worst = np.where(down, self.sorted[used, 0], self.sorted[used, -1]) * weight
-        score = np.zeros(n, dtype=np.int64)       # sum of what was read
-        seen = np.zeros((len(used), n), dtype=bool)
-        at = 0
-        for share in _ROUNDS:
-            to = int(n * share)
-            if to <= at:
-                continue
-            for i, d in enumerate(used):
-                part = slice(n - to, n - at) if down[i] else slice(at, to)
-                rows = self.order[d, part]
-                score[rows] += self.sorted[d, part] * weight[i]
-                seen[i, rows] = True
-            at = to
-            edge = np.where(down, self.sorted[used, n - to], self.sorted[used, to - 1]) * weight
-            missing = ~seen
-            low = score + worst @ missing
-            high = score + edge @ missing
-            bar = np.partition(low, n - k)[n - k]
-            open_ = high >= bar
-            if open_.sum() <= max(4 * k, n // 16):  # outsiders cannot qualify: resolve the rest
-                return np.flatnonzero(open_)
-        return np.flatnonzero(open_)
+    """The candidates of a block and, per dimension, their order by that component.
+
+    A query of weight ``w`` reads list ``d`` from its top if ``w[d] > 0``, from its bottom if ``w[d] < 0``. What
+    all queries have read at a depth is the same up to that choice, so one product of the weights (split by sign)
+    with the values read adds up every query's lists at once.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.x = ids[order], vectors[order].T.copy()  # dimension x candidate
+        self.rank = np.argsort(np.argsort(self.x, axis=1, kind="stable"), axis=1, kind="stable")
+        self.sorted = np.sort(self.x, axis=1)
+
+    def bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values that give lower and upper bounds after ``depth`` reads of each list (top half, then bottom half):
+        a value that was read stands for itself, another for the list's far end or for the last value read."""
+        n = self.x.shape[1]
+        top, bottom = self.rank >= n - depth, self.rank < depth
+        least, most = self.sorted[:, :1], self.sorted[:, -1:]
+        low = np.concatenate([np.where(top, self.x, least), np.where(bottom, self.x, most)])
+        high = np.concatenate([np.where(top, self.x, self.sorted[:, n - depth][:, None]),
+                               np.where(bottom, self.x, self.sorted[:, depth - 1][:, None])])
+        return low, high
+
+    def search(self, qids: np.ndarray, weights: np.ndarray, k: int):
+        """``(query, candidate id, score)`` arrays of the ``k`` best of every query, ties to the smaller id."""
+        n = self.x.shape[1]
+        split = np.concatenate([np.maximum(weights, 0), np.minimum(weights, 0)], axis=1)
+        own = np.searchsorted(self.ids, qids, side="left"), np.searchsorted(self.ids, qids, side="right")
+        none = np.iinfo(np.int64).min if weights.dtype == np.int64 else -np.inf
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        todo = np.arange(len(qids))
+        for depth in sorted({int(n * share) for share in _ROUNDS} - {0}) if n > 4 * k else ():
+            low_values, high_values = self.bounds(depth)
+            later = []
+            for some in np.array_split(todo, max(1, -(-len(todo) // _AT_ONCE))):
+                low, high = split[some] @ low_values, split[some] @ high_values
+                for i, q in enumerate(some):
+                    low[i, own[0][q]:own[1][q]] = high[i, own[0][q]:own[1][q]] = none
+                bar = np.partition(low, n - k, axis=1)[:, n - k]
+                open_ = high >= bar[:, None]
+                settled = open_.sum(axis=1) <= max(4 * k, n // 32)  # outsiders cannot qualify
+                later.append(some[~settled])
+                for i in np.flatnonzero(settled):
+                    at = np.flatnonzero(open_[i] & (high[i] != none))
+                    found.append((some[i], at, weights[some[i]] @ self.x[:, at]))
+            todo = np.concatenate(later)
+        for some in np.array_split(todo, max(1, -(-len(todo) // _AT_ONCE))):
+            score = weights[some] @ self.x  # the rest of the lists
+            for i, q in enumerate(some):
+                score[i, own[0][q]:own[1][q]] = none
+            bar = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(some), none)
+            for i, q in enumerate(some):
+                at = np.flatnonzero((score[i] >= bar[i]) & (score[i] != none))
+                found.append((q, at, score[i, at]))
+        out = []
+        for q, at, score in found:
+            best = np.lexsort((self.ids[at], -score))[:k]
+            out.append((np.full(len(best), qids[q]), self.ids[at[best]], score[best].astype(np.int64)))
+        return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64)] * 3
 
 
 def _search_group(k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = [np.zeros(0, dtype=np.int64)] * 3
         if len(queries) and len(rows):
-            ids = rows["id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], np.stack(rows["v"].to_numpy()[order]).astype(np.int64)
-            lists = SortedLists(x)
-            for qid, q in zip(queries["id"].to_numpy(), queries["v"].to_numpy()):
-                q = np.asarray(q, dtype=np.int64)
-                # one place more than k, as the query's own row may be among them
-                at = lists.best(q, k + int((ids == qid).sum()))
-                at = at[ids[at] != qid]
-                score = x[at] @ q
-                top = np.lexsort((ids[at], -score))[:k]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at][top], "score": score[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            x, q = (np.stack(f["v"].to_numpy()).astype(np.int64) for f in (rows, queries))
+            # floating products are exact while every partial sum is below 2**53
+            if x.shape[1] * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2**53:
+                x, q = x.astype(np.float64), q.astype(np.float64)
+            found = SortedLists(rows["id"].to_numpy(), x).search(queries["id"].to_numpy(), q, k)
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 
     return run
 
