@@ -386,6 +386,26 @@ def test_packing_over_many_ranges(spark, monkeypatch):
     assert _valid(got, 100) <= 1.05 * _best_fit_decreasing(lengths, 100) + 1
 
 
+def test_packing_of_short_pieces_over_many_ranges_takes_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SWEEP_ROWS", 60)
+    rounds = []
+    real = packing.cut
+    monkeypatch.setattr(packing, "cut", lambda df, name: (rounds.append(name), real(df, name))[1])
+    rng = random.Random(4)
+    lengths = [rng.randint(20, 60) for _ in range(1200)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+    got = packing.pack(items, 2048).join(items, "pid").collect()
+    assert len(got) == len(lengths)
+    assert _valid(got, 2048) <= 1.05 * _best_fit_decreasing(lengths, 2048) + 1
+    assert rounds.count("pack") <= 10       # a sequence holds about 50 pieces
+
+
+def test_brackets_give_a_gap_as_many_pieces_as_fit():
+    r = packing._Range
+    got = packing._brackets({0: r(items=7, greatest_item=10), 1: r(), 2: r(gaps=3, least_gap=35), 3: r(gaps=2, least_gap=50)})
+    assert got == [packing._Bracket(0, 6, 7, 2, 0, 3, 3)]
+
+
 # ------------------------------------------------------------------ 10 top-k
 def test_topk_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 100)

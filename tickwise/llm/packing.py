@@ -7,12 +7,13 @@ them fit together. Then rounds repeat over the open pieces and the gaps:
 1. pieces and gaps are range-sorted together by size;
 2. every task sweeps its range upwards: a gap takes the largest open piece at or below its size (so the piece
    goes to its nearest successor gap), and goes on with what is left of it while its range has such pieces;
-3. pieces left over in lower ranges are matched to gaps left over in higher ones, one to one, like brackets:
-   the ranges' counts (one row per task) fix which ranks meet, and an equi-join on the rank brings them together;
+3. pieces left over in lower ranges are matched to gaps left over in higher ones, like brackets: a gap takes as
+   many pieces of one range as fit for certain, of the next ranks downwards. The ranges' counts and extreme sizes
+   (a few rows per task) fix which ranks meet, and an equi-join on the rank brings them together;
 4. gaps shrink, gaps below the smallest open piece close, and the next round sorts anew.
 
-When a round places nothing, no open piece fits any gap; the largest open pieces then open as many sequences
-as their total length needs at least.
+When there is no gap or a round places nothing, no open piece fits any gap; the largest open pieces then open as
+many sequences as their total length needs at least.
 """
 
 from __future__ import annotations
@@ -20,17 +21,20 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut
 
 #: Rows that one task sweeps, about.
 SWEEP_ROWS = 250_000
+#: Hash buckets of the pieces of one size, of which some open sequences.
+_TIE_BUCKETS = 4096
 #: Runs and units that a worker remembers, each.
 _KNOWN_LIMIT = 700_000
 #: White space other than space and line feed.
@@ -168,49 +172,79 @@ def _sweep(capacity: int):
     return run
 
 
-def _brackets(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """``(range of the pieces, highest rank, range of the gaps, lowest rank, how many)`` that meet in step 3.
+class _Range(NamedTuple):
+    """What a range's sweep left over: gaps without a piece and pieces without a gap."""
+    gaps: int = 0
+    least_gap: int = 0
+    items: int = 0
+    greatest_item: int = 0
 
-    ``counts`` has each range's gaps without a piece and pieces without a gap; within a range such gaps
-    lie below such pieces.
-    """
+
+class _Bracket(NamedTuple):
+    """Pieces of the ranks ``item_rank`` and downwards that meet gaps of the ranks ``gap_rank`` and upwards."""
+    item_part: int
+    item_rank: int
+    items: int
+    gap_part: int
+    gap_rank: int
+    gaps: int
+    each: int  # pieces that a gap takes; the last one may get fewer
+
+
+def _brackets(ranges: dict[int, _Range]) -> list[_Bracket]:
+    """Who meets in step 3. Within a range the gaps left over lie below the pieces left over."""
     out, stack = [], []
-    for part in sorted(counts):
-        gaps, items = counts[part]
+    for part in sorted(ranges):
+        here = ranges[part]
         taken = 0
-        while taken < gaps and stack:
+        while taken < here.gaps and stack:
             owner, left = stack.pop()
-            n = min(left, gaps - taken)
-            out.append((owner, left - 1, part, taken, n))
-            taken += n
-            if left > n:
-                stack.append((owner, left - n))
-        if items:
-            stack.append((part, items))
+            each = here.least_gap // ranges[owner].greatest_item
+            items = min(left, each * (here.gaps - taken))
+            gaps = -(-items // each)
+            out.append(_Bracket(owner, left - 1, items, part, taken, gaps, each))
+            taken += gaps
+            if left > items:
+                stack.append((owner, left - items))
+        if here.items:
+            stack.append((part, here.items))
     return out
 
 
-def _meet(rows: DataFrame, brackets, of_gap: bool) -> DataFrame:
-    """Adds ``key``: equal for a piece and the gap it meets, null for rows that meet none."""
-    bounds = [((g, lo, lo + n) if of_gap else (p, hi - n + 1, hi + 1)) + (k, lo if of_gap else hi)
-              for k, (p, hi, g, lo, n) in enumerate(brackets)]
+def _meet(rows: DataFrame, brackets: list[_Bracket], of_gap: bool) -> DataFrame:
+    """Adds ``key``: equal for a gap and the pieces it meets, -1 for rows that meet none."""
     by_part: dict[int, list] = {}
-    for part, lo, hi, k, base in bounds:
-        by_part.setdefault(part, []).append((lo, hi, k, base))
+    for k, b in enumerate(brackets):
+        part, low, high, base, each = (
+            (b.gap_part, b.gap_rank, b.gap_rank + b.gaps, b.gap_rank, 1) if of_gap else
+            (b.item_part, b.item_rank - b.items + 1, b.item_rank + 1, b.item_rank, b.each))
+        by_part.setdefault(part, []).append((low, high, k, base, each))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             part, rank = (b.column(c).to_numpy() for c in ("part", "rank"))
             key = np.full(b.num_rows, -1, dtype=np.int64)
             for p in np.unique(part):
-                for lo, hi, k, base in by_part.get(int(p), ()):
-                    m = (part == p) & (rank >= lo) & (rank < hi)
-                    key[m] = (k << 40) + np.abs(rank[m] - base)
+                for low, high, k, base, each in by_part.get(int(p), ()):
+                    m = (part == p) & (rank >= low) & (rank < high)
+                    key[m] = (k << 40) + np.abs(rank[m] - base) // each
             yield {"id": b.column("sid" if of_gap else "pid"), "size": b.column("size"), "key": key}
 
     return arrow_map(rows, run, "id long, size long, key long")
 
 
+def _placed_in(items: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
+    """``pid, sid, at, left, last`` of the pieces that meet a gap: one after another, the largest first."""
+    order = Window.partitionBy("key").orderBy(F.desc("size"), "id")  # capacity rows at most
+    items = items.where("key >= 0").select(
+        "key", F.col("id").alias("pid"), "size", F.sum("size").over(order).alias("upto"),
+        F.lead("id").over(order).isNull().alias("last"))
+    gaps = gaps.where("key >= 0").select("key", F.col("id").alias("sid"), F.col("size").alias("gap"))
+    return items.join(gaps, "key").select(
+        "pid", "sid", (F.lit(capacity) - F.col("gap") + F.col("upto") - F.col("size")).alias("at"),
+        (F.col("gap") - F.col("upto")).alias("left"), "last")
+
+
 def pack(items: DataFrame, capacity: int) -> DataFrame:
     """``pid, sequence_id, offset`` for rows ``(pid, length)`` with 1 <= length <= capacity and unique pid."""
     opens = F.col("length") * 2 > capacity
@@ -222,19 +256,26 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     n_rest, least = rest.agg(F.count("*"), F.min("size")).first()
     n_gaps = gaps.where(F.col("size") >= F.lit(least)).count() if n_rest else 0
     while n_rest:
+        if not n_gaps:
+            rest, gaps, opened, n_seeds = _open(rest, gaps, capacity)
+            placed.append(opened)
+            n_rest, n_gaps = n_rest - n_seeds, n_seeds
+            continue
         both = rest.select("size", F.lit(0).alias("kind"), "id").unionByName(
             gaps.where(F.col("size") >= least).select("size", F.lit(1).alias("kind"), "id"))
-        ranges = -(-(n_rest + n_gaps) // SWEEP_ROWS)
-        swept = cut(arrow_map(both.repartitionByRange(ranges, "size", "kind", "id")
+        swept = cut(arrow_map(both.repartitionByRange(-(-(n_rest + n_gaps) // SWEEP_ROWS), "size", "kind", "id")
                               .sortWithinPartitions("size", "kind", "id"), _sweep(capacity), _ROUND), "pack")
         stats = swept.groupBy("what", "part").agg(  # a few rows per range
             F.count("*").alias("n"), F.count_if(F.col("rank") >= 0).alias("ranked"),
-            F.min("size").alias("least"), F.sum("size").alias("total")).collect()
-        ranked = {p: [0, 0] for p in {r.part for r in stats}}
+            F.min("size").alias("least"), F.max("size").alias("greatest"),
+            F.min(F.when(F.col("rank") >= 0, F.col("size"))).alias("least_ranked")).collect()
+        ranges = {p: _Range() for p in {r.part for r in stats}}
         for r in stats:
-            if r.what != _PLACED:
-                ranked[r.part][r.what - 1] = r.ranked
-        brackets = _brackets({p: tuple(v) for p, v in ranked.items()})
+            if r.what == _GAP and r.ranked:
+                ranges[r.part] = ranges[r.part]._replace(gaps=r.ranked, least_gap=r.least_ranked)
+            elif r.what == _ITEM:
+                ranges[r.part] = ranges[r.part]._replace(items=r.n, greatest_item=r.greatest)
+        brackets = _brackets(ranges)
         now = swept.where(F.col("what") == _PLACED)
         n_placed = sum(r.n for r in stats if r.what == _PLACED)
         if n_placed:
@@ -248,22 +289,17 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
         gaps = swept.where(F.col("what") == _GAP)
         if brackets:
             met_items, met_gaps = _meet(rest, brackets, False), _meet(gaps, brackets, True)
-            met = cut(met_items.where("key >= 0").alias("i").join(met_gaps.where("key >= 0").alias("g"), "key").select(
-                F.col("i.id").alias("pid"), F.col("g.id").alias("sid"), (F.lit(capacity) - F.col("g.size")).alias("at"),
-                (F.col("g.size") - F.col("i.size")).alias("left")), "pack_met")
+            met = cut(_placed_in(met_items, met_gaps, capacity), "pack_met")
             placed.append(met.select("pid", "sid", "at"))
             rest = met_items.where("key < 0").select("id", "size")
             gaps = met_gaps.where("key < 0").select("id", "size").unionByName(
-                met.where("left > 0").select(F.col("sid").alias("id"), F.col("left").alias("size")))
-            n_rest -= sum(b[-1] for b in brackets)
+                met.where("last and left > 0").select(F.col("sid").alias("id"), F.col("left").alias("size")))
+            n_rest -= sum(b.items for b in brackets)
         else:
             rest = rest.select(F.col("pid").alias("id"), "size")
             gaps = gaps.select(F.col("sid").alias("id"), "size")
             if not n_placed:
-                rest, gaps, opened, n_seeds = _open(rest, gaps, capacity)
-                placed.append(opened)
-                n_rest -= n_seeds
-                n_gaps = n_seeds
+                n_gaps = 0
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)
@@ -271,18 +307,27 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
 
 
 def _open(rest: DataFrame, gaps: DataFrame, capacity: int):
-    """Open sequences with the largest pieces: as many as the open pieces' total length needs, about."""
-    hist = sorted(((r["size"], r.n, r.low) for r in rest.groupBy("size").agg(  # capacity rows at most
-        F.count("*").alias("n"), F.min("id").alias("low")).collect()), reverse=True)
-    want = -(-sum(s * n for s, n, _ in hist) // capacity)
+    """Open sequences with the largest pieces: as many as the open pieces' total length needs, about.
+
+    Of the pieces of the last size that is needed, whole hash buckets are taken, so at most a bucket's share of
+    them is missing (or one bucket too much, where it is the first); later rounds open what is still needed.
+    """
+    hist = sorted(((r["size"], r.n) for r in rest.groupBy("size").agg(  # capacity rows at most
+        F.count("*").alias("n")).collect()), reverse=True)
+    want = -(-sum(s * n for s, n in hist) // capacity)
     above = 0
-    for size, n, low in hist:
+    for size, n in hist:
         if above + n >= want:
             break
         above += n
-    share = int((want - above) / n * (1 << 20))
-    tie = F.col("size") == size
-    seed = (F.col("size") > size) | (tie & ((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share) | (F.col("id") == low)))
+    tie, bucket = F.col("size") == size, F.pmod(F.xxhash64("id"), F.lit(_TIE_BUCKETS))
+    bound = 0
+    for b, n in sorted((r.b, r.n) for r in rest.where(tie).groupBy(bucket.alias("b")).agg(
+            F.count("*").alias("n")).collect()):
+        if above and above + n > want:
+            break
+        above, bound = above + n, b + 1
+    seed = (F.col("size") > size) | (tie & (bucket < bound))
     marked = cut(rest.select("id", "size", seed.alias("seed")), "pack_open")
     seeds = marked.where("seed")
     n_seeds = seeds.count()
