@@ -406,6 +406,27 @@ def test_brackets_give_a_gap_as_many_pieces_as_fit():
     assert got == [packing._Bracket(0, 6, 7, 2, 0, 3, 3)]
 
 
+def test_a_gap_goes_on_with_lower_ranges_in_its_room():
+    r = packing._Range
+    got = packing._brackets({0: r(items=9, greatest_item=4), 1: r(items=1, greatest_item=20), 2: r(gaps=2, least_gap=30)})
+    b = packing._Bracket
+    assert got == [b(1, 0, 1, 2, 0, 1, 1), b(0, 8, 7, 2, 1, 1, 7), b(0, 1, 2, 2, 0, 1, 2)]
+    rng = random.Random(5)
+    for _ in range(200):
+        edges = sorted(rng.randint(1, 300) for _ in range(30))
+        ranges = {p: r(g := rng.randint(0, 4), max(1, lo) if g else 0, rng.randint(0, 6), hi)
+                  for p, (lo, hi) in enumerate(zip(edges, edges[1:]))}
+        used, room = set(), {}
+        for k in packing._brackets(ranges):
+            assert k.items <= k.gaps * k.each and k.item_part < k.gap_part and k.gap_rank + k.gaps <= ranges[k.gap_part].gaps
+            for i in range(k.items):
+                item, gap = (k.item_part, k.item_rank - i), (k.gap_part, k.gap_rank + i // k.each)
+                assert item not in used and 0 <= item[1] < ranges[k.item_part].items
+                used.add(item)
+                room[gap] = room.get(gap, ranges[k.gap_part].least_gap) - ranges[k.item_part].greatest_item
+        assert all(v >= 0 for v in room.values())
+
+
 # ------------------------------------------------------------------ 10 top-k
 def test_topk_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 100)

@@ -8,8 +8,9 @@ them fit together. Then rounds repeat over the open pieces and the gaps:
 2. every task sweeps its range upwards: a gap takes the largest open piece at or below its size (so the piece
    goes to its nearest successor gap), and goes on with what is left of it while its range has such pieces;
 3. pieces left over in lower ranges are matched to gaps left over in higher ones, like brackets: a gap takes as
-   many pieces of one range as fit for certain, of the next ranks downwards. The ranges' counts and extreme sizes
-   (a few rows per task) fix which ranks meet, and an equi-join on the rank brings them together;
+   many pieces of a range as fit for certain, of the next ranks downwards, and goes on with lower ranges in the
+   room that is left. The ranges' counts and extreme sizes (a few rows per task) fix which ranks meet, and an
+   equi-join on the gap's part and rank brings them together;
 4. gaps shrink, gaps below the smallest open piece close, and the next round sorts anew.
 
 When there is no gap or a round places nothing, no open piece fits any gap; the largest open pieces then open as
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -139,8 +142,6 @@ _PLACED, _GAP, _ITEM = 0, 1, 2
 
 def _sweep(capacity: int):
     """Kernel of step 2: rows ``(size, kind, id)`` sorted by size, pieces (kind 0) before gaps (kind 1)."""
-    from bisect import bisect_right
-
     def run(batches: Iterator[pa.RecordBatch]):
         part = TaskContext.get().partitionId()
         sizes, ids = [], []          # open pieces, ascending
@@ -192,43 +193,64 @@ class _Bracket(NamedTuple):
 
 
 def _brackets(ranges: dict[int, _Range]) -> list[_Bracket]:
-    """Who meets in step 3. Within a range the gaps left over lie below the pieces left over."""
-    out, stack = [], []
+    """Who meets in step 3. Within a range the gaps left over lie below the pieces left over.
+
+    A range's gaps form groups with room for certain. A group takes from the highest range whose pieces fit that
+    room; the gaps served wait with the room that is left until the others had their turn. Serving a whole group
+    at least halves its room and everything else empties a range, so there are some times as many steps as ranges.
+    """
+    out: list[_Bracket] = []
+    owners: list[list[int]] = []     # part, pieces left; ascending
+    sizes: list[int] = []            # their greatest pieces
     for part in sorted(ranges):
         here = ranges[part]
-        taken = 0
-        while taken < here.gaps and stack:
-            owner, left = stack.pop()
-            each = here.least_gap // ranges[owner].greatest_item
-            items = min(left, each * (here.gaps - taken))
-            gaps = -(-items // each)
-            out.append(_Bracket(owner, left - 1, items, part, taken, gaps, each))
-            taken += gaps
+        groups = deque([(0, here.gaps, here.least_gap)] if here.gaps else [])
+        while groups and owners:
+            start, n, room = groups.popleft()
+            k = bisect_right(sizes, room) - 1
+            if k < 0:
+                continue
+            owner, left = owners[k]
+            each = room // sizes[k]
+            items = min(left, each * n)
+            full, rest = divmod(items, each)
+            served = full + (rest > 0)
+            out.append(_Bracket(owner, left - 1, items, part, start, served, each))
+            if served < n:
+                groups.appendleft((start + served, n - served, room))
+            if full:
+                groups.append((start, full, room - each * sizes[k]))
+            if rest:
+                groups.append((start + full, 1, room - rest * sizes[k]))
             if left > items:
-                stack.append((owner, left - items))
+                owners[k][1] -= items
+            else:
+                del owners[k], sizes[k]
         if here.items:
-            stack.append((part, here.items))
+            owners.append([part, here.items])
+            sizes.append(here.greatest_item)
     return out
 
 
 def _meet(rows: DataFrame, brackets: list[_Bracket], of_gap: bool) -> DataFrame:
-    """Adds ``key``: equal for a gap and the pieces it meets, -1 for rows that meet none."""
+    """Adds ``key``: a gap's part and rank, for the gap and the pieces it meets; -1 for rows that meet none."""
     by_part: dict[int, list] = {}
-    for k, b in enumerate(brackets):
-        part, low, high, base, each = (
-            (b.gap_part, b.gap_rank, b.gap_rank + b.gaps, b.gap_rank, 1) if of_gap else
-            (b.item_part, b.item_rank - b.items + 1, b.item_rank + 1, b.item_rank, b.each))
-        by_part.setdefault(part, []).append((low, high, k, base, each))
+    for b in brackets:
+        if of_gap:
+            by_part.setdefault(b.gap_part, []).append((b.gap_rank, b.gap_rank + b.gaps, b.gap_part, 0, 0, 1))
+        else:
+            by_part.setdefault(b.item_part, []).append(
+                (b.item_rank - b.items + 1, b.item_rank + 1, b.gap_part, b.gap_rank, b.item_rank, b.each))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            part, rank = (b.column(c).to_numpy() for c in ("part", "rank"))
-            key = np.full(b.num_rows, -1, dtype=np.int64)
+        for batch in batches:
+            part, rank = (batch.column(c).to_numpy() for c in ("part", "rank"))
+            key = np.full(batch.num_rows, -1, dtype=np.int64)
             for p in np.unique(part):
-                for low, high, k, base, each in by_part.get(int(p), ()):
+                for low, high, gap_part, gap_rank, base, each in by_part.get(int(p), ()):
                     m = (part == p) & (rank >= low) & (rank < high)
-                    key[m] = (k << 40) + np.abs(rank[m] - base) // each
-            yield {"id": b.column("sid" if of_gap else "pid"), "size": b.column("size"), "key": key}
+                    key[m] = (gap_part << 40) + gap_rank + np.abs(rank[m] - base) // each
+            yield {"id": batch.column("sid" if of_gap else "pid"), "size": batch.column("size"), "key": key}
 
     return arrow_map(rows, run, "id long, size long, key long")
 
@@ -300,6 +322,8 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
             gaps = gaps.select(F.col("sid").alias("id"), "size")
             if not n_placed:
                 n_gaps = 0
+        if n_gaps and least > max(r.greatest for r in stats if r.what == _GAP):
+            n_gaps = 0
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)
