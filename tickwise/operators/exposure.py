@@ -103,8 +103,12 @@ def concentration(h: DataFrame, dim: str, top_n: int = 3) -> DataFrame:
 
 
 def rank_drivers(h: DataFrame, key: str = "ticker", value: str = "market_value") -> DataFrame:
-    """W5 – rank holdings by market value (dense rank, 1 = largest), after aggregation."""
-    agg = h.groupBy(key).agg(F.sum(value).alias(value))
+    """W5 – rank holdings by market value (dense rank, 1 = largest), after aggregation.
+
+    The ranking evaluates the sums twice, so they are taken as decimals (six places): those do not depend on
+    the order in which partial sums arrive, and both evaluations agree to the last bit.
+    """
+    agg = h.groupBy(key).agg(F.sum(F.col(value).cast("decimal(28,6)")).cast("double").alias(value))
     return dense_rank_desc(agg, value, "risk_rank")
 
 

@@ -28,6 +28,7 @@ ENTITY_LOAD_2 = ("r2", "2024-02-02T06:00:00")
 HISTORY_LOAD = ("h1", "2024-02-01T07:00:00")
 RESTATED_BALANCE_BELOW = 0.0      # companies with a negative balance are re-loaded (second load)
 REPEATED_BALANCE_ABOVE = 9000.0   # companies above this balance appear twice in the first load
+ASK_OVER_LAST, BID_OVER_LAST = 1.0005, 0.9995    # quotes around the close; a bar of one event has no bid
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,8 +145,8 @@ def prices(spark: SparkSession, d: str, start=None, end=None) -> DataFrame:
         F.lit("HistoryRequest").alias("DL_REQUEST_NAME"),
         F.lit(HISTORY_LOAD[1]).alias("DL_SNAPSHOT_START_TIME"),
         F.lit("UTC").alias("DL_SNAPSHOT_TZ"),
-        F.lit(None).cast("double").alias("PX_ASK"),
-        F.lit(None).cast("double").alias("PX_BID"),
+        (F.col("PX_LAST") * F.lit(ASK_OVER_LAST)).alias("PX_ASK"),
+        F.when(F.col("PX_VOLUME") > 1, F.col("PX_LAST") * F.lit(BID_OVER_LAST)).alias("PX_BID"),
         "PX_HIGH", "PX_LAST", "PX_LOW", "PX_OPEN", "PX_VOLUME",
         F.lit(0).cast("bigint").alias("RC"),
         F.concat(F.lit("C"), F.col("user_id").cast("string"), F.lit("-US")).alias("TICKER"))
@@ -154,7 +155,8 @@ def prices(spark: SparkSession, d: str, start=None, end=None) -> DataFrame:
 PRICES_SQL = f"""
 prices AS (SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS DATE, '{HISTORY_LOAD[0]}' AS DL_REQUEST_ID,
   'HistoryRequest' AS DL_REQUEST_NAME, '{HISTORY_LOAD[1]}' AS DL_SNAPSHOT_START_TIME, 'UTC' AS DL_SNAPSHOT_TZ,
-  CAST(NULL AS DOUBLE) AS PX_ASK, CAST(NULL AS DOUBLE) AS PX_BID, max(value) AS PX_HIGH,
+  arg_max(value, ts) * CAST({ASK_OVER_LAST} AS DOUBLE) AS PX_ASK,
+  CASE WHEN count(*) > 1 THEN arg_max(value, ts) * CAST({BID_OVER_LAST} AS DOUBLE) END AS PX_BID, max(value) AS PX_HIGH,
   arg_max(value, ts) AS PX_LAST, min(value) AS PX_LOW, arg_min(value, ts) AS PX_OPEN,
   count(*) AS PX_VOLUME, CAST(0 AS BIGINT) AS RC, 'C' || CAST(user_id AS VARCHAR) || '-US' AS TICKER
   FROM events GROUP BY user_id, CAST(ts AS DATE)),
