@@ -243,6 +243,25 @@ def test_pseudonyms_keep_format_validity_and_links(spark, edge, empty):
     assert {r.doc_id: r.text for r in pii.pseudonymised(edge, "k").collect()}[1] is None
 
 
+def test_pseudonyms_of_low_area_codes_prefixes_us_dates_and_cards_in_runs():
+    def undone(kind, new):
+        return {p(new, b"key", True) for k, _, _, p in pii.KINDS if k == kind}
+
+    for kind, v in [("phone", "+1 (017) 555-7713"), ("phone", "+1 (132) 555-1352"), ("phone", "+15551234567"),
+                    ("phone", "1-555-123-4567"), ("phone", "1 (555) 123-4567"), ("phone", "(017) 555-7713"),
+                    ("date", "12/31/2024"), ("date", "02/29/2024")]:
+        found = pii.findings(f"x {v} y", b"key")
+        assert [(s, n, k) for s, n, k, _ in found] == [(2, len(v), kind)], v
+        assert found[0][3] != v and undone(kind, found[0][3]) == {v}
+        assert [c.isdigit() for c in found[0][3]] == [c.isdigit() for c in v]
+    card = "4111 1111 1111 1111"
+    for before, after in [("", " 12/27"), ("", " 123"), ("12 ", ""), ("2024 ", " 07"), ("", " " + card)]:
+        found = pii.findings(before + card + after, b"key")
+        assert found[0][:3] == (len(before), len(card), "card") and len(found) == 1 + (after == " " + card)
+    for decoy in ("02/30/2024", "13/13/2024", "017-555-7713", "4111 1111 1111 1112 12/27", "12 4111 1111 1111 1112"):
+        assert pii.findings(f"x {decoy} y", b"key") == [], decoy
+
+
 # ------------------------------------------------------------------ 6 LM scores
 def test_backoff_scores_equal_brute_force(spark, small, edge, empty, monkeypatch):
     monkeypatch.setattr(lmscore, "CHUNK_BYTES", 60_000)

@@ -9,6 +9,7 @@ key's holder can undo it.
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import re
@@ -101,10 +102,15 @@ def _phone(text: str, key: bytes, inverse: bool) -> str | None:
         rest = _permute_digits([int(c) for c in digits[2:]], [10] * (len(digits) - 2), key, f"phone{digits[:2]}", inverse)
         return _refill(text, digits[:2] + "".join(map(str, rest)), str.isdigit)
     lead, number = digits[:-10], digits[-10:]
-    if len(number) < 10 or lead not in ("", "1") or number[0] in "01":
+    if len(number) < 10 or lead not in ("", "1"):
         return None
-    out = _permute_digits([int(number[0]) - 2] + [int(c) for c in number[1:]], [8] + [10] * 9, key, "phone1", inverse)
-    return _refill(text, lead + str(out[0] + 2) + "".join(map(str, out[1:])), str.isdigit)
+    # area codes from 0 or 1 are not dealt out; written as a phone number, they are one all the same
+    low = number[0] in "01"
+    if low and not lead and "(" not in text:
+        return None
+    least, first, tweak = (0, 2, "phone1 low") if low else (2, 8, "phone1")
+    out = _permute_digits([int(number[0]) - least] + [int(c) for c in number[1:]], [first] + [10] * 9, key, tweak, inverse)
+    return _refill(text, lead + str(out[0] + least) + "".join(map(str, out[1:])), str.isdigit)
 
 
 def _ip(text: str, key: bytes, inverse: bool) -> str | None:
@@ -115,6 +121,8 @@ def _ip(text: str, key: bytes, inverse: bool) -> str | None:
 
 
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+#: The days that tell a month written first: those after the 12th.
+_LATE_DAYS = [n for n in range(_FIRST_DAY, _LAST_DAY + 1) if dt.date.fromordinal(n).day > 12]
 
 
 def _date(text: str, key: bytes, inverse: bool) -> str | None:
@@ -122,12 +130,19 @@ def _date(text: str, key: bytes, inverse: bool) -> str | None:
     parts = text.split(sep)
     year_first = len(parts[0]) == 4
     y, m, d = (int(p) for p in (parts if year_first else parts[::-1]))
+    month_first = not year_first and m > 12
+    if month_first:
+        m, d = d, m
     try:
         n = dt.date(y, m, d).toordinal()
     except ValueError:
         return None
     if not _FIRST_DAY <= n <= _LAST_DAY:
         return None
+    if month_first:  # permuted among the days after the 12th, so that the pseudonym reads the same way
+        at = permute(bisect.bisect_left(_LATE_DAYS, n), len(_LATE_DAYS), key, "date month first", inverse)
+        new = dt.date.fromordinal(_LATE_DAYS[at])
+        return sep.join((f"{new.month:02d}", f"{new.day:02d}", f"{new.year:04d}"))
     new = dt.date.fromordinal(_FIRST_DAY + permute(n - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, "date", inverse))
     out = [f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"]
     return sep.join(out if year_first else out[::-1])
@@ -186,11 +201,36 @@ KINDS: list[tuple[str, str, re.Pattern, Callable]] = [
     ("ip", ".", re.compile(rf"(?<![\w.]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?!\.?\w)"), _ip),
     ("date", "", re.compile(r"(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4})(?![\w/-])"), _date),
     ("ssn", "-", re.compile(r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])"), _ssn),
-    ("phone", "", re.compile(r"(?<![\w+.-])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"), _phone),
+    ("phone", "+1", re.compile(r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}(?![\w-])"), _phone),
+    ("phone", "", re.compile(r"(?<![\w+.-])(?:1[ .-]|1(?=\())?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"), _phone),
     ("phone", "+", re.compile(r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\d{2,4}){2,5}(?![\w-])"), _phone),
-    ("card", "", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"), _card),
+    ("card", "", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-])"), _card),
 ]
 _DIGIT = re.compile(r"[0-9]")
+_GROUP = re.compile(r"\d+")
+#: A card within a longer run of digit groups, after other groups: in one group or in fours.
+_CARD_SHAPE = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}")
+
+
+def _values(kind: str, m: re.Match) -> Iterator[Iterator[tuple[int, int]]]:
+    """Places of a match that may hold one value each, in alternatives of which the first valid one counts.
+
+    A card's run of digit groups may go on with other numbers, or begin with some: from each group on, the longest
+    part of whole groups with right check digits is the card.
+    """
+    if kind != "card":
+        yield iter([m.span(m.lastindex or 0)])
+        return
+    groups = [(a + m.start(), b + m.start()) for a, b in (g.span() for g in _GROUP.finditer(m.group()))]
+    for i, (start, _) in enumerate(groups):
+        ends, digits = [], 0
+        for a, b in groups[i:]:
+            digits += b - a
+            if digits > 19:
+                break
+            if digits >= 13 and (i == 0 or _CARD_SHAPE.fullmatch(m.string, start, b)):
+                ends.append(b)
+        yield ((start, b) for b in reversed(ends))
 
 
 def findings(text: str | None, key: bytes) -> list[tuple[int, int, str, str]]:
@@ -206,12 +246,14 @@ def findings(text: str | None, key: bytes) -> list[tuple[int, int, str, str]]:
         if (need and need not in text) or not (digit or kind in ("email", "secret")):
             continue
         for m in pattern.finditer(text):
-            start, end = m.span(m.lastindex or 0)
-            if any(start < s + n and s < end for s, n, _, _ in out):
-                continue
-            new = pseudonym(text[start:end], key, False)
-            if new is not None:
-                out.append((start, end - start, kind, new))
+            for places in _values(kind, m):
+                for start, end in places:
+                    if any(start < s + n and s < end for s, n, _, _ in out):
+                        continue
+                    new = pseudonym(text[start:end], key, False)
+                    if new is not None:
+                        out.append((start, end - start, kind, new))
+                        break
     return sorted(out)
 
 
