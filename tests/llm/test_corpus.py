@@ -395,6 +395,23 @@ def test_encoder_equals_the_tokenizer_on_odd_space():
     assert enc.encode(texts) == want
 
 
+def test_special_tokens_written_out_are_encoded_as_by_the_file(spark):
+    from tokenizers import Tokenizer
+    path = queries.default_tokenizer()
+    fresh = Tokenizer.from_file(path)
+    token = "<|endoftext|>"
+    assert not any(" " in t.content or t.lstrip or t.rstrip for t in fresh.get_added_tokens_decoder().values())
+    rng = random.Random(6)
+    bits = ["a", "Zé", " ", " ", "  ", "\n", ".", "'s", "1", "\t", "|", token, token]
+    texts = [f"x {token} y", token, f"{token}{token}", f" {token} ", *("".join(rng.choice(bits) for _ in range(10)) for _ in range(2000))]
+    want = [np.array(fresh.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert packing.Encoder(path).encode(texts) == want and fresh.token_to_id(token) in np.frombuffer(want[0], dtype="<u4")
+    common.prepare(spark)
+    rows = packing.best_fit_pack(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), path).collect()
+    ids = want[0] + np.array([0], dtype="<u4").tobytes()
+    assert [(r.length, r.ids_crc32) for r in rows] == [(len(ids) // 4, zlib.crc32(ids))]
+
+
 def test_packing_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(packing, "SWEEP_ROWS", 40)
     rng = random.Random(3)

@@ -54,15 +54,14 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes, by way of the tokens' runs between single spaces.
 
-    The tokenizer's pre-tokenisation always starts a new unit at a space between two non-space characters,
-    so the runs encode independently and frequent ones are encoded once. A new run made of Latin letters, plain
+    The tokenizer's pre-tokenisation always starts a new unit at a space between two non-space characters, and
+    special tokens written out in a text, which stay whole, hold no space; so the runs encode independently and frequent ones are encoded once. A new run made of Latin letters, plain
     punctuation and single line feeds is taken apart into its units, which are remembered likewise.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.runs: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
