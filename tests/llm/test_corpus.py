@@ -483,6 +483,37 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert topk.exact_topk(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_of_repeated_query_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    rows += [rows[0]] * 2 + [(1, rows[7][1])]  # one query row three times, one id with two vectors
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.exact_topk(frame, F.col("vec_id") < 2).collect())
+    good = [(i, np.floor(np.array(v) * 64).astype(int)) for i, v in rows]
+    want = []
+    for i, q in good:
+        if i < 2:
+            best = sorted((-int(q @ v), j) for j, v in good if j != i)[:20]
+            want += [(i, k, j, -s) for k, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want) and len(got) == 5 * 20
+
+
+def test_topk_blocks_stay_bounded_on_one_repeated_row(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
+
+    def sized(k):
+        def run(queries, rows):
+            import pandas as pd
+            return pd.DataFrame({"row": queries["row"], "query_id": queries["id"], "vec_id": 0, "score": len(rows)})
+        return run
+
+    monkeypatch.setattr(topk, "_search_group", sized)
+    frame = spark.createDataFrame([(5, [1.0, 2.0])] * 1000 + [(0, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    blocks = [r.score for r in topk.exact_topk(frame, F.col("vec_id") == 0, k=50).collect()]
+    assert sum(blocks) == 1001 and max(blocks) < 100
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_equals_its_operators_by_brute_force(spark):
     import corpus_pipeline

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 8192
 #: Shares of every list read before the bounds are compared; the rest is read by whom they do not settle.
@@ -51,7 +53,7 @@ class SortedLists:
         return low, high
 
     def search(self, qids: np.ndarray, weights: np.ndarray, k: int):
-        """``(query, candidate id, score)`` arrays of the ``k`` best of every query, ties to the smaller id."""
+        """``(query's place, candidate id, score)`` arrays of the ``k`` best of every query, ties to the smaller id."""
         n = self.x.shape[1]
         split = np.concatenate([np.maximum(weights, 0), np.minimum(weights, 0)], axis=1)
         own = np.searchsorted(self.ids, qids, side="left"), np.searchsorted(self.ids, qids, side="right")
@@ -84,20 +86,21 @@ class SortedLists:
         out = []
         for q, at, score in found:
             best = np.lexsort((self.ids[at], -score))[:k]
-            out.append((np.full(len(best), qids[q]), self.ids[at[best]], score[best].astype(np.int64)))
+            out.append((np.full(len(best), q), self.ids[at[best]], score[best].astype(np.int64)))
         return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64)] * 3
 
 
 def _search_group(k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found = [np.zeros(0, dtype=np.int64)] * 3
+        found = [np.zeros(0, dtype=np.int64)] * 4
         if len(queries) and len(rows):
             x, q = (np.stack(f["v"].to_numpy()).astype(np.int64) for f in (rows, queries))
             # floating products are exact while every partial sum is below 2**53
             if x.shape[1] * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2**53:
                 x, q = x.astype(np.float64), q.astype(np.float64)
-            found = SortedLists(rows["id"].to_numpy(), x).search(queries["id"].to_numpy(), q, k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
+            at, *best = SortedLists(rows["id"].to_numpy(), x).search(queries["id"].to_numpy(), q, k)
+            found = [queries["row"].to_numpy()[at], queries["id"].to_numpy()[at], *best]
+        return pd.DataFrame(dict(zip(("row", "query_id", "vec_id", "score"), found)))
 
     return run
 
@@ -119,21 +122,22 @@ def exact_topk(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     Ties go to the smaller id; a query's own id is never among its results; fewer candidates give fewer rows.
     Vectors that are null or hold null or non-finite components, and rows without an id, take no part.
-    Only vectors of the query's own length are compared. Rows repeated in the input count each on their own.
+    Only vectors of the query's own length are compared. Rows repeated in the input count each on their own: a query
+    row that stands twice gives its list twice.
     """
-    good = rows.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
+    good = cut(rows.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"),
-        F.size(vector_col).alias("len"), is_query.alias("q"))
+        F.size(vector_col).alias("len"), is_query.alias("q")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n_rows, n_queries = good.agg(F.count("*"), F.count_if(F.col("q"))).first()
     cb, qb = max(1, -(-n_rows // CANDIDATE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    # salted by a hash of the whole row, so that equal ids or equal vectors spread evenly
-    candidates = (good.select("id", "v", "len", F.pmod(F.xxhash64("id", "v"), F.lit(cb)).alias("c"))
+    # dealt by the written row id, so that equal rows spread evenly
+    candidates = (good.select("id", "v", "len", F.pmod(F.xxhash64("row"), F.lit(cb)).alias("c"))
                   .select("*", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("b")))
-    queries = (good.where("q").select("id", "v", "len", F.pmod(F.xxhash64("id", "v"), F.lit(qb)).cast("int").alias("b"))
+    queries = (good.where("q").select("row", "id", "v", "len", F.pmod(F.xxhash64("row"), F.lit(qb)).cast("int").alias("b"))
                .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cb - 1).cast("long"))).alias("c")))
     keys = ["len", "c", "b"]
     found = (queries.groupBy(*keys).cogroup(candidates.groupBy(*keys))
-             .applyInPandas(_search_group(k), "query_id long, vec_id long, score long"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+             .applyInPandas(_search_group(k), "row long, query_id long, vec_id long, score long"))
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
