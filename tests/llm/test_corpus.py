@@ -514,6 +514,30 @@ def test_topk_blocks_stay_bounded_on_one_repeated_row(spark, monkeypatch):
     assert sum(blocks) == 1001 and max(blocks) < 100
 
 
+def test_topk_bounds_settle_queries_and_leave_few_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    scored = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, at):
+            out = super().__getitem__(at)
+            if isinstance(at, tuple) and isinstance(at[1], np.ndarray) and at[1].dtype != bool:
+                scored.append(len(at[1]))
+            return out
+
+    for n, k in ((2000, 20), (60, 20), (15, 20), (3, 1)):
+        x = np.floor(rng.normal(size=(n, 64)) * 64)
+        lists = topk.SortedLists(np.arange(n), x)
+        lists.x = lists.x.view(Watched)
+        q = np.arange(0, n, 20)
+        scored.clear()
+        at, ids, score = lists.search(q, x[q], k)
+        for i in range(len(q)):
+            best = sorted((-int(x[q[i]] @ x[j]), j) for j in range(n) if j != q[i])[:k]
+            assert [(-s, j) for s, j in zip(score[at == i].tolist(), ids[at == i].tolist())] == best
+        assert len(scored) == len(q) and (n <= k or max(scored) <= max(min(4 * k, (n + k) // 2), n // 32))
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_equals_its_operators_by_brute_force(spark):
     import corpus_pipeline

@@ -6,7 +6,7 @@ Within a group, every dimension is a list of the candidates sorted by that compo
 sequentially from the end that its sign favours, to one depth per round; all queries of the group read together.
 What has been read gives each candidate a lower bound, and the lists' frontiers an upper bound. A query stops
 when all but a few candidates' upper bounds are below its k-th lower bound; those few get their final scores.
-Queries that never stop read their lists to the end. The best of the blocks are ranked per query.
+After the last round the candidates still open get theirs, however many they are. The best of the blocks are ranked per query.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .common import cut
 
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 8192
-#: Shares of every list read before the bounds are compared; the rest is read by whom they do not settle.
-_ROUNDS = (0.5, 0.75)
+#: Shares of every list read before the bounds are compared.
+_ROUNDS = (0.5, 0.75, 0.9, 0.95)
 #: Queries whose bounds are held at a time.
 _AT_ONCE = 64
 
@@ -60,7 +60,9 @@ class SortedLists:
         none = np.iinfo(np.int64).min if weights.dtype == np.int64 else -np.inf
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         todo = np.arange(len(qids))
-        for depth in sorted({int(n * share) for share in _ROUNDS} - {0}) if n > 4 * k else ():
+        few = max(min(4 * k, (n + k) // 2), n // 32)
+        depths = sorted({int(n * share) for share in _ROUNDS} - {0}) if n > k else []
+        for depth in depths:
             low_values, high_values = self.bounds(depth)
             later = []
             for some in np.array_split(todo, max(1, -(-len(todo) // _AT_ONCE))):
@@ -68,21 +70,16 @@ class SortedLists:
                 for i, q in enumerate(some):
                     low[i, own[0][q]:own[1][q]] = high[i, own[0][q]:own[1][q]] = none
                 bar = np.partition(low, n - k, axis=1)[:, n - k]
-                open_ = high >= bar[:, None]
-                settled = open_.sum(axis=1) <= max(4 * k, n // 32)  # outsiders cannot qualify
+                open_ = (high >= bar[:, None]) & (high != none)  # outsiders cannot qualify
+                settled = (open_.sum(axis=1) <= few) | (depth == depths[-1])
                 later.append(some[~settled])
                 for i in np.flatnonzero(settled):
-                    at = np.flatnonzero(open_[i] & (high[i] != none))
+                    at = np.flatnonzero(open_[i])
                     found.append((some[i], at, weights[some[i]] @ self.x[:, at]))
             todo = np.concatenate(later)
-        for some in np.array_split(todo, max(1, -(-len(todo) // _AT_ONCE))):
-            score = weights[some] @ self.x  # the rest of the lists
-            for i, q in enumerate(some):
-                score[i, own[0][q]:own[1][q]] = none
-            bar = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(some), none)
-            for i, q in enumerate(some):
-                at = np.flatnonzero((score[i] >= bar[i]) & (score[i] != none))
-                found.append((q, at, score[i, at]))
+        for q in todo:  # no more than k candidates, or lists too short to part
+            at = np.flatnonzero((np.arange(n) < own[0][q]) | (np.arange(n) >= own[1][q]))
+            found.append((q, at, weights[q] @ self.x[:, at]))
         out = []
         for q, at, score in found:
             best = np.lexsort((self.ids[at], -score))[:k]
