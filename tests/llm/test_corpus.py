@@ -579,3 +579,32 @@ def test_pipeline_equals_its_operators_by_brute_force(spark):
     assert {r.doc_id for r in rows} == set(after)
     _valid(rows, 2048)
     assert corpus_pipeline.run(spark, SF_SMALL).count() == len(rows)
+
+
+def test_pipeline_tells_rows_without_or_with_repeated_ids_apart(spark):
+    import corpus_pipeline
+    common.prepare(spark)
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(12))
+    benchmark = common.table(spark, SF_SMALL, "benchmark").where("length(text) > 60").first().text
+    clean = [text() for _ in range(4)]
+    one = text()
+
+    def after(stage, rows):
+        out = dict(corpus_pipeline.STAGES)[stage](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), SF_SMALL)
+        assert out.columns == ["doc_id", "text", "lang"]
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    def rows(*pairs):
+        return [(i, t, "en") for i, t in pairs]
+
+    def wanted(*pairs):
+        return sorted(pairs, key=str)
+
+    none = [(None, t) for t in clean]
+    assert after("decontamination", rows(*none, (None, benchmark))) == wanted(*none)
+    learned = [(i, text(), "en") for i in range(20)] + [(i, "zwxy vuts rrqz " * 6 + str(i), "fr") for i in range(20, 40)]
+    assert after("language_id", rows(*none, (None, "123")) + learned) == wanted(*none, *(r[:2] for r in learned))
+    assert after("simhash_dedup", rows(*none, (None, clean[0]), (7, one), (7, one), (8, one))) == wanted(*none, (7, one))
+    assert after("line_dedup", rows((None, clean[0] + "\n" + one), (None, one + "\n" + clean[1]), (3, one), (3, clean[2]), (3, clean[2]))) == wanted(
+        (None, clean[0]), (None, clean[1]), (3, one), (3, clean[2]))

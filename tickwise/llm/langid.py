@@ -190,6 +190,11 @@ def identify(docs: DataFrame, model: Model, tie: float = 0.01) -> DataFrame:
                      "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def learned_from() -> Column:
+    """True for the rows that the model may learn from."""
+    return crc_mod(F.col("doc_id"), 3) != 1
+
+
 def language_id(docs: DataFrame) -> DataFrame:
     """Fit on the documents whose crc32(doc_id) mod 3 is not 1 and predict every document.
 
@@ -197,6 +202,6 @@ def language_id(docs: DataFrame) -> DataFrame:
     by that rule. An empty table gives an empty result.
     """
     part = crc_mod(F.col("doc_id"), 3)
-    model = fit(docs, part != 1)
+    model = fit(docs, learned_from())
     return identify(docs, model).select(
         "doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
