@@ -131,6 +131,25 @@ def test_line_links_equal_brute_force_and_crowded_keys(spark, small, monkeypatch
     assert {(min(r), max(r)) for r in map(tuple, linededup.line_links(docs).collect())} == want and want
 
 
+def test_line_links_with_budgets_that_grow_with_the_line(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(40):
+        base = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(4, 80)))
+        rows.append((2 * k, base))
+        x = list(base)
+        for _ in range(rng.randint(1, max(1, len(base) // 18))):
+            i = rng.randint(0, len(x))
+            x[i:i + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+        rows.append((2 * k + 1, "".join(x)))
+    text = {linededup.line_id(x): x for _, t in rows for _, x in linededup.counted_lines(t) if len(x) >= 20}
+    want = {(a, b) for a in text for b in text if a < b and abs(len(text[a]) - len(text[b])) <= 30
+            and editdist.within(text[a], text[b], min(len(text[a]), len(text[b])) // linededup.EDIT_SHARE)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(min(r), max(r)) for r in map(tuple, linededup.line_links(docs).collect())}
+    assert got == want and sum(not editdist.within(text[a], text[b], 2) for a, b in want) >= 5
+
+
 def test_crowded_groups_keep_connectivity():
     import pyarrow as pa
     lines = ["a line of some forty characters or so " + c for c in "abcdefgh"]
@@ -140,6 +159,16 @@ def test_crowded_groups_keep_connectivity():
     assert set(_classes(ids, got).values()) == {0} and len(got) == 7
 
 
+def test_crowded_groups_of_long_lines():
+    import pyarrow as pa
+    base = "some words that come again " * 40
+    lines = [base, "x" * 30 + base[:-30], "y" * 25 + base[10:], base[::-1]]
+    batch = pa.record_batch({"g": [1] * 8, "v": [0, 2, 4, 6, 1, 3, 5, 7], "line": lines * 2})
+    got = [(u, v) for out in linededup._verified_groups(iter([batch])) for u, v in zip(out["u"], out["v"])]
+    want = [(2 * a, 2 * b) for a in range(4) for b in range(a) if _lev(lines[a], lines[b]) <= linededup.budget(len(base))]
+    assert _classes(range(0, 8, 2), got) == _classes(range(0, 8, 2), want) and want
+
+
 def test_long_runs_become_crowded_rows():
     import pyarrow as pa
     n = 64 * linededup.BLOCK + 10
