@@ -189,6 +189,15 @@ def test_repeated_lines_go_and_edges(edge, empty):
     assert linededup.remove_repeated_lines(empty).count() == 0
 
 
+def test_short_lines_repeat_when_equal(spark):
+    common.prepare(spark)
+    docs = spark.createDataFrame([(1, "Les.\n\nAnd ornd."), (2, "Les.\nLes!\n "), (3, " Les. ")], "doc_id long, text string")
+    got = {(r.doc_id, r.line_no, r.class_lines): r.repeated for r in linededup.line_classes(docs).collect()}
+    assert got == {(1, 0, 3): False, (2, 0, 3): True, (3, 0, 3): True}
+    out = {r.doc_id: r.text for r in linededup.remove_repeated_lines(docs).collect()}
+    assert out == {1: "Les.\n\nAnd ornd.", 2: "Les!\n "}
+
+
 # ------------------------------------------------------------------ 3 sharding
 def test_hilbert_shards(spark, edge, empty):
     common.prepare(spark)
