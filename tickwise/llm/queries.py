@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators: each applies one to its whole table with production parameters.
 
-None has an SQL oracle: fingerprints, checksums, tokenisation and learned models are beyond SQL; the tests under
-``tests/llm`` hold each query against a brute-force version, an exact round trip or held-out labels.
+Fingerprints, checksums, tokenisation and learned models are beyond SQL; the tests under ``tests/llm`` hold those queries
+against a brute-force version, an exact round trip or held-out labels. The others have an SQL oracle.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, lmscore, packing, pii, sharding, simhash, topk, toxicity
-from .common import prepare, table
+from . import (convtrie, decontam, langid, licenses, linededup, lmscore, packing, pii, ranking, sharding, simhash, topk,
+               toxicity)
+from .common import crc_mod, prepare, table
 
 
 #: Key of the registered query; a production run passes its own to the operator.
@@ -65,10 +66,24 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    return convtrie.prefix_trie(table(spark, sf_dir, "conversations"), head_of=conv - conv % 5,
+                                head_turns=crc_mod(conv, convtrie.HEAD + 1))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity, op2_line_dedup, op3_hilbert_shards, op4_decontamination, op5_pseudonyms, op6_lm_scores, op7_simhash,
-        op8_language_id, op9_packing, op10_topk)}
+        op8_language_id, op9_packing, op10_topk, op11_prefix_trie, op12_license_scan, op13_ranked_search)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -82,4 +97,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_prefix_trie": convtrie.ORACLE_SQL, "op12_license_scan": licenses.oracle_sql(),
+            "op13_ranked_search": ranking.ORACLE_SQL}
