@@ -187,5 +187,6 @@ def action_field(m, key: str) -> Column:
 
 
 def tokens(c) -> Column:
-    """Lower-cased letter runs of a text (whole text, any script)."""
-    return F.regexp_extract_all(F.lower(col(c)), F.lit(r"\p{L}+"), 0)
+    """Lower-cased letter runs of a text (whole text, any script); cut at what is between, which is several times
+    faster than extracting every match."""
+    return F.filter(F.split(F.lower(col(c)), r"[^\p{L}]+"), lambda w: w != "")

@@ -1,53 +1,16 @@
 """Filings text analytics and embedding.
 
-Texts are tokenised whole (letter runs, lower case). Matching against a
-lexicon of words and phrases never forms document × term pairs: the n-grams of
-the lengths that the lexicon has are exploded and equi-joined to it.
+Texts are tokenised whole (letter runs, lower case) and matched against a lexicon of words and phrases along its
+token trie (``lexicon``).
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-
-
-def _normalised(term: str) -> str:
-    """A term as its letter runs, lower case, one space between (the form in which texts are cut)."""
-    return " ".join(re.findall(r"[^\W\d_]+", term.lower()))
-
-
-def _lexicon_df(spark: SparkSession, mapping: dict[str, str] | DataFrame, key: str, value: str) -> DataFrame:
-    """Terms (words or phrases) and their values as a table ``key, value, n`` with the words per term."""
-    if isinstance(mapping, DataFrame):
-        words = F.array_join(tokens(mapping.columns[0]), " ")
-        table = mapping.select(words.alias(key), F.col(mapping.columns[1]).alias(value)).where(F.col(key) != "").distinct()
-    else:
-        rows = sorted({(_normalised(k), v) for k, v in mapping.items() if _normalised(k)})
-        table = spark.createDataFrame(rows, f"{key} string, {value} string")
-    return table.withColumn("_n", F.size(F.split(key, " ")))
-
-
-def _matched_tokens(chunks: DataFrame, key: str, text: str, lexicon: DataFrame, term: str) -> DataFrame:
-    """One row per place where ``text`` holds a term of the lexicon: ``key`` and the lexicon's columns.
-
-    The text's letter runs are exploded as n-grams of every length that the
-    lexicon has (a few) and equi-joined to it; the planner broadcasts the
-    lexicon only if it is measured small.
-    """
-    lengths = [r[0] for r in lexicon.select("_n").distinct().collect()]        # one per phrase length
-    words = chunks.select(key, tokens(text).alias("_w"))
-
-    def phrases(n: int):
-        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
-        return F.when(F.size("_w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " ")))
-
-    grams = [F.coalesce(phrases(n), F.array().cast("array<string>")) if n > 1 else F.col("_w") for n in sorted(lengths)]
-    found = words.select(key, F.explode(F.concat(*grams) if grams else F.array().cast("array<string>")).alias(term))
-    return found.join(lexicon, term)
+from .lexicon import lexicon, matches
 
 
 def link_mentions(chunks: DataFrame, aliases: dict[str, str] | DataFrame, doc: str = "chunk_id",
@@ -56,24 +19,22 @@ def link_mentions(chunks: DataFrame, aliases: dict[str, str] | DataFrame, doc: s
 
     ``aliases`` is a table (alias, ticker), e.g. company names of the entity data, or a small dictionary.
     """
-    hits = _matched_tokens(chunks, doc, text, _lexicon_df(chunks.sparkSession, aliases, "alias", "ticker"), "alias")
-    return hits.groupBy(doc, "ticker").agg(F.count(F.lit(1)).alias("n_mentions"))
+    hits = matches(chunks, [doc], text, lexicon(chunks.sparkSession, aliases))
+    return hits.groupBy(doc, F.col("value").alias("ticker")).agg(F.count(F.lit(1)).alias("n_mentions"))
 
 
-def risk_signals(chunks: DataFrame, lexicon: dict[str, str], ticker: str = "symbol",
+def risk_signals(chunks: DataFrame, terms: dict[str, str] | DataFrame, ticker: str = "symbol",
                  text: str = "content") -> DataFrame:
     """A14/X20 – risk-signal term counts by ticker and signal family."""
-    hits = _matched_tokens(chunks, ticker, text, _lexicon_df(chunks.sparkSession, lexicon, "term", "signal"), "term")
-    return hits.groupBy(ticker, "signal").agg(F.count(F.lit(1)).alias("n_hits"))
+    hits = matches(chunks, [ticker], text, lexicon(chunks.sparkSession, terms))
+    return hits.groupBy(ticker, F.col("value").alias("signal")).agg(F.count(F.lit(1)).alias("n_hits"))
 
 
 def theme_exposure(h: DataFrame, chunks: DataFrame, terms: list[str], ticker: str = "symbol",
                    text: str = "content", holding_key: str = "ticker") -> DataFrame:
     """P13 – holdings of companies whose filings mention any theme word or phrase (semi-join)."""
-    lexicon = _lexicon_df(chunks.sparkSession, {t: "" for t in terms}, "_term", "_value")
-    m = (_matched_tokens(chunks, ticker, text, lexicon, "_term")
-         .select(F.col(ticker).alias(holding_key)).distinct())
-    return h.join(m, holding_key, "left_semi")
+    hits = matches(chunks, [ticker], text, lexicon(chunks.sparkSession, {t: "" for t in terms}))
+    return h.join(hits.select(F.col(ticker).alias(holding_key)).distinct(), holding_key, "left_semi")
 
 
 def embed(df: DataFrame, text: str = "content", num_features: int = 1 << 18, out: str = "embedding",

@@ -105,6 +105,56 @@ def with_halo(df: DataFrame, keys, order, bucket: Column, halo_rows: int) -> Dat
     return b.unionByName(halo.withColumn("_halo", F.lit(True)))
 
 
+def linear_scan(df: DataFrame, keys, order, decay: Column, gain: Column, start: Column, bucket: Column, out: str) -> DataFrame:
+    """Linear recurrence ``s = decay * s_before + gain`` per key in ``order``; ``start`` is the state of the first row that
+    has one (a NULL ``start`` leaves the state unset). Decay and gain must not be NULL.
+
+    Steps of the recurrence compose: ``(a, b)`` then ``(c, d)`` is ``(a c, b c + d)``. Each (key, bucket) is scanned
+    alone, which gives every row its composed step from the bucket's beginning and its state if none comes in. One
+    composed step per bucket is then chained per key, and each row applies its own to the state that comes in.
+    """
+    keys, order = _cols(keys), _cols(order)
+    b = (df.withColumn("_bucket", bucket).withColumn("_a", decay.cast("double")).withColumn("_b", gain.cast("double"))
+         .withColumn("_s", start.cast("double")))
+    group = [*keys, "_bucket"]
+    plain = [f"{f.name}" for f in b.schema.fields]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in b.schema.fields)
+    by = list(order)
+
+    def scan(pdf):
+        import numpy as np
+        pdf = pdf.sort_values(by, kind="stable", na_position="first")
+        a, gains, starts = (pdf[c].to_numpy(dtype=float) for c in ("_a", "_b", "_s"))
+        step, moved, alone = np.empty(len(pdf)), np.empty(len(pdf)), np.empty(len(pdf))
+        x, y, z = 1.0, 0.0, np.nan
+        for i in range(len(pdf)):
+            x, y = x * a[i], a[i] * y + gains[i]
+            z = starts[i] if z != z else a[i] * z + gains[i]
+            step[i], moved[i], alone[i] = x, y, z
+        return pdf.assign(_a=step, _b=moved, _s=alone)[plain]
+
+    local = b.groupBy(*group).applyInPandas(scan, schema)
+    ord_struct = F.struct(*[F.col(o) for o in order])
+    last = local.groupBy(*group).agg(F.max_by(F.struct("_a", "_b", "_s"), ord_struct).alias("_l"))
+
+    def chain(pdf):
+        import numpy as np
+        pdf = pdf.sort_values("_bucket", kind="stable")
+        state, came = np.nan, []
+        for a, y, z in zip(pdf["_a"], pdf["_b"], pdf["_s"]):
+            came.append(state)
+            state = z if state != state else a * state + y
+        return pdf.assign(_in=came)[[*group, "_in"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in b.schema.fields}
+    come_in = (last.select(*group, "_l._a", "_l._b", "_l._s").groupBy(*keys)
+               .applyInPandas(chain, ", ".join(f"`{c}` {kinds[c]}" for c in group) + ", _in double"))
+    joined = _join_null_safe(local, come_in, group)
+    state = F.nanvl("_in", F.lit(None))
+    return (joined.withColumn(out, F.when(state.isNull(), F.nanvl("_s", F.lit(None))).otherwise(F.col("_a") * state + F.col("_b")))
+            .drop("_bucket", "_a", "_b", "_s", "_in"))
+
+
 def dense_rank_desc(df: DataFrame, value: str, out: str, partitions: int | None = None) -> DataFrame:
     """``dense_rank() over (order by value desc)`` without a single-partition window.
 

@@ -18,10 +18,15 @@ from ..functions.text import PY_WHITESPACE_CLASS
 from ..operators import conversation as conv
 from ..operators import exposure as ex
 from ..operators import filings as fl
+from ..operators import ivf
 from ..operators import market as mk
+from ..operators import names as nm
 from ..operators import portfolio as pf
+from ..operators import profile as pr
 from ..operators import requests as rq
+from ..operators import risk as rk
 from ..operators import vectors as vx
+from ..session import shared_dir
 from ..sinks import snapshots as snap
 from ..sources import schemas as sch
 from . import catalog as cat
@@ -321,6 +326,55 @@ def q_volatility(spark, d):
                     r8(F.col("annualised_volatility")).alias("annualised_volatility"))
 
 
+def _log_returns(spark, d):
+    return mk.daily_returns(V.prices(spark, d), log=True)
+
+
+@query("ewma_volatility", BASE.replace("WITH", "WITH RECURSIVE", 1) + f""",
+bars AS (SELECT TICKER, DATE, PX_LAST, lag(PX_LAST) OVER (PARTITION BY TICKER ORDER BY DATE) AS prev,
+  row_number() OVER (PARTITION BY TICKER ORDER BY DATE) AS n FROM prices),
+r AS (SELECT TICKER, DATE, n, CASE WHEN prev > 0 AND PX_LAST > 0 THEN ln(PX_LAST / prev) END AS r FROM bars),
+v AS (SELECT TICKER, DATE, n, r * r AS v FROM r WHERE n = 1
+  UNION ALL SELECT r.TICKER, r.DATE, r.n, CASE WHEN r.r IS NULL THEN v.v WHEN v.v IS NULL THEN r.r * r.r
+    ELSE {mk.DECAY} * v.v + {1.0 - mk.DECAY} * r.r * r.r END FROM v JOIN r ON r.TICKER = v.TICKER AND r.n = v.n + 1)
+SELECT TICKER, DATE, round(sqrt(v), 8) AS ewma_vol FROM v""")
+def q_ewma_volatility(spark, d):
+    e = mk.ewma_volatility(_log_returns(spark, d).select("TICKER", "DATE", "daily_return"))
+    return e.select("TICKER", "DATE", r8(F.col("ewma_vol")).alias("ewma_vol"))
+
+
+def _adjusted(spark, d):
+    actions = sch.conform(V.action_response(spark, d), sch.action_request())
+    return mk.adjusted_prices(V.prices(spark, d), mk.split_factors(actions))
+
+
+@query("adjusted_prices", V.with_ctes(V.PRICES_SQL, V.SPLITS_SQL) + """
+SELECT TICKER, DATE, PX_LAST, round(adjustment, 8) AS adjustment, round(ADJ_PX_LAST, 6) AS ADJ_PX_LAST FROM adjusted""")
+def q_adjusted_prices(spark, d):
+    a = _adjusted(spark, d)
+    return a.select("TICKER", "DATE", "PX_LAST", r8(F.col("adjustment")).alias("adjustment"),
+                    F.round("ADJ_PX_LAST", 6).alias("ADJ_PX_LAST"))
+
+
+@query("adjusted_returns", V.with_ctes(V.PRICES_SQL, V.SPLITS_SQL) + """
+SELECT TICKER, DATE, CASE WHEN prev > 0 AND ADJ_PX_LAST > 0 THEN round(ln(ADJ_PX_LAST / prev), 8) END AS daily_return
+FROM (SELECT *, lag(ADJ_PX_LAST) OVER (PARTITION BY TICKER ORDER BY DATE) AS prev FROM adjusted)""")
+def q_adjusted_returns(spark, d):
+    r = mk.daily_returns(_adjusted(spark, d), log=True, px="ADJ_PX_LAST")
+    return r.select("TICKER", "DATE", r8(F.col("daily_return")).alias("daily_return"))
+
+
+@query("adjusted_performers", V.with_ctes(V.PRICES_SQL, V.SPLITS_SQL) + f"""
+SELECT TICKER, round(period_return, 6) AS period_return FROM (
+  SELECT TICKER, arg_max(ADJ_PX_LAST, DATE) / arg_min(ADJ_PX_LAST, DATE) - 1.0 AS period_return
+  FROM adjusted WHERE ADJ_PX_LAST IS NOT NULL GROUP BY TICKER HAVING arg_min(ADJ_PX_LAST, DATE) <> 0)
+ORDER BY period_return DESC, TICKER LIMIT {TOP_K}""")
+def q_adjusted_performers(spark, d):
+    bars = _adjusted(spark, d).withColumn("PX_LAST", F.col("ADJ_PX_LAST"))
+    t = mk.top_performers(bars, TOP_K)
+    return t.select("TICKER", F.round("period_return", 6).alias("period_return"))
+
+
 @query("top_performers", BASE + f"""
 SELECT TICKER, first_close, last_close, round(period_return, 8) AS period_return FROM (
   SELECT TICKER, arg_min(PX_LAST, DATE) AS first_close, arg_max(PX_LAST, DATE) AS last_close,
@@ -464,6 +518,56 @@ def q_rank_drivers(spark, d):
                     F.col("risk_rank").cast("bigint").alias("risk_rank"))
 
 
+# Log returns: a bar at or after a price of zero has none.
+_LOG_RET_SQL = """
+log_rets AS (SELECT TICKER, DATE, CASE WHEN prev > 0 AND PX_LAST > 0 THEN ln(PX_LAST / prev) END AS r
+  FROM (SELECT TICKER, DATE, PX_LAST, lag(PX_LAST) OVER (PARTITION BY TICKER ORDER BY DATE) AS prev FROM prices)),
+weights AS (SELECT ticker, sum(market_value) / (SELECT sum(market_value) FROM holdings) AS weight
+  FROM holdings GROUP BY ticker HAVING sum(market_value) IS NOT NULL),
+held_rets AS (SELECT l.* FROM log_rets l JOIN weights w ON l.TICKER = w.ticker WHERE l.r IS NOT NULL),
+cov AS (SELECT a.TICKER AS ta, b.TICKER AS tb, count(*) AS n_dates, covar_samp(a.r, b.r) AS covariance
+  FROM held_rets a JOIN held_rets b ON a.DATE = b.DATE GROUP BY ALL HAVING count(*) >= 2),
+marginal AS (SELECT ta AS ticker, sum(covariance * weight) AS marginal,
+    max(CASE WHEN ta = tb THEN covariance END) AS variance
+  FROM cov JOIN weights ON tb = weights.ticker GROUP BY ta)"""
+
+
+@query("return_covariances", BASE + "," + _LOG_RET_SQL + """
+SELECT ta AS ticker_a, tb AS ticker_b, n_dates, round(covariance, 8) AS covariance FROM cov WHERE ta <= tb""")
+def q_return_covariances(spark, d):
+    held = _holdings(spark, d).where(F.col("market_value").isNotNull()).select(F.col("ticker").alias("TICKER"))
+    c = rk.covariances(_log_returns(spark, d), held)
+    return c.select("ticker_a", "ticker_b", "n_dates", r8(F.col("covariance")).alias("covariance"))
+
+
+@query("risk_contributions", BASE + "," + _LOG_RET_SQL + """,
+c AS (SELECT h.ticker, w.weight, sqrt(m.variance) AS volatility, m.marginal, w.weight * m.marginal AS contribution
+  FROM (SELECT DISTINCT ticker FROM holdings) h LEFT JOIN weights w ON h.ticker = w.ticker
+  LEFT JOIN marginal m ON h.ticker = m.ticker)
+SELECT ticker, round(weight, 8) AS weight, round(volatility, 8) AS volatility, round(marginal, 8) AS marginal,
+  round(contribution, 10) AS contribution, round(contribution / (SELECT sum(contribution) FROM c), 8) AS share,
+  CASE WHEN contribution IS NOT NULL THEN dense_rank() OVER (
+    PARTITION BY contribution IS NULL ORDER BY round(contribution, 12) DESC) END AS risk_rank
+FROM c""")
+def q_risk_contributions(spark, d):
+    c = rk.risk_contributions(_holdings(spark, d), _log_returns(spark, d))
+    return c.select("ticker", r8(F.col("weight")).alias("weight"), r8(F.col("volatility")).alias("volatility"),
+                    r8(F.col("marginal")).alias("marginal"), F.round("contribution", 10).alias("contribution"),
+                    r8(F.col("share")).alias("share"), F.col("risk_rank").cast("bigint").alias("risk_rank"))
+
+
+@query("risk_contribution_rollup", BASE + "," + _LOG_RET_SQL + """
+SELECT sector, company_name, ticker, CAST(grouping(sector, company_name, ticker) AS BIGINT) AS grouping_level,
+  count(*) AS n_positions, round(sum(w), 8) AS weight, round(sum(w * marginal), 10) AS contribution
+FROM (SELECT h.*, h.market_value / (SELECT sum(market_value) FROM holdings) AS w, m.marginal
+      FROM holdings h LEFT JOIN marginal m ON h.ticker = m.ticker)
+GROUP BY ROLLUP (sector, company_name, ticker)""")
+def q_risk_contribution_rollup(spark, d):
+    r = rk.risk_contribution_rollup(_holdings(spark, d), _log_returns(spark, d))
+    return r.select("sector", "company_name", "ticker", F.col("grouping_level").cast("bigint").alias("grouping_level"),
+                    "n_positions", r8(F.col("weight")).alias("weight"), F.round("contribution", 10).alias("contribution"))
+
+
 @query("null_profile", BASE + """,
 v AS (SELECT p.TICKER AS ticker, p.number_of_shares, x.price_date, x.PX_LAST AS last_price,
         p.number_of_shares * x.PX_LAST AS market_value
@@ -480,6 +584,54 @@ def q_null_profile(spark, d):
     return n.select("column_name", "null_count", "row_count", r8(F.col("null_rate")).alias("null_rate"))
 
 
+@query("load_profile", V.with_ctes(V.PRICES_SQL) + """,
+long AS (
+  SELECT 'TICKER' AS column_name, CAST(TICKER AS VARCHAR) AS v FROM prices
+  UNION ALL SELECT 'PX_BID', CAST(PX_BID AS VARCHAR) FROM prices
+  UNION ALL SELECT 'PX_LAST', CAST(PX_LAST AS VARCHAR) FROM prices
+  UNION ALL SELECT 'PX_VOLUME', CAST(PX_VOLUME AS VARCHAR) FROM prices)
+SELECT column_name, count(*) AS row_count, CAST(count_if(v IS NULL) AS BIGINT) AS null_count,
+  round(count_if(v IS NULL) / count(*), 8) AS null_rate, true AS distinct_within, true AS median_within
+FROM long GROUP BY column_name""")
+def q_load_profile(spark, d):
+    """Every day of bars is a load, profiled on its own and merged from the stored sketches. The distinct values and
+    the median are held against one pass over all bars, within the sketches' errors."""
+    columns = ["TICKER", "PX_BID", "PX_LAST", "PX_VOLUME"]
+    bars = V.prices(spark, d).select("DATE", *columns)
+    path = shared_dir(spark, "load_profile")
+    pr.profile_loads(bars, "DATE", path, columns)
+    merged = pr.merged_profile(spark, path)
+    medians = {r["column_name"]: r["quantiles"][len(pr.QUANTILES) // 2] for r in merged.where("quantiles IS NOT NULL").collect()}
+    true = bars.agg(*[F.count_distinct(c).alias(f"d_{c}") for c in columns],
+                    *[F.avg((F.col(c) < v).cast("double")).alias(f"lo_{c}") for c, v in medians.items()],
+                    *[F.avg((F.col(c) <= v).cast("double")).alias(f"hi_{c}") for c, v in medians.items()]).first()
+    facts = spark.createDataFrame([(c, true[f"d_{c}"], c not in medians or (true[f"lo_{c}"] <= 0.52 and true[f"hi_{c}"] >= 0.48))
+                                   for c in columns], "column_name string, d long, median_within boolean")
+    return merged.join(facts, "column_name").select(
+        "column_name", "row_count", "null_count", r8(F.col("null_rate")).alias("null_rate"),
+        (F.abs(F.col("n_distinct") - F.col("d")) <= F.lit(0.05) * F.col("d")).alias("distinct_within"), "median_within")
+
+
+# =========================================================================== names
+NAME_SIMILARITY = 0.7
+
+
+@query("similar_names", f"""
+WITH t AS (SELECT DISTINCT trim(regexp_replace(lower(regexp_extract(html, '<title>(.*?)</title>', 1)), '\\s+', ' ', 'g')) AS folded,
+             regexp_extract(html, '<title>(.*?)</title>', 1) AS name FROM pages),
+g AS (SELECT name, list_sort(list_distinct(list_transform(range(1, length(folded) + 1), lambda i: substr(' ' || folded || ' ', i, 3)))) AS s
+      FROM t WHERE length(folded) > 0),
+reps AS (SELECT min(name) AS name, s FROM g GROUP BY s),
+p AS (SELECT a.name AS name_a, b.name AS name_b, len(list_intersect(a.s, b.s)) AS shared, len(a.s) AS na, len(b.s) AS nb
+      FROM reps a JOIN reps b ON a.name < b.name)
+SELECT name_a, name_b, round(shared / (na + nb - shared), 8) AS similarity FROM p
+WHERE shared / (na + nb - shared) >= {NAME_SIMILARITY} - 1e-9""")
+def q_similar_names(spark, d):
+    """Titles of pages as names; pairs that differ in spelling."""
+    titles = V.read(spark, d, "pages").select(F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("name"))
+    return nm.similar_names(titles, "name", NAME_SIMILARITY).withColumn("similarity", r8(F.col("similarity")))
+
+
 # =========================================================================== filings
 _TOKENS_SQL = "list_filter(regexp_split_to_array(lower(content), '[^\\p{L}]+'), lambda t: length(t) > 0)"
 
@@ -563,6 +715,29 @@ def q_similarity_search_lsh(spark, d):
                     "rank")
 
 
+# What an approximate search must keep: of the exact answers at least this share, and exact scores for what it returns.
+MIN_RECALL = 0.9
+
+
+@query("similarity_search_ivf", f"""
+SELECT count(*) AS n_queries, CAST(count(*) * {KNN_K} AS BIGINT) AS n_found, true AS recall_reached, true AS scores_exact
+FROM (SELECT DISTINCT label FROM embeddings)""")
+def q_similarity_search_ivf(spark, d):
+    """Inverted file against the exact search: the rows found, whether the recall is reached, and whether the
+    rows found by both have the exact score."""
+    emb = V.read(spark, d, "embeddings")
+    queries = vx.centroids(emb, "label", "embedding")
+    index = ivf.build(emb, "vec_id", "embedding", shared_dir(spark, "ivf"))
+    near = ivf.search(emb, index, queries, KNN_K, "embedding", "label", "embedding")
+    exact = (vx.similarity_search(emb, queries, KNN_K, "vec_id", "embedding", "label", "embedding")
+             .select("query_id", "vec_id", F.col("score").alias("exact")))
+    return near.join(exact, ["query_id", "vec_id"], "full").agg(
+        F.count_distinct("query_id").alias("n_queries"), F.count("score").alias("n_found"),
+        (F.count_if(F.col("score").isNotNull() & F.col("exact").isNotNull())
+         >= F.lit(MIN_RECALL) * F.count("exact")).alias("recall_reached"),
+        F.bool_and(F.coalesce(F.abs(F.col("score") - F.col("exact")) < 1e-9, F.lit(True))).alias("scores_exact"))
+
+
 # =========================================================================== snapshots
 _CHANGES_SQL = V.with_ctes(V.PART_SQL) + """,
 ch AS (SELECT coalesce(n.p_partkey, o.p_partkey) AS p_partkey,

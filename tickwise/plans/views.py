@@ -163,6 +163,34 @@ prices AS (SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS DATE, '{HISTORY_LOAD
 px_latest AS (SELECT TICKER, max(DATE) AS price_date, arg_max(PX_LAST, DATE) AS PX_LAST FROM prices GROUP BY TICKER)"""
 
 
+# --------------------------------------------------------------------------- corporate actions
+SPLIT_VALUE_ABOVE, SPLIT_RATIO = 250.0, 2.0      # events of high value stand for splits of one share into two
+MERGE_VALUE_BELOW, MERGE_RATIO = 0.5, 0.25       # events of low value for four shares merged into one
+
+
+def action_response(spark: SparkSession, d: str) -> DataFrame:
+    """Corporate actions as landed (text): every event is an action; splits carry their ratio."""
+    ratio = (F.when(F.col("value") > SPLIT_VALUE_ABOVE, F.lit(str(SPLIT_RATIO)))
+             .when(F.col("value") < MERGE_VALUE_BELOW, F.lit(str(MERGE_RATIO))))
+    return read(spark, d, "events").select(
+        F.concat(F.lit("C"), F.col("user_id").cast("string"), F.lit(" US Equity")).alias("IDENTIFIER"),
+        F.col("event_id").cast("string").alias("ACTION_ID"),
+        F.when(ratio.isNotNull(), F.lit("STOCK_SPLT")).otherwise(F.upper("event_type")).alias("CP_ACTION_MNEMONIC"),
+        F.date_format("ts", "dd/MM/yyyy").alias("CP_EFFECTIVE_DATE"),
+        F.to_json(F.struct(ratio.alias("CP_RATIO"))).alias("ACTION_FIELDS"))
+
+
+SPLITS_SQL = f"""
+splits AS (SELECT 'C' || CAST(user_id AS VARCHAR) || '-US' AS TICKER, CAST(ts AS DATE) AS effective,
+  CASE WHEN value > {SPLIT_VALUE_ABOVE} THEN 1.0 / {SPLIT_RATIO} ELSE 1.0 / {MERGE_RATIO} END AS factor
+  FROM events WHERE value > {SPLIT_VALUE_ABOVE} OR value < {MERGE_VALUE_BELOW}),
+adjusted AS (SELECT p.*, PX_LAST * coalesce(f.adjustment, 1.0) AS ADJ_PX_LAST, coalesce(f.adjustment, 1.0) AS adjustment
+  FROM prices p LEFT JOIN (
+    SELECT b.TICKER, b.DATE, product(s.factor) AS adjustment
+    FROM prices b JOIN splits s ON s.TICKER = b.TICKER AND s.effective > CAST(b.DATE AS DATE) GROUP BY b.TICKER, b.DATE) f
+  ON f.TICKER = p.TICKER AND f.DATE = p.DATE)"""
+
+
 # --------------------------------------------------------------------------- holdings
 HOLDINGS_SQL = """
 holdings AS (SELECT h.*, px.PX_LAST AS last_price, h.number_of_shares * px.PX_LAST AS market_value

@@ -10,6 +10,7 @@ from ..plans.queries import ORACLE, _content_type, query
 from ..session import shared_dir
 from ..sinks.snapshots import changes_between, read_index
 from .carry import stream_carry_provider
+from .deadlines import stream_await, stream_carry_expiring, timer_state
 from .index_sync import start_index_sync
 from .messages import stream_classify
 from .notifications import stream_match_notifications
@@ -103,6 +104,57 @@ def q_stream_carry_provider(spark, d):
     return spark.read.parquet(f"{root}/out")
 
 
+#: How far the watermark stays behind the newest event.
+LATENESS_MINUTES = 10
+
+
+@query("stream_await", f"""
+WITH req AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS identifier, ts AS submitted_at, event_id AS request_event_id
+             FROM events WHERE event_type = 'signup'),
+n AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS base, ts AS received_at, event_id AS notification_id
+      FROM events WHERE event_type = 'purchase'),
+m AS (SELECT req.*, n.notification_id FROM req LEFT JOIN n
+        ON n.base = req.identifier AND n.received_at >= req.submitted_at
+       AND n.received_at <= req.submitted_at + INTERVAL {MAX_AWAIT_MINUTES} MINUTE
+      QUALIFY row_number() OVER (PARTITION BY req.request_event_id ORDER BY n.received_at, n.notification_id) = 1)
+SELECT identifier, submitted_at, request_event_id, notification_id, notification_id IS NULL AS timed_out FROM m
+WHERE submitted_at + INTERVAL {MAX_AWAIT_MINUTES + LATENESS_MINUTES} MINUTE <= (
+  SELECT max(ts) FROM events WHERE event_type IN ('signup', 'purchase'))""")
+def q_stream_await(spark, d):
+    """T1 with timers: every request whose deadline the watermark has passed, matched or timed out; the
+    others are still waiting in state. No event is added to the stream."""
+    root = shared_dir(spark, "stream_await")
+    ev = stream_table(spark, d, "events.parquet")
+    req = ev.where(F.col("event_type") == "signup").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("identifier"),
+        F.col("ts").alias("submitted_at"), F.col("event_id").alias("request_event_id"))
+    notif = ev.where(F.col("event_type") == "purchase").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".json")).alias("generated_identifier"),
+        F.col("ts").alias("received_at"), F.col("event_id").alias("notification_id"))
+    out = stream_await(req, notif, MAX_AWAIT_MINUTES, lateness=f"{LATENESS_MINUTES} minutes")
+    with timer_state(spark):
+        run_available_now(out, f"{root}/out", f"{root}/_checkpoint")
+    return spark.read.parquet(f"{root}/out").select(
+        "identifier", F.col("submitted_at").cast("timestamp_ntz").alias("submitted_at"), "request_event_id",
+        "notification_id", "timed_out")
+
+
+@query("stream_session_provider", ORACLE["carry_provider"])
+def q_stream_session_provider(spark, d):
+    """W3 with expiry: as ``carry_provider`` while no session rests for longer than the events last."""
+    from ..operators.conversation import provider_of_calls
+    from ..plans import catalog as cat
+    root = shared_dir(spark, "stream_session")
+    ev = stream_table(spark, d, "events.parquet")
+    calls = ev.select("event_id", "user_id", "ts", cat.function_name_of(F.col("event_type")).alias("function_name"))
+    attributed = provider_of_calls(calls, cat.tool_catalog(spark)).select("event_id", "user_id", "ts", "provider")
+    carried = stream_carry_expiring(attributed, "user_id", "ts", ["event_id"], idle="366 days")
+    with timer_state(spark):
+        run_available_now(carried.select("event_id", "user_id", "provider", "current_provider"),
+                          f"{root}/out", f"{root}/_checkpoint")
+    return spark.read.parquet(f"{root}/out")
+
+
 @query("stream_sync_filings", V.with_ctes(V.FILINGS_SQL, V.FILINGS_SNAPSHOTS_SQL) + """
 SELECT chunk_id, symbol, length(content) AS content_chars, true AS has_embedding FROM filings_new""")
 def q_stream_sync_filings(spark, d):
