@@ -70,7 +70,8 @@ def matches(texts: DataFrame, keys: list[str], text: str, lex: Lexicon) -> DataF
         return built(lex.trie.where(F.col("depth") == depth).select(
             F.col("prefix").alias("_prefix"), F.col("ends").alias("_ends"), F.col("goes_on").alias("_goes")))
 
-    found = texts.select(*keys, tokens(text).alias("_w")).select(*keys, "_w", F.posexplode("_w").alias("_p", "_t"))
+    # (outer: the planner would cut the text again to filter out empty ones; the join drops them anyway)
+    found = texts.select(*keys, tokens(text).alias("_w")).select(*keys, "_w", F.posexplode_outer("_w").alias("_p", "_t"))
     ahead = F.slice("_w", F.col("_p") + 1, max(1, lex.longest)).alias("_ahead")
     if not lex.small:  # rows will be shuffled: with the tokens they may need, not with the whole text
         found = found.select(*keys, ahead, "_t")

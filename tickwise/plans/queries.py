@@ -613,7 +613,7 @@ def q_load_profile(spark, d):
 
 
 # =========================================================================== names
-NAME_SIMILARITY = 0.7
+NAME_SIMILARITY = 0.4
 
 
 @query("similar_names", f"""
