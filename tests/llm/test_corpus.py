@@ -114,6 +114,57 @@ def test_label_model_finds_the_class_and_discounts_copies():
 
 
 # ------------------------------------------------------------------ 2 line dedup
+def _near(x, y):
+    """Whether two lines are within one edit per 20 characters of the shorter one."""
+    most = min(len(x), len(y)) // 20
+    return abs(len(x) - len(y)) <= most and (x == y or editdist.within(x, y, most))
+
+
+def test_distances_side_by_side_equal_those_alone():
+    rng = random.Random(3)
+    xs, ys, most = [], [], []
+    for _ in range(3000):
+        x = "".join(rng.choice("abcd\u00e9\U0001f600") for _ in range(rng.randint(0, 150)))
+        y = list(x)
+        for _ in range(rng.randint(0, 12)):
+            i = rng.randint(0, len(y))
+            y[i:i + rng.randint(0, 2)] = rng.choice(["", "a", "xy"])
+        xs.append(x)
+        ys.append("".join(y))
+        most.append(rng.choice([0, 1, 2, 3, 8, 12, 31, 40]))
+    assert editdist.within_many(xs, ys, np.array(most)).tolist() == [_lev(x, y) <= k if len(x) < 60 else editdist.within(x, y, k)
+                                                                     for x, y, k in zip(xs, ys, most)]
+    assert editdist.within_many([], [], np.zeros(0)).tolist() == []
+
+
+def test_line_links_of_hot_lines_and_common_segments(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "CROWDED_PAIRS", 5)
+    monkeypatch.setattr(linededup, "BLOCK", 4)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    bases = [" ".join(word() for _ in range(n)) for n in (5, 12, 14, 16, 17, 40, 130)]
+    rows = []
+    for k, base in enumerate(bases * 30):
+        x = list(base)
+        for _ in range(rng.randint(0, max(1, len(x) // 15))):
+            i = rng.randint(0, len(x))
+            x[i:i + rng.randint(0, 1)] = rng.choice(["", "q", "zz"])
+        rows.append((k, "".join(x)))
+        rows.append((1000 + k, base[:len(base) // 2] + " ".join(word() for _ in range(4))))  # the first half in common
+    text = {linededup.line_id(x.strip()): x.strip() for _, x in rows}
+    want = _classes(text, [(a, b) for a in text for b in text if a < b and _near(text[a], text[b])])
+    common.prepare(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    # the kernel runs in the workers: its rows are taken through it here with the small limits
+    import pyarrow as pa
+    keys = linededup.key_rows(docs).orderBy("key", "w").toPandas()
+    found = [dict(zip(o, map(np.asarray, o.values()))) for o in linededup._candidates(iter([pa.RecordBatch.from_pandas(keys, preserve_index=False)]))]
+    assert any((o["what"] == 1).any() for o in found)
+    links = {(min(r), max(r)) for r in map(tuple, linededup.line_links(docs).collect())}
+    assert all(_near(text[a], text[b]) for a, b in links)
+    assert {n: r for n, r in _classes(text, links).items()} == want
+
+
 def test_line_links_equal_brute_force_and_crowded_keys(spark, small, monkeypatch):
     rng = random.Random(1)
     rows = [(r.doc_id, r.text) for r in small.collect()][:60]
@@ -125,8 +176,7 @@ def test_line_links_equal_brute_force_and_crowded_keys(spark, small, monkeypatch
             x[i:i + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
         rows.append((1000 + k, "".join(x)))
     text = {linededup.line_id(x): x for _, t in rows for _, x in linededup.counted_lines(t)}
-    want = {(a, b) for a in text for b in text if a < b and abs(len(text[a]) - len(text[b])) <= 2 and editdist.within(
-        text[a], text[b], min(linededup.budget(len(text[a])), linededup.budget(len(text[b]))))}
+    want = {(a, b) for a in text for b in text if a < b and _near(text[a], text[b])}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(min(r), max(r)) for r in map(tuple, linededup.line_links(docs).collect())} == want and want
 
@@ -171,15 +221,26 @@ def test_crowded_groups_of_long_lines():
 
 def test_long_runs_become_crowded_rows():
     import pyarrow as pa
-    n = 64 * linededup.BLOCK + 10
+    n = linededup.LONG_RUN + 200_000
     key = np.concatenate([[1], np.full(n, 2), [3]])
-    batch = pa.record_batch({"key": key, "v": np.arange(len(key)) * 2})
-    parts = [pa.record_batch({c: batch.column(c)[i:i + 5000] for c in ("key", "v")}) for i in range(0, len(key), 5000)]
+    batch = pa.record_batch({"key": key, "w": np.arange(len(key)) << 1 | 40 << 33, "v": np.arange(len(key)) * 2})
+    parts = [batch.slice(i, 5000) for i in range(0, len(key), 5000)]
     out = list(linededup._candidates(iter(parts)))
     crowded = np.concatenate([np.asarray(o["a"])[np.asarray(o["what"]) == 1] for o in out])
     assert (crowded == 2).sum() == n and len(crowded) == n
 
 
+def test_documents_of_blank_rests_and_clashing_columns(spark):
+    common.prepare(spark)
+    rows = [(1, "a line that repeats", 5, [1], 7), (2, "a line that repeats\n\t\n \u00a0", 5, [1], 7), (3, "\n\t", 5, [1], 7), (None, "else", 5, [1], 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, lines array<int>, drop long")
+    out = linededup.remove_repeated_lines(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 3, None]
+    old = docs.withColumnsRenamed({"id": "_drop_id", "lines": "_drop_lines"})
+    assert linededup.remove_repeated_lines(old).count() == 3
+
+
 def test_repeated_lines_go_and_edges(edge, empty):
     got = {(r.doc_id, r.line_no): r.repeated for r in linededup.line_classes(edge).collect()}
     assert got == {(5, 0): False, (6, 0): True}
@@ -589,20 +650,27 @@ def test_pipeline_equals_its_operators_by_brute_force(spark):
         if name == "language_id":
             assert set(after) == {i for i, t in before.items() if any(c.isalpha() for c in t)}
         elif name == "line_dedup":
-            seen, kept = [], {}
-            for i in sorted(before):
-                out = []
-                for line in before[i].split("\n"):
-                    x = line.strip()
-                    if len(x) >= linededup.MIN_CHARS:
-                        if any(abs(len(x) - len(y)) <= 2 and editdist.within(x, y, min(linededup.budget(len(x)), linededup.budget(len(y))))
-                               for y in seen):
-                            seen.append(x)
-                            continue
-                        seen.append(x)
-                    out.append(line)
-                if "".join(out).strip() or "\n".join(out) == before[i]:
-                    kept[i] = "\n".join(out)
+            lines = [(i, n, line.strip()) for i in sorted(before) for n, line in enumerate(before[i].split("\n")) if line.strip()]
+            first = {}
+            for i, n, line in lines:
+                first.setdefault(line, (i, n))
+            texts = sorted(first, key=first.get)
+            place = {x: k for k, x in enumerate(texts)}
+            by_size = sorted(texts, key=len)
+            links = []
+            for k, x in enumerate(by_size):
+                for y in by_size[k + 1:]:
+                    if len(y) - len(x) > len(x) // 20:
+                        break
+                    if _near(x, y):
+                        links.append((place[x], place[y]))
+            root = _classes(range(len(texts)), links)
+            gone = {(i, n) for i, n, line in lines if first[texts[root[place[line]]]] != (i, n)}
+            kept = {}
+            for i in before:
+                out = "\n".join(line for n, line in enumerate(before[i].split("\n")) if (i, n) not in gone)
+                if out.strip() or out == before[i]:
+                    kept[i] = out
             assert after == kept
         elif name == "simhash_dedup":
             fps = {i: simhash.fingerprint(t) for i, t in before.items()}

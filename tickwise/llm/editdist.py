@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def masks(pattern: str) -> dict[str, int]:
     """For each character, the bits of the places where the pattern has it."""
@@ -60,6 +62,68 @@ def within(a: str, b: str, limit: int) -> bool:
     return score <= limit
 
 
+#: Largest limit whose band fits a word; pairs whose columns are held together, at most.
+_WORD_LIMIT, _TOGETHER = 31, 1024
+
+
+def within_many(xs: list[str], ys: list[str], limits: np.ndarray) -> np.ndarray:
+    """``within`` for each pair. Bands of up to 64 bits run side by side, one column of all pairs a step; wider ones alone."""
+    limits = np.asarray(limits, dtype=np.int64)
+    size = np.array([(len(x), len(y)) for x, y in zip(xs, ys)], dtype=np.int64).reshape(-1, 2)
+    out = np.abs(size[:, 0] - size[:, 1]) <= limits
+    narrow = out & (limits <= _WORD_LIMIT) & (size.min(axis=1) > limits)
+    for i in np.flatnonzero(out & ~narrow).tolist():
+        out[i] = within(xs[i], ys[i], int(limits[i]))
+    order = np.flatnonzero(narrow)
+    order = order[np.argsort(-size[order].min(axis=1), kind="stable")]  # pairs that end early stand last
+    for lo in range(0, len(order), _TOGETHER):
+        some = order[lo:lo + _TOGETHER]
+        out[some] = _bands([(xs[i], ys[i]) if len(xs[i]) >= len(ys[i]) else (ys[i], xs[i]) for i in some.tolist()], limits[some])
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def _bands(pairs: list[tuple[str, str]], limits: np.ndarray) -> np.ndarray:
+    """The recurrence of ``within`` in one word a pair; the shorter strings ``b`` descend in length."""
+    one = np.uint64(1)
+    n, m = (np.array([len(p[k]) for p in pairs], dtype=np.int64) for k in (0, 1))
+    k = limits.astype(np.uint64)
+    width = k * np.uint64(2) + np.uint64(2)
+    full = np.where(width == 64, ~np.uint64(0), (one << (width & np.uint64(63))) - one)
+    # bit i of column j stands for a[j - limit - 1 + i]: with limit + 1 places before a, for place j + i
+    codes = [(_codes(x), _codes(y)) for x, y in pairs]
+    most = max(int(c.max()) for both in codes for c in both)
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32) if most < np.iinfo(t).max)  # the largest value is no character
+    a = np.full((len(pairs), int((n + limits).max()) + 66 + int(m.max())), np.iinfo(kind).max, dtype=kind)
+    b = np.zeros((int(m.max()), len(pairs)), dtype=kind)
+    for i, (x, y) in enumerate(codes):
+        a[i, limits[i] + 1:limits[i] + 1 + len(x)] = x
+        b[:len(y), i] = y
+    vp, vn = full & (full << (width - k - one)), np.zeros(len(pairs), dtype=np.uint64)
+    shift, row = width - one, width - np.uint64(2)
+    score = limits.copy()
+    for j in range(int(m.max())):
+        live = int(np.searchsorted(-m, -j, side="left"))  # pairs with m > j
+        f, p, q = full[:live], vp[:live], vn[:live]
+        eq = np.packbits(a[:live, j:j + 64] == b[j, :live, None], axis=1, bitorder="little").view(np.uint64)[:, 0] & f
+        d0 = ((((eq & p) + p) ^ p) | eq | q) & f
+        hp = (q | ~(d0 | p)) & f
+        hn = d0 & p
+        down = j < n[:live] - limits[:live]
+        at = np.where(down, shift[:live], row[:live])
+        step = np.where(down, 1 - ((d0 >> at) & one).astype(np.int64),
+                        ((hp >> at) & one).astype(np.int64) - ((hn >> at) & one).astype(np.int64))
+        score[:live] += step
+        row[:live] -= (~down).astype(np.uint64)
+        x = d0 >> one
+        vp[:live] = (hn | ~(x | hp)) & f
+        vn[:live] = x & hp
+    return score <= limits
+
+
 def find(pattern: str, peq: dict[str, int], text: str, limit: int) -> tuple[int, int] | None:
     """Least distance of the pattern to any substring, if at most ``limit``, and the end of the first such one."""
     m = len(pattern)
