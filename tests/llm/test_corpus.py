@@ -489,6 +489,11 @@ def test_encoder_equals_the_tokenizer_on_odd_space():
     rng = random.Random(2)
     bits = ["a", "Zé", " ", "  ", "\n", ".", "'s", "'", "1", "\t", "ß!", " ", "|", "日本", "<|endoftext|>", "́"]
     texts = ["".join(rng.choice(bits) for _ in range(12)) for _ in range(2000)] + ["", " ", None]
+    scripts = [*range(32, 127), *range(0xA0, 0x250), *range(0x391, 0x3CA), *range(0x410, 0x450), *range(0x5D0, 0x5EB), *range(0x660, 0x66A),
+               *range(0x905, 0x93A), 0x2003, 0x200B, 0x2028, 0x3000, *range(0x4E00, 0x4E40), 0x1F600, 0x1F468, 0x200D, 0xFE0F]
+    texts += ["".join(chr(rng.choice(scripts)) if rng.random() < 0.8 else rng.choice(" \n") for _ in range(30)) for _ in range(2000)]
+    texts += ["x" * 50_000, " " * 50_000, "ab\n" * 20_000]
+    assert enc.fast is not None
     want = [np.array(e.ids, dtype="<u4").tobytes()
             for e in enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert enc.encode(texts) == want

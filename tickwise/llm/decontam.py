@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
-from .editdist import find, masks
+from .editdist import ends_within, find, masks
 
 #: One edit for so many characters of an item.
 EDIT_SHARE = 20
@@ -80,25 +80,37 @@ class Items:
                     merged.append([lo, hi])
             for lo, hi in merged:
                 window = text[lo:hi]
+                if k < 2:  # the best place may be inside a word: try all of them
+                    for got in self._short_places(item, place, text, lo, hi):
+                        if (best is None or got < best) and self._whole_words(text, got[1], got[2]):
+                            best = got
+                    continue
                 at = window.find(item)
                 if at >= 0:
                     got = (0, lo + at, len(item))
                 else:
-                    hit = find(item, self.peq[place], window, k) if k else None
+                    hit = find(item, self.peq[place], window, k)
                     if hit is None:
                         continue
                     distance, end = hit
                     head = window[:end][::-1]
                     _, size = find(item[::-1], masks(item[::-1]), head, distance)
                     got = (distance, lo + end - size, size)
-                if k < 2 and not self._whole_words(text, got[1], got[2]):
-                    continue
                 if best is None or got < best:
                     best = got
             if best:
                 out.append((place, *best))
         return out
 
+    def _short_places(self, item: str, place: int, text: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        """``(distance, start, length)`` of every place in a window within a short item's budget."""
+        k, back, peq = self.budget[place], item[::-1], masks(item[::-1])
+        for distance, end in ends_within(item, self.peq[place], text[lo:hi], k):
+            head = text[max(lo, lo + end - len(item) - k):lo + end][::-1]
+            for d, size in ends_within(back, peq, head, distance, from_start=True):
+                if size:
+                    yield d, lo + end - size, size
+
     @staticmethod
     def _whole_words(text: str, start: int, size: int) -> bool:
         """Short items must not begin or end inside a word."""

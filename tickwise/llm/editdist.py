@@ -149,3 +149,30 @@ def find(pattern: str, peq: dict[str, int], text: str, limit: int) -> tuple[int,
             if not best:
                 break
     return (best, end) if best <= limit else None
+
+
+def ends_within(pattern: str, peq: dict[str, int], text: str, limit: int, from_start: bool = False) -> list[tuple[int, int]]:
+    """``(distance, end)`` of every end in the text at which the pattern is within ``limit`` of a substring, or with
+    ``from_start`` of the text up to there."""
+    m = len(pattern)
+    full, high = (1 << m) - 1, 1 << (m - 1)
+    vp, vn, score = full, 0, m
+    out = []
+    for j, ch in enumerate(text, 1):
+        eq = peq.get(ch, 0)
+        xv = eq | vn
+        xh = (((eq & vp) + vp) ^ vp) | eq
+        hp = (vn | ~(xh | vp)) & full
+        hn = vp & xh
+        if hp & high:
+            score += 1
+        elif hn & high:
+            score -= 1
+        hp = (hp << 1) & full
+        if from_start:  # the row above the pattern counts the characters left out
+            hp |= 1
+        vp = ((hn << 1) | ~(xv | hp)) & full
+        vn = hp & xv
+        if score <= limit:
+            out.append((score, j))
+    return out
