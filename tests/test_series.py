@@ -186,6 +186,33 @@ def test_sessions_end_when_idle(spark, tmp_dir):
     assert _state_rows(spark, f"{tmp_dir}/ckpt", "last") == 1  # the one that is still awake
 
 
+def test_answers_in_any_order_of_arrival(spark, tmp_dir):
+    from tickwise.operators.conversation import final_answers
+    from tickwise.streaming.questions import stream_final_answers
+    schema = "conv_id long, turn long, role string, content string, at timestamp"
+    rng = random.Random(6)
+    rows = [(c, t, rng.choice(["user", "assistant", "assistant", "tool"]), rng.choice(["a $1", " b ", "", "  ", None, "c"]), _at(3 * c + t))
+            for c in range(4) for t in range(6)]
+    first = rng.sample(rows, 12)
+    second = [r for r in rows if r not in first]
+
+    def step(n, some):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_dir}/log/{n:04d}")
+        s = spark.readStream.schema(schema).parquet(f"{tmp_dir}/log/*")
+        with timer_state(spark):
+            run_available_now(stream_final_answers(s, "at", "30 minutes", lateness="60 minutes"), f"{tmp_dir}/out", f"{tmp_dir}/ckpt",
+                              state_partitions=2)
+        return {tuple(r) for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
+
+    assert step(1, first) == set()
+    assert step(2, second) == set()
+    got = step(3, [(99, 0, "user", "later", _at(1000))])
+    want = final_answers(spark.createDataFrame(rows, schema)).select("conv_id", "question_no", "answer", "answer_turn", "n_answers")
+    assert got == {tuple(r) for r in want.collect()} and got
+    step(4, [(99, 1, "tool", None, _at(3000))])
+    assert _state_rows(spark, f"{tmp_dir}/ckpt", "waiting") <= 1 and _state_rows(spark, f"{tmp_dir}/ckpt", "question") == 0
+
+
 def test_stream_await_agrees_with_the_batch_lookup(spark):
     stream = {r.request_event_id: r.timed_out for r in QUERIES["stream_await"](spark, SF_CHECK).collect()}
     batch = {r.request_event_id: r.timed_out for r in QUERIES["match_notifications"](spark, SF_CHECK).collect()}

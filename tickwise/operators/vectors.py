@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .windows import top_k_per_group
 
+#: Corpus rows scored at a time in a task.
+SCORED_ROWS = 10_000
+
 
 def _as_double(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
@@ -72,14 +75,27 @@ def similarity_search(corpus: DataFrame, queries: DataFrame, k: int, id_col: str
     queries = queries.where(_usable(F.col(query_vec))).select(query_id, query_vec, F.size(query_vec).alias("_len"))
     rows = corpus.where(_usable(F.col(vec_col))).select(id_col, *cols, vec_col)
 
+    scored_rows = SCORED_ROWS
+
     def scorer(shared):
+        def gathered(batches):
+            """Batches of ``SCORED_ROWS`` rows or so, whatever the session's batch size: each emits k rows per query."""
+            import pandas as pd
+            held, n = [], 0
+            for pdf in batches:
+                held.append(pdf)
+                n += len(pdf)
+                if n >= scored_rows:
+                    yield pd.concat(held, ignore_index=True)
+                    held, n = [], 0
+            if n:
+                yield pd.concat(held, ignore_index=True)
+
         def score(batches):
             import numpy as np
             import pandas as pd
             ids, mat, norms = shared.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
+            for pdf in gathered(batches):
                 vecs = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     sims = (vecs @ mat.T) / np.outer(np.linalg.norm(vecs, axis=1), norms)

@@ -8,6 +8,7 @@ both sides; doubles are rounded on both sides (money to 2 places, ratios to 8).
 from __future__ import annotations
 
 import datetime as _dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from ..operators import risk as rk
 from ..operators import vectors as vx
 from ..session import shared_dir
 from ..sinks import snapshots as snap
+from ..sources import readers as rd
 from ..sources import schemas as sch
 from . import catalog as cat
 from . import views as V
@@ -778,6 +780,44 @@ def q_classify_message(spark, d):
     return conv.classify_message(V.message_log(spark, d)).select("conv_id", "turn", "role", "message_class")
 
 
+@query("classify_tool_calls", """
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user'
+  WHEN role = 'assistant' AND contains(text, chr(10)) THEN 'tool_call'
+  WHEN role = 'assistant' AND length(trim(text)) > 0 THEN 'answer' WHEN role = 'assistant' THEN 'empty'
+  WHEN role = 'tool' THEN 'tool_result' ELSE 'other' END AS message_class
+FROM conversations""")
+def q_classify_tool_calls(spark, d):
+    """P14 with calls in the log: an assistant message of several lines asks for a tool by its first line."""
+    first = F.substring_index("content", "\n", 1)
+    log = V.message_log(spark, d).withColumn("tool_calls", F.when(
+        F.contains("content", F.lit("\n")), F.array(F.struct(first.alias("function_name")))))
+    return conv.classify_message(log).select("conv_id", "turn", "message_class")
+
+
+# Tool results from documents: short ones are plain text, the others lists of a heading and the document itself;
+# documents of one language come without a chunk id.
+PLAIN_RESULT_BELOW, WITHOUT_CHUNK_LANG = 200, "es"
+
+
+@query("retrieved_documents", f"""
+SELECT doc_id AS message_id, CAST(1 AS INTEGER) AS doc_pos, CAST(doc_id AS VARCHAR) AS chunk_id, source AS document_name,
+  CAST(length(text) AS BIGINT) AS content_chars
+FROM documents WHERE n_chars >= {PLAIN_RESULT_BELOW} AND lang <> '{WITHOUT_CHUNK_LANG}'""")
+def q_retrieved_documents(spark, d):
+    doc = V.read(spark, d, "documents")
+    name = F.struct(F.lit("document_name").alias("k"), F.col("source").alias("v"))
+    chunk = F.struct(F.lit("chunk_id").alias("k"), F.col("doc_id").cast("string").alias("v"))
+    metadata = F.map_from_entries(F.when(F.col("lang") != WITHOUT_CHUNK_LANG, F.array(name, chunk)).otherwise(F.array(name)))
+    listed = F.to_json(F.array(
+        F.struct(F.col("source").alias("page_content"), F.map_from_entries(F.array(name)).alias("metadata")),
+        F.struct(F.col("text").alias("page_content"), metadata.alias("metadata"))))
+    messages = doc.select(F.col("doc_id").alias("message_id"),
+                          F.when(F.col("n_chars") < PLAIN_RESULT_BELOW, F.col("text")).otherwise(listed).alias("content"))
+    r = conv.retrieved_documents(messages)
+    return r.select("message_id", "doc_pos", "chunk_id", X.lookup("doc.metadata", "document_name").alias("document_name"),
+                    F.length("doc.page_content").cast("bigint").alias("content_chars"))
+
+
 _SEG_SQL = """
 seg AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS question_no FROM conversations)"""
@@ -866,6 +906,21 @@ def q_active_tools(spark, d):
     return conv.active_tools(tools, selection).select("tool_id", "provider", "tool_type")
 
 
+@query("scan_tool_catalog", "WITH " + _CALLS_SQL.strip() + f""",
+cat AS (SELECT * FROM (VALUES {cat.CATALOG_FULL_VALUES_SQL}) AS t(tool_id, provider, tool_type, tool_enabled, fn)),
+used AS (SELECT split_part(function_name, '__', -1) AS fn, count(*) AS n FROM calls GROUP BY 1)
+SELECT tool_id, provider, tool_type, tool_enabled, CAST(coalesce(n, 0) AS BIGINT) AS n_calls FROM cat LEFT JOIN used USING (fn)""")
+def q_scan_tool_catalog(spark, d):
+    """The catalog read from its file, with the calls of each tool."""
+    path = shared_dir(spark, "tool_catalog")
+    spark.createDataFrame([(json.dumps(cat.TOOL_CATALOG),)], "value string").coalesce(1).write.text(path)
+    tools = rd.scan_tool_catalog(spark, path).withColumn("_fn", X.last_part("tool_coordinates", "."))
+    calls = (_tool_calls(spark, d).groupBy(X.last_part("function_name", "__").alias("_fn"))
+             .agg(F.count(F.lit(1)).alias("_n")))
+    return tools.join(calls, "_fn", "left").select("tool_id", "provider", "tool_type", "tool_enabled",
+                                                   F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_calls"))
+
+
 @query("tool_summary", "WITH " + _CALLS_SQL.strip() + f""",
 cat AS (SELECT * FROM (VALUES {cat.CATALOG_FULL_VALUES_SQL}) AS t(tool_id, provider, tool_type, tool_enabled, fn)),
 used AS (SELECT split_part(function_name, '__', -1) AS fn, count(*) AS n FROM calls GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.requests import MAX_AWAIT_MINUTES
 from ..plans import views as V
-from ..plans.queries import ORACLE, _content_type, query
+from ..plans.queries import ORACLE, _CLEAN_SQL, _content_type, query
 from ..session import shared_dir
 from ..sinks.snapshots import changes_between, read_index
 from .carry import stream_carry_provider
@@ -14,6 +14,7 @@ from .deadlines import stream_await, stream_carry_expiring, timer_state
 from .index_sync import start_index_sync
 from .messages import stream_classify
 from .notifications import stream_match_notifications
+from .questions import stream_final_answers
 from .sources import run_available_now, stream_table
 
 @query("stream_classify", ORACLE["classify_message"])
@@ -155,6 +156,35 @@ def q_stream_session_provider(spark, d):
     return spark.read.parquet(f"{root}/out")
 
 
+# A conversation begins every ten minutes and has a message a minute; it ends after half an hour of rest.
+_MESSAGE_TIME_SQL = "TIMESTAMP '2024-01-01' + to_minutes(CAST(10 * conv_id + turn AS BIGINT))"
+IDLE_MINUTES = 30
+
+
+@query("stream_final_answers", f"""
+WITH m AS (SELECT *, {_MESSAGE_TIME_SQL} AS sent FROM conversations),
+mark AS (SELECT max(sent) - INTERVAL {LATENESS_MINUTES} MINUTE AS mark FROM m),
+seg AS (SELECT m.*, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS question_no,
+          max(sent) OVER (PARTITION BY conv_id) AS last FROM m, mark WHERE sent < mark),
+a AS (SELECT conv_id, question_no, {_CLEAN_SQL} AS answer, turn, last FROM seg WHERE role = 'assistant' AND length({_CLEAN_SQL}) > 0),
+q AS (SELECT conv_id, max(question_no) AS newest FROM seg GROUP BY conv_id)
+SELECT conv_id, CAST(question_no AS BIGINT) AS question_no, arg_max(answer, turn) AS answer, max(turn) AS answer_turn,
+  count(*) AS n_answers
+FROM a JOIN q USING (conv_id), mark
+WHERE question_no > 0 AND (question_no < newest OR last + INTERVAL {IDLE_MINUTES} MINUTE < mark)
+GROUP BY conv_id, question_no""")
+def q_stream_final_answers(spark, d):
+    """A12 on a stream: the answers of all questions that the watermark shows to be over."""
+    root = shared_dir(spark, "stream_answers")
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=(10 * F.col("conv_id") + F.col("turn")).cast("int"))
+    log = stream_table(spark, d, "conversations.parquet").select(
+        "conv_id", "turn", "role", F.col("text").alias("content"), at.alias("at"))
+    out = stream_final_answers(log, "at", f"{IDLE_MINUTES} minutes", lateness=f"{LATENESS_MINUTES} minutes")
+    with timer_state(spark):
+        run_available_now(out, f"{root}/out", f"{root}/_checkpoint")
+    return spark.read.parquet(f"{root}/out")
+
+
 @query("stream_sync_filings", V.with_ctes(V.FILINGS_SQL, V.FILINGS_SNAPSHOTS_SQL) + """
 SELECT chunk_id, symbol, length(content) AS content_chars, true AS has_embedding FROM filings_new""")
 def q_stream_sync_filings(spark, d):
