@@ -642,6 +642,22 @@ def test_topk_bounds_settle_queries_and_leave_few_candidates(spark, monkeypatch)
         assert len(scored) == len(q) and (n <= k or max(scored) <= max(min(4 * k, (n + k) // 2), n // 32))
 
 
+def test_topk_of_products_beyond_64_bits(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 3)
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([1e300, -1e300, 2.5, 1e200, 0.0, 3e18, -7.0]) for _ in range(2)]) for i in range(12)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = lambda x: int(x) * 64 if abs(x) >= 2**53 else math.floor(64 * x)
+    long = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = []
+    for i, q in rows:
+        scores = sorted((-sum(whole(a) * whole(b) for a, b in zip(q, v)), j) for j, v in rows if j != i)
+        want += [(i, r + 1, j, long(-s)) for r, (s, j) in enumerate(scores[:5])]
+    assert sorted(map(tuple, topk.exact_topk(frame, F.col("vec_id") >= 0, k=5).collect())) == sorted(want)
+    numbers = [rng.choice([-1, 1]) * rng.randint(0, 10**rng.randint(1, 40)) for _ in range(300)]
+    assert sorted(numbers) == sorted(numbers, key=topk._sortable)
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_equals_its_operators_by_brute_force(spark):
     import corpus_pipeline
@@ -692,6 +708,20 @@ def test_pipeline_equals_its_operators_by_brute_force(spark):
     assert corpus_pipeline.run(spark, SF_SMALL).count() == len(rows)
 
 
+def test_pipeline_stages_on_no_rows_and_clashing_columns(spark):
+    import corpus_pipeline
+    common.prepare(spark)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, pipeline_row int, row long, id string, drop int, fp long"
+    rows = [(i, f"some words of document number {i} that stand alone in the table", "en" if i % 2 else "fr", "s", 50, 1, 2, "x", 3, 4) for i in range(6)]
+    rows += [(None, None, None, None, None, None, None, None, None, None), (9, "", "en", "s", 0, 1, 2, "x", 3, 4)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns and {r.pipeline_row for r in out.collect()} <= {1, None}, name
+        assert stage(spark, docs.where("false"), SF_SMALL).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), SF_SMALL).count() == 0
+
+
 def test_pipeline_tells_rows_without_or_with_repeated_ids_apart(spark):
     import corpus_pipeline
     common.prepare(spark)

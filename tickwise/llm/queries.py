@@ -97,5 +97,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_prefix_trie": convtrie.ORACLE_SQL, "op12_license_scan": licenses.oracle_sql(),
+    return {"op10_topk": topk.ORACLE_SQL, "op11_prefix_trie": convtrie.ORACLE_SQL, "op12_license_scan": licenses.oracle_sql(),
             "op13_ranked_search": ranking.ORACLE_SQL}

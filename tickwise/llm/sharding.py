@@ -7,7 +7,7 @@ every dimension, and file statistics on any of them prune shards.
 
 The order needs no sort of all rows in one task: a histogram of (cell, sub-bucket of the id hash) gives every
 group its offset, and rows are numbered inside their group. A cell that holds a third of all rows is spread
-over ``sub`` groups. The histogram has at most ``2**(dims * bits) * sub`` rows, whatever the corpus size.
+over groups of about ``GROUP_ROWS`` rows by a hash of the row. The histogram has one row per cell and group that has any.
 """
 
 from __future__ import annotations
@@ -16,6 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
+#: Rows numbered in one task, about.
+GROUP_ROWS = 500_000
+
 
 def _curve_steps(dims: int) -> tuple[list[int], list[int]]:
     """Tables of the curve: for state ``s`` and corner ``c`` at ``s * 2**dims + c``, the place of the corner
@@ -85,20 +90,24 @@ def _quantised(docs: DataFrame, numeric: list[str], labels: list[str], bits: int
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 16, numeric: tuple[str, ...] = ("n_chars",),
-                   labels: tuple[str, ...] = ("lang", "source"), bits: int = 4, sub: int = 16) -> DataFrame:
+                   labels: tuple[str, ...] = ("lang", "source"), bits: int = 4, group_rows: int = GROUP_ROWS,
+                   row: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, curve``.
 
     Law ``rows``: shard counts differ by one at most. ``slot`` numbers a shard's rows from 0 without gaps in
     curve order. ``size`` is the UTF-8 length plus 1; a null text has size 1 and the checksum of an empty one.
     Null metadata fall into level 0. Rows equal in every column are numbered in any order, which gives the
-    same rows. An empty table gives an empty result; fewer rows than shards leave shards empty.
+    same rows. An empty table gives an empty result; fewer rows than shards leave shards empty. With ``row``, the name of
+    a column of different values, it is returned too and decides among equal rows.
     """
+    sub = max(16, -(-docs.count() // group_rows))  # groups of a cell that holds all rows
+    own = F.col(f"`{row}`") if row else F.lit(0)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        hilbert_index(_quantised(docs, list(numeric), list(labels), bits), bits).alias("curve"),
-    ).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.lit(sub)).cast("int"))
+        hilbert_index(_quantised(docs, list(numeric), list(labels), bits), bits).alias("curve"), own.alias("row"),
+        F.pmod(F.xxhash64("doc_id", text, own), F.lit(sub)).cast("int").alias("sub"))
 
     groups = rows.groupBy("curve", "sub").agg(F.count("*").alias("n"))
     cells = groups.groupBy("curve").agg(F.sum("n").alias("cell_n"))
@@ -108,24 +117,34 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, numeric: tuple[str, ...] =
     inside = Window.partitionBy("curve").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.join(offsets, "curve").select(
         "curve", "sub", "total", (F.col("cell_at") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("at"))
-    order = Window.partitionBy("curve", "sub").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
+    order = Window.partitionBy("curve", "sub").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size", "row")
     placed = (rows.withColumn("k", F.row_number().over(order)).join(starts, ["curve", "sub"])
-              .select("doc_id", "size", "text_crc32", "curve", "total", (F.col("at") + F.col("k") - 1).alias("r")))
+              .select("doc_id", "size", "text_crc32", "curve", "row", "total", (F.col("at") + F.col("k") - 1).alias("r")))
     # shard s holds the ranks from ceil(s * total / shards) on
     shard = F.expr(f"(r * {shards}) div total")
     first = F.expr(f"((shard * total) + {shards - 1}) div {shards}")
     return (placed.withColumn("shard", shard).withColumn("slot", F.col("r") - first)
             .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
-                    F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve"))
+                    F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve",
+                    *([F.col("row").alias(row)] if row else [])))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", **how) -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = 16, folder: str = "shard", **how) -> str:
     """Write the documents as one folder of files per shard, in curve order, for min/max pruning on read.
 
-    Needs one row per ``doc_id``. A shard is cut into several sorted files by the session's partition size.
+    Every row is written once, whatever its ``doc_id``, and the columns stay as they are. The folders are named
+    ``<folder>=<n>``; where a column has that name already, underscores are added. Returns the name. A shard is cut into
+    several sorted files by the session's partition size.
     """
-    place = hilbert_shards(docs, shards, **how).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"),
-                                                       F.col("slot").alias("_slot"))
-    (docs.join(place, F.col(id_col) == F.col("_id")).drop("_id").withColumnRenamed("_shard", "shard")
-     .repartitionByRange("shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_slot")
-     .write.partitionBy("shard").parquet(path))
+    while folder in docs.columns:
+        folder += "_"
+    rows = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                           F.monotonically_increasing_id().alias("id")), "shard_rows")
+    row = folder + "_row"
+    while row in docs.columns:
+        row += "_"
+    place = hilbert_shards(rows.select("doc.*", F.col("id").alias(row)), shards, row=row, **how).select(
+        F.col(row).alias("id"), "shard", "slot")
+    (rows.join(place, "id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+     .select("doc.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path))
+    return folder

@@ -11,6 +11,8 @@ After the last round the candidates still open get theirs, however many they are
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,7 +59,7 @@ class SortedLists:
         n = self.x.shape[1]
         split = np.concatenate([np.maximum(weights, 0), np.minimum(weights, 0)], axis=1)
         own = np.searchsorted(self.ids, qids, side="left"), np.searchsorted(self.ids, qids, side="right")
-        none = np.iinfo(np.int64).min if weights.dtype == np.int64 else -np.inf
+        none = np.iinfo(np.int64).min if weights.dtype == np.int64 else -np.inf  # (objects compare with it as well)
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         todo = np.arange(len(qids))
         few = max(min(4 * k, (n + k) // 2), n // 32)
@@ -82,22 +84,50 @@ class SortedLists:
             found.append((q, at, weights[q] @ self.x[:, at]))
         out = []
         for q, at, score in found:
-            best = np.lexsort((self.ids[at], -score))[:k]
-            out.append((np.full(len(best), q), self.ids[at[best]], score[best].astype(np.int64)))
+            if score.dtype == object:
+                best = np.array(sorted(range(len(at)), key=lambda i: (-score[i], self.ids[at[i]]))[:k], dtype=np.int64)
+            else:
+                best = np.lexsort((self.ids[at], -score))[:k]
+            out.append((np.full(len(best), q), self.ids[at[best]], score[best] if score.dtype == object else score[best].astype(np.int64)))
         return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64)] * 3
 
 
-def _search_group(k: int):
+def quantised(x: np.ndarray, scale: int) -> np.ndarray:
+    """``floor(scale * x)`` of finite doubles: as doubles while every inner product of them is exact, else as integers."""
+    with np.errstate(over="ignore"):
+        v = np.floor(x * scale)
+    most = float(np.abs(x).max(initial=0)) * scale
+    if x.shape[1] * most * most < 2**53:
+        return v
+    if x.shape[1] * most * most < 2**62:
+        return v.astype(np.int64)
+    whole = np.vectorize(lambda y: int(y) * scale if abs(y) >= 2**53 else math.floor(y * scale), otypes=[object])
+    return whole(x) if x.size else x.astype(object)
+
+
+_LONG = 1 << 63
+
+
+def _sortable(s: int) -> str:
+    """A text that sorts as the number does."""
+    digits = str(abs(s))
+    if s >= 0:
+        return f"1{len(digits):05d}{digits}"
+    return f"0{99999 - len(digits):05d}" + "".join(chr(105 - ord(c)) for c in digits)
+
+
+def _search_group(k: int, scale: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found = [np.zeros(0, dtype=np.int64)] * 4
+        found, beyond = [np.zeros(0, dtype=np.int64)] * 4, None
         if len(queries) and len(rows):
-            x, q = (np.stack(f["v"].to_numpy()).astype(np.int64) for f in (rows, queries))
-            # floating products are exact while every partial sum is below 2**53
-            if x.shape[1] * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2**53:
-                x, q = x.astype(np.float64), q.astype(np.float64)
+            both = quantised(np.concatenate([np.stack(f["v"].to_numpy()).astype(np.float64) for f in (rows, queries)]), scale)
+            x, q = both[:len(rows)], both[len(rows):]
             at, *best = SortedLists(rows["id"].to_numpy(), x).search(queries["id"].to_numpy(), q, k)
+            if best[1].dtype == object:
+                beyond = [None if -_LONG <= s < _LONG else _sortable(s) for s in best[1]]
+                best[1] = np.array([max(-_LONG, min(_LONG - 1, s)) for s in best[1]], dtype=np.int64)
             found = [queries["row"].to_numpy()[at], queries["id"].to_numpy()[at], *best]
-        return pd.DataFrame(dict(zip(("row", "query_id", "vec_id", "score"), found)))
+        return pd.DataFrame(dict(zip(("row", "query_id", "vec_id", "score"), found))).assign(beyond=beyond)
 
     return run
 
@@ -108,22 +138,18 @@ def usable(vectors: Column) -> Column:
                                                      & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
 
 
-def quantised(vectors: Column, scale: int = 64) -> Column:
-    """``floor(scale * x)`` of every component, as long."""
-    return F.transform(vectors, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-
-
 def exact_topk(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
-               vector_col: str = "embedding") -> DataFrame:
+               vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query its ``k`` best rows by integer inner product.
 
     Ties go to the smaller id; a query's own id is never among its results; fewer candidates give fewer rows.
     Vectors that are null or hold null or non-finite components, and rows without an id, take no part.
     Only vectors of the query's own length are compared. Rows repeated in the input count each on their own: a query
-    row that stands twice gives its list twice.
+    row that stands twice gives its list twice. Inner products are exact for components of any size; a score beyond
+    64 bits is ranked by its true value and given as the largest or smallest 64-bit integer.
     """
     good = cut(rows.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"),
+        F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"),
         F.size(vector_col).alias("len"), is_query.alias("q")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n_rows, n_queries = good.agg(F.count("*"), F.count_if(F.col("q"))).first()
     cb, qb = max(1, -(-n_rows // CANDIDATE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
@@ -134,7 +160,20 @@ def exact_topk(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cb - 1).cast("long"))).alias("c")))
     keys = ["len", "c", "b"]
     found = (queries.groupBy(*keys).cogroup(candidates.groupBy(*keys))
-             .applyInPandas(_search_group(k), "row long, query_id long, vec_id long, score long"))
-    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
+             .applyInPandas(_search_group(k, scale), "row long, query_id long, vec_id long, score long, beyond string"))
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("beyond").desc_nulls_last(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
+
+
+#: The registered query in DuckDB SQL, over vectors whose products are exact in doubles.
+ORACLE_SQL = """
+with good as (
+  select vec_id, row_number() over () as row, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select q.row, q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from good q join good c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 20 = 0)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by row order by score desc, vec_id) as rank from scores) where rank <= 20"""
