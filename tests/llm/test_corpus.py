@@ -606,10 +606,10 @@ def test_topk_of_repeated_query_rows(spark, monkeypatch):
 def test_topk_blocks_stay_bounded_on_one_repeated_row(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
 
-    def sized(k):
+    def sized(k, scale):
         def run(queries, rows):
             import pandas as pd
-            return pd.DataFrame({"row": queries["row"], "query_id": queries["id"], "vec_id": 0, "score": len(rows)})
+            return pd.DataFrame({"row": queries["row"], "query_id": queries["id"], "vec_id": 0, "score": len(rows), "beyond": None})
         return run
 
     monkeypatch.setattr(topk, "_search_group", sized)
