@@ -270,3 +270,14 @@ def test_a_hot_cell_is_numbered_in_many_groups(spark):
         by.setdefault(r.shard, []).append(r.slot)
     assert sorted(by) == list(range(7)) and all(sorted(s) == list(range(len(s))) for s in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
+# ------------------------------------------------------------------ 4 short items
+def test_a_short_item_inside_a_word_does_not_hide_a_true_copy():
+    from tickwise.llm import decontam
+    item = "the quick brown fox jumps"
+    items = decontam.Items([(1, item)])
+    found = lambda text: items.matches(decontam.normalised(text))
+    assert found(f"x{item} {item} end") == [(0, 0, 27, 25)]
+    assert found(f"a{item}b") == [] and found(f"so {item}") == [(0, 0, 3, 25)]
+    assert found("and the quick brovn fox jumps here") == [(0, 1, 4, 25)]
