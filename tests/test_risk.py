@@ -79,6 +79,33 @@ def test_contributions_add_up_to_the_variance_at_every_level(spark, block):
     assert all(abs(v - variance) < 1e-9 for v in level.values())
 
 
+@pytest.mark.parametrize("tile, run, block", [(1024, 1024, 16384), (3, 4, 5)])
+def test_names_of_the_same_dates_are_paired_once(spark, monkeypatch, tile, run, block):
+    rng = np.random.default_rng(3)
+    calendars = [sorted(rng.choice(15, size=k, replace=False).tolist()) for k in (15, 9, 9, 7, 4, 2, 2, 1)]
+    rows = [(f"N{i}", f"2024-01-{t + 1:02d}", float(rng.normal() + i)) for i in range(48) for t in calendars[i % 8]]
+    rows += [("BAD", f"2024-01-{t + 1:02d}", float("nan") if t == 3 else 1.0) for t in calendars[0]]
+    returns = spark.createDataFrame(rows, "TICKER string, DATE string, daily_return double")
+    weights = {n: float(rng.random()) for n in {r[0] for r in rows} if n != "N5"}
+    frame = spark.createDataFrame([*weights.items(), ("ABSENT", 1.0)], "TICKER string, weight double")
+    paired, inner = [], risk._calendar_sums
+    monkeypatch.setattr(risk, "_calendar_sums", lambda c, blocks: paired.append((c.count(), blocks)) or inner(c, blocks))
+    monkeypatch.setattr(risk, "TILE", tile)
+    monkeypatch.setattr(risk, "DATE_RUN", run)
+    got = {r.TICKER: r for r in risk.marginal_risk(returns, frame, block_names=block).collect()}
+    different = len({tuple(c) for c in calendars if len(c) > 1})
+    assert paired == [(different, -(-different // block))]  # not 42 names
+    cov = _cov([r for r in rows if r[0] in weights and r[0] != "BAD"])
+    full = lambda a, b: cov.get((min(a, b), max(a, b)), (0, 0.0))[1]
+    assert got.keys() == weights.keys()
+    for n in weights:
+        if n == "BAD" or int(n[1:]) % 8 == 7:
+            assert got[n].variance is None and got[n].marginal is None
+        else:
+            assert abs(got[n].marginal - sum(w * full(n, b) for b, w in weights.items())) < 1e-9
+            assert abs(got[n].variance - full(n, n)) < 1e-9
+
+
 def test_risk_without_returns_or_holdings(spark):
     none = spark.createDataFrame([], "TICKER string, DATE string, daily_return double")
     h = spark.createDataFrame([("A", "I", "S", 1.0)], "ticker string, company_name string, sector string, market_value double")
