@@ -49,6 +49,24 @@ def test_ewma_volatility_of_one_long_ticker(spark, bucket):
     assert got["NONE", "2024-01-01"] is None and len(got) == 301
 
 
+def test_linear_scan_takes_all_groups_of_a_task_in_one_call(spark):
+    rows = [(f"k{k}", t, None if t < 2 else float(t)) for k in range(40) for t in range(9)] + [(None, 3, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t int, s double").withColumn("kept", F.struct("t", F.array("s")))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # groups go on in the next batch
+    try:
+        out = linear_scan(df, "k", "t", F.lit(0.5), F.lit(1.0), F.col("s"), F.floor(F.col("t") / 4), "out")
+        got = {(r.k, r.t): (r.out, r.kept.t) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    state = {}
+    for k, t, s in rows:
+        state[k] = s if state.get(k) is None else 0.5 * state[k] + 1.0
+        assert got[k, t][1] == t and (got[k, t][0] is None if state[k] is None else abs(got[k, t][0] - state[k]) < 1e-12)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsIn" not in plan and "MapInArrow" in plan
+
+
 def test_adjusted_prices_take_the_product_of_later_splits(spark):
     rng = random.Random(3)
     bars = [(t, (DAY + dt.timedelta(days=i)).isoformat(), 100.0 + i, 10) for t in ("A-US", "B-US", "C-US") for i in range(0, 200, 3)]
@@ -124,6 +142,22 @@ def test_similar_names_equal_all_pairs(spark, threshold):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_similar_names_of_crowded_trigrams_in_cells(spark):
+    rng = random.Random(7)
+    parts = ["an", "the", "er", "on", "st", "en", "re", "ou"]
+    names = list({"".join(rng.choice(parts) for _ in range(rng.randint(4, 9))) for _ in range(150)})
+    frame = spark.createDataFrame([(n,) for n in names], "n string")
+    reps = {}
+    for n in sorted(names):
+        reps.setdefault(frozenset(_grams(n)), n)
+    want = {(a, b) for x, a in reps.items() for y, b in reps.items() if a < b and len(x & y) / len(x | y) >= 0.4 - 1e-12}
+    out = nm.similar_names(frame, "n", 0.4, cell_names=8)
+    got = [(r.name_a, r.name_b) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    # sets too far apart by their signatures go before the candidates are shuffled
+    assert "bit_count" in [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "lo" in x][0]
+
+
 # ------------------------------------------------------------------ timers
 T0 = dt.datetime(2024, 1, 1)
 REQ = "identifier string, submitted_at timestamp, request_event_id long"
@@ -164,6 +198,71 @@ def test_waits_end_by_their_deadline_and_leave_no_state(spark, tmp_dir):
     assert _state_rows(spark, f"{tmp_dir}/ckpt", "notices") <= 1
 
 
+def test_a_wait_calls_the_state_store_a_few_times_for_many_events():
+    import collections
+
+    import pandas as pd
+
+    from tickwise.streaming.deadlines import _Wait
+
+    calls, timers = collections.Counter(), set()
+
+    class Value:
+        value = None
+
+        def get(self):
+            calls["get"] += 1
+            return self.value
+
+        def update(self, value):
+            calls["update"] += 1
+            self.value = value
+
+        def clear(self):
+            calls["clear"] += 1
+            self.value = None
+
+    class Handle:
+        states = {}
+
+        def getValueState(self, name, schema):
+            return self.states.setdefault(name, Value())
+
+        def registerTimer(self, at):
+            calls["timer"] += 1
+            timers.add(at)
+
+        def deleteTimer(self, at):
+            timers.remove(at)
+
+    class Times:
+        def __init__(self, mark):
+            self.mark = mark
+
+        def getCurrentWatermarkInMs(self):
+            return self.mark
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    minute = 60_000_000
+    events = [(i % 2, i * minute, i) for i in range(400)]  # a request, a minute later a notice
+    wait = _Wait(45 * minute)
+    wait.init(Handle())
+    batch = pd.DataFrame(events, columns=["kind", "at", "id"])
+    assert list(wait.handleInputRows(("a",), iter([batch[:300], batch[300:]]), Times(0))) == []
+    assert sum(calls.values()) <= 6 and len(timers) == 1
+    (at,) = timers
+    timers.clear()
+    mark = 300 * 60_000
+    done = pd.concat(wait.handleExpiredTimer(("a",), Times(mark), Times(at)))
+    assert sorted(done["request"]) == [i for i in range(0, 400, 2) if i + 45 <= 300] and (done["notification"] == done["request"] + 1).all()
+    assert sum(calls.values()) <= 12 and len(timers) == 1 and min(timers) > mark
+    timers.clear()
+    done = pd.concat(wait.handleExpiredTimer(("a",), Times(10**9), Times(mark)))
+    assert len(done) == sum(i + 45 > 300 for i in range(0, 400, 2)) and not timers
+    assert all(s.value is None for s in Handle.states.values())
+
+
 def test_sessions_end_when_idle(spark, tmp_dir):
     schema = "event_id long, user_id long, ts timestamp, provider string"
 
