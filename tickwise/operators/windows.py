@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _cols(x):
@@ -111,44 +112,50 @@ def linear_scan(df: DataFrame, keys, order, decay: Column, gain: Column, start:
 
     Steps of the recurrence compose: ``(a, b)`` then ``(c, d)`` is ``(a c, b c + d)``. Each (key, bucket) is scanned
     alone, which gives every row its composed step from the bucket's beginning and its state if none comes in. One
-    composed step per bucket is then chained per key, and each row applies its own to the state that comes in.
+    composed step per bucket is then chained per key, and each row applies its own to the state that comes in. One Python
+    call takes all groups of a task, a batch of rows at a time.
     """
     keys, order = _cols(keys), _cols(order)
     b = (df.withColumn("_bucket", bucket).withColumn("_a", decay.cast("double")).withColumn("_b", gain.cast("double"))
          .withColumn("_s", start.cast("double")))
     group = [*keys, "_bucket"]
-    plain = [f"{f.name}" for f in b.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in b.schema.fields)
-    by = list(order)
-
-    def scan(pdf):
-        import numpy as np
-        pdf = pdf.sort_values(by, kind="stable", na_position="first")
-        a, gains, starts = (pdf[c].to_numpy(dtype=float) for c in ("_a", "_b", "_s"))
-        step, moved, alone = np.empty(len(pdf)), np.empty(len(pdf)), np.empty(len(pdf))
-        x, y, z = 1.0, 0.0, np.nan
-        for i in range(len(pdf)):
-            x, y = x * a[i], a[i] * y + gains[i]
-            z = starts[i] if z != z else a[i] * z + gains[i]
-            step[i], moved[i], alone[i] = x, y, z
-        return pdf.assign(_a=step, _b=moved, _s=alone)[plain]
-
-    local = b.groupBy(*group).applyInPandas(scan, schema)
+    # a window leaves a task's groups one after the other, each in order; ``_n`` is 1 where one begins
+    ranked = b.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+    def scan(batches):
+        import pyarrow as pa
+        x, y, z = 1.0, 0.0, float("nan")
+        for batch in batches:
+            n, *columns = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("_n", "_a", "_b", "_s"))
+            out = []
+            for i, a, gain, begin in zip(n, *columns):
+                if i == 1:
+                    x, y, z = 1.0, 0.0, float("nan")
+                x, y = x * a, a * y + gain
+                z = begin if z != z else a * z + gain
+                out.append((x, y, z))
+            moved = dict(zip(("_a", "_b", "_s"), (pa.array(v, pa.float64()) for v in zip(*out)))) if out else {}
+            yield pa.RecordBatch.from_arrays([moved.get(c, batch.column(c)) for c in batch.schema.names], schema=batch.schema)
+
+    local = ranked.mapInArrow(scan, T.StructType([T.StructField(f.name, f.dataType, True) for f in ranked.schema.fields])).drop("_n")
     ord_struct = F.struct(*[F.col(o) for o in order])
     last = local.groupBy(*group).agg(F.max_by(F.struct("_a", "_b", "_s"), ord_struct).alias("_l"))
-
-    def chain(pdf):
-        import numpy as np
-        pdf = pdf.sort_values("_bucket", kind="stable")
-        state, came = np.nan, []
-        for a, y, z in zip(pdf["_a"], pdf["_b"], pdf["_s"]):
-            came.append(state)
-            state = z if state != state else a * state + y
-        return pdf.assign(_in=came)[[*group, "_in"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in b.schema.fields}
-    come_in = (last.select(*group, "_l._a", "_l._b", "_l._s").groupBy(*keys)
-               .applyInPandas(chain, ", ".join(f"`{c}` {kinds[c]}" for c in group) + ", _in double"))
+    steps = last.select(*group, "_l._a", "_l._b", "_l._s").withColumn(
+        "_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_bucket")))
+
+    def chain(batches):
+        import pyarrow as pa
+        state = float("nan")
+        for batch in batches:
+            came = []
+            for n, a, y, z in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("_n", "_a", "_b", "_s"))):
+                state = float("nan") if n == 1 else state
+                came.append(state)
+                state = z if state != state else a * state + y
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in group), pa.array(came, pa.float64())], names=[*group, "_in"])
+
+    come_in = steps.mapInArrow(chain, T.StructType([*(T.StructField(c, steps.schema[c].dataType, True) for c in group),
+                                                    T.StructField("_in", T.DoubleType(), True)]))
     joined = _join_null_safe(local, come_in, group)
     state = F.nanvl("_in", F.lit(None))
     return (joined.withColumn(out, F.when(state.isNull(), F.nanvl("_s", F.lit(None))).otherwise(F.col("_a") * state + F.col("_b")))
