@@ -34,6 +34,12 @@ def test_linear_scan_equals_the_plain_recurrence(spark):
         assert state[k] is None or abs(got[k, t] - state[k]) <= 1e-9 * max(1, abs(state[k]))
 
 
+def test_linear_scan_chains_rows_without_a_bucket_last(spark):
+    df = spark.createDataFrame([("a", 1, 4.0), ("a", None, 9.0), ("a", 5, 1.0)], "k string, t int, s double")
+    out = linear_scan(df, "k", "t", F.lit(0.5), F.lit(1.0), F.col("s"), F.floor(F.col("t") / 4), "out")
+    assert {r.t: r.out for r in out.collect()} == {1: 4.0, 5: 3.0, None: 2.5}
+
+
 @pytest.mark.parametrize("bucket", ["month", "day", "year"])
 def test_ewma_volatility_of_one_long_ticker(spark, bucket):
     rng = random.Random(2)
