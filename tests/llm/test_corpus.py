@@ -165,6 +165,43 @@ def test_line_links_of_hot_lines_and_common_segments(spark, monkeypatch):
     assert {n: r for n, r in _classes(text, links).items()} == want
 
 
+def test_line_keys_without_a_partner_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    lines = [" ".join(word() for _ in range(rng.randint(5, 120))) for _ in range(300)]
+    near = [x[:len(x) // 2] + "#" + x[len(x) // 2:] for x in lines[:20]]
+    docs = spark.createDataFrame(list(enumerate(lines + near)), "doc_id long, text string").repartition(3)
+    text = {linededup.line_id(x): x for x in lines + near}
+    want = {(a, b) for a in text for b in text if a < b and _near(text[a], text[b])}
+    common.prepare(spark)
+    rows = linededup.key_rows(docs).toPandas()
+    met = {linededup.line_id(x) for x in lines[:20] + near}
+    assert rows.v.isin(met).mean() > 0.9 and met <= set(rows.v)
+    assert len(rows) < sum(linededup.budget(len(x)) + 1 for x in text.values()) / 2  # indexed segments alone were more
+    # more segments than a filter serves: turns, with the same rows up to what the filters let pass
+    monkeypatch.setattr(linededup, "MOST_FILTER_BITS", 1 << 19)
+    monkeypatch.setattr(linededup, "FILTER_BITS", 400)
+    assert 400 * (sum(map(len, lines)) // linededup.EDIT_SHARE) > 2 << 19
+    turned = linededup.key_rows(docs).toPandas()
+    assert set(turned.key[turned.v.isin(met)]) >= set(rows.key[rows.groupby("key").v.transform("nunique") > 1])
+    assert {(min(r), max(r)) for r in map(tuple, linededup.line_links(docs).collect())} == want and len(want) == 20
+
+
+def test_crowded_groups_skip_known_classes():
+    import pyarrow as pa
+    lines = ["a line of some forty characters or so " + c for c in "abcd"]
+    batch = pa.record_batch({"g": [1] * 8, "v": [0, 2, 4, 6, 1, 3, 5, 7], "root": [0, 0, 4, 4] * 2, "line": lines * 2})
+    got = [(u, v) for out in linededup._verified_groups(iter([batch])) for u, v in zip(out["u"], out["v"])]
+    assert len(got) == 1 and {x // 4 for x in got[0]} == {0, 1}
+
+
+def test_shuffles_of_a_cut_are_freed(spark, tmp_dir):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    rows = common.cut(spark.range(1000).repartition(5, "id"), "freed")
+    assert rows.count() == 1000 and spark.conf.get(key, None) == was
+
+
 def test_line_links_equal_brute_force_and_crowded_keys(spark, small, monkeypatch):
     rng = random.Random(1)
     rows = [(r.doc_id, r.text) for r in small.collect()][:60]
