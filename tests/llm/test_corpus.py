@@ -195,7 +195,7 @@ def test_crowded_groups_skip_known_classes():
     assert len(got) == 1 and {x // 4 for x in got[0]} == {0, 1}
 
 
-def test_shuffles_of_a_cut_are_freed(spark, tmp_dir):
+def test_cut_leaves_the_cleanup_setting_as_it_was(spark):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     was = spark.conf.get(key, None)
     rows = common.cut(spark.range(1000).repartition(5, "id"), "freed")
