@@ -3,6 +3,7 @@
 import bisect
 import datetime as dt
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -195,6 +196,56 @@ def test_crowded_groups_skip_known_classes():
     assert len(got) == 1 and {x // 4 for x in got[0]} == {0, 1}
 
 
+def test_crowded_texts_are_sent_once_for_all_their_keys(spark, monkeypatch):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    base = " ".join(word() for _ in range(60))
+    lines = [base[:i] + "#" + base[i:] for i in range(0, 300, 6)] + [base[:len(base) // 3] + " ".join(word() for _ in range(40))[:len(base) * 2 // 3]
+                                                                     for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    text = {linededup.line_id(x): x for x in lines}
+    sent, arrow_map = [], linededup.arrow_map
+    monkeypatch.setattr(linededup, "arrow_map", lambda df, fn, schema: (
+        sent.append(df.count()) if fn is linededup._verified_groups else None, arrow_map(df, fn, schema))[1])
+    common.prepare(spark)
+    links = {(min(r), max(r)) for r in map(tuple, linededup.line_links(docs).collect())}
+    assert len(sent) == 1 and 0 < sent[0] <= 4 * len(text)  # some of them meet in several classes under a dozen of keys
+    assert _classes(text, links) == _classes(text, [(a, b) for a in text for b in text if a < b and _near(text[a], text[b])])
+
+
+def test_line_turns_are_cut_by_length_and_leave_no_table(spark, monkeypatch):
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    lines = [" ".join(word() for _ in range(rng.randint(5, 120))) for _ in range(300)]
+    near = [x[:len(x) // 2] + "#" + x[len(x) // 2:] for x in lines[:40]]
+    docs = spark.createDataFrame(list(enumerate(lines + near)), "doc_id long, text string").repartition(3)
+    text = {linededup.line_id(x): x for x in lines + near}
+    want = {(a, b) for a in text for b in text if a < b and _near(text[a], text[b])}
+    monkeypatch.setattr(linededup, "MOST_FILTER_BITS", 1 << 19)
+    monkeypatch.setattr(linededup, "FILTER_BITS", 400)
+    common.prepare(spark)
+    turns = linededup._turns(docs)
+    assert len(turns) > 2 and [t.end for t in turns[:-1]] == [t.least for t in turns[1:]] and {t.parts for t in turns} == {1}
+    monkeypatch.setattr(linededup, "FILTER_BITS", 400 << 7)  # one length class is too many
+    assert any(t.parts > 1 for t in linededup._turns(docs))
+    monkeypatch.setattr(linededup, "FILTER_BITS", 400)
+    written, cut = [], linededup.cut
+
+    def noted(df, name):
+        out = cut(df, name)
+        if name == "line_probes":
+            assert not any(os.path.exists(x) for n, x in written if n == "line_probes")  # a turn's probes went before the next
+        assert os.path.exists(out.cut_path.removeprefix("file:"))
+        written.append((name, out.cut_path.removeprefix("file:")))
+        return out
+
+    monkeypatch.setattr(linededup, "cut", noted)
+    links = linededup.line_links(docs)
+    assert {(min(r), max(r)) for r in map(tuple, links.collect())} == want and len(want) == 40
+    left = {n for n, x in written if os.path.exists(x)}
+    assert sum(n == "line_probes" for n, _ in written) == len(turns) and left <= {"line_links", "line_crowd_links", "line_star_classes"}
+
+
 def test_cut_leaves_the_cleanup_setting_as_it_was(spark):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     was = spark.conf.get(key, None)
