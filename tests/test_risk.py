@@ -52,6 +52,24 @@ def test_covariances_equal_pairwise_complete_ones(spark, block):
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
 
 
+def test_covariances_send_a_series_once_per_block_of_few(spark, monkeypatch):
+    monkeypatch.setattr(risk, "TILE_NAMES", 3)
+    monkeypatch.setattr(risk, "DATE_RUN", 7)
+    sent, by_pair = [], risk._by_pair
+    monkeypatch.setattr(risk, "_by_pair", lambda rows, blocks: (sent.append((rows.count(), blocks)), by_pair(rows, blocks))[1])
+    rows = _returns(40, 20, np.random.default_rng(3))
+    returns = spark.createDataFrame(rows, "TICKER string, DATE string, daily_return double").repartition(3)
+    held = spark.createDataFrame([(f"N{i}",) for i in range(40)], "TICKER string")
+    got = {(r.ticker_a, r.ticker_b): (r.n_dates, r.covariance) for r in risk.covariances(returns, held, block_names=1).collect()}
+    want = _cov(rows)
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    # one row a name, to as many blocks as the tasks need, not to one per name
+    assert sent == [(40, risk.math.isqrt(8 * spark.sparkContext.defaultParallelism) + 1)] and sent[0][1] < 40
+    monkeypatch.setattr(risk, "BLOCK_ROWS", 20)  # many returns make more blocks
+    assert risk.covariances(returns, held, block_names=1).count() == len(want) and sent[1][1] == -(-len(rows) // 20)
+
+
 @pytest.mark.parametrize("block", [256, 3])
 def test_contributions_add_up_to_the_variance_at_every_level(spark, block):
     rng = np.random.default_rng(2)
