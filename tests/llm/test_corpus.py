@@ -837,3 +837,18 @@ def test_pipeline_tells_rows_without_or_with_repeated_ids_apart(spark):
     assert after("simhash_dedup", rows(*none, (None, clean[0]), (7, one), (7, one), (8, one))) == wanted(*none, (7, one))
     assert after("line_dedup", rows((None, clean[0] + "\n" + one), (None, one + "\n" + clean[1]), (3, one), (3, clean[2]), (3, clean[2]))) == wanted(
         (None, clean[0]), (None, clean[1]), (3, one), (3, clean[2]))
+
+
+def test_pipeline_drops_few_rows_without_a_shuffle_of_the_texts(spark, monkeypatch):
+    import corpus_pipeline as cp
+    common.prepare(spark)
+    docs = spark.createDataFrame([(1, "a b"), (None, "c d"), (1, None), (2, "")], "doc_id long, text string")
+    rows = cp._rows(docs)
+    ids = rows.where("text is null").select(cp._id(rows))
+    for most in (200_000, 0):
+        monkeypatch.setattr(cp, "BROADCAST_IDS", most)
+        out = cp._only(rows, ids, "left_anti")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == (most > 0)
+        assert sorted(map(repr, out.collect())) == sorted(repr(r) for r in docs.where("text is not null").collect())
+        assert [tuple(r) for r in cp._only(rows, ids, "left_semi").collect()] == [(1, None)]
